@@ -129,3 +129,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     whole = F.struct(*[F.col(c) for c in df.columns])
     best = df.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("_row"))
     return best.select("_row.*")
+
+
+__all__ = ["Window", "first_per_key", "latest_per_key", "row_number", "running_sum", "shift"]

@@ -313,16 +313,20 @@ class Tables:
         self.folder = folder
         self._suffix = f"_{zlib.crc32(folder.encode()):08x}"
 
+    def raw(self, name: str) -> DataFrame:
+        """A driver table; ``documents`` is also the name of a view, so raw text is asked for here."""
+        if name not in TABLES:
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         view = "v_" + name
         if view not in VIEWS:
-            raise AttributeError(name)
+            return self.raw(name)
         sql = VIEWS[view]
         names = {}
         for table in TABLES:
             if "{" + table + "}" in sql:
                 names[table] = "cg_" + table + self._suffix
-                getattr(self, table).createOrReplaceTempView(names[table])
+                self.raw(table).createOrReplaceTempView(names[table])
         return self.spark.sql(bind(sql, names))
