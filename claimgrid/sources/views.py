@@ -235,6 +235,21 @@ SELECT o_orderkey AS claim_id, o_orderpriority IN ('1-URGENT', '3-MEDIUM') AS is
     WHEN o_orderpriority = '2-HIGH' THEN 'Itemised receipts' ELSE '' END AS missing_information
 FROM {orders}"""
 
+_ENTRY = (
+    '{"line_item_number": 1, "should_be_included": true, "is_normal_wear_tear": false, '
+    '"is_covered_by_addendum": "yes", "is_covered_by_other_insurance": "0", '
+    '"confidence": 0.8, "reasoning": "ok", "addendum_reference": "s1"}'
+)
+_WHOLE = '{"line_item_analyses": [' + _ENTRY + "]}"
+_BAD = _WHOLE.replace('"confidence": 0.8', '"confidence": 1.8').replace('"yes"', '"maybe"')
+VIEWS["v_responses"] = f"""
+SELECT o_orderkey AS claim_id, CAST(1 AS INT) AS expected_count, o_orderpriority AS shape,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Here you go:' || CHR(10) || '```json' || CHR(10) || '{_WHOLE}' || CHR(10) || '```'
+    WHEN '2-HIGH' THEN replace('{_WHOLE}', '"', CHR(39))
+    WHEN '3-MEDIUM' THEN '{_BAD}' WHEN '4-NOT SPECIFIED' THEN '```' || CHR(10) || '{_WHOLE.replace("line_item_analyses", "items")}'
+    ELSE 'Sorry, no result for ' || CAST(o_orderkey AS STRING) END AS response_text
+FROM {{orders}}"""
+
 VIEWS["v_queue"] = """
 SELECT event_id AS queue_id, 'batch-' || CAST(user_id % 25 AS STRING) AS batch_id,
   event_id AS claim_id, CAST(user_id % 5 AS INT) AS priority,
