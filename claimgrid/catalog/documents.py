@@ -1 +1,290 @@
-"""Registered queries."""
+"""Search, typing, quality, language, personal data, extraction choice."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimgrid.catalog import query
+from claimgrid.catalog.invoices import strip_sql
+from claimgrid.catalog.items import quote, sql_any
+from claimgrid.functions import documents as dx
+from claimgrid.functions import pii
+from claimgrid.functions.text import as_double
+from claimgrid.operators import documents as ops
+from claimgrid.plans.barrier import spread
+from claimgrid.rules import fixed_values as fv
+
+
+def _prose(t):
+    return spread(t.raw("documents"))
+
+
+def search_ctes(table: str, key: str, text: str, terms: list[str], mode: str) -> str:
+    listed = "[" + ", ".join(quote(x) for x in terms) + "]"
+    need = len(terms) if mode == "and" else 1
+    return f"""tok AS (SELECT *, list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda x: x <> '') AS toks FROM {table}),
+ranked AS (SELECT * EXCLUDE (toks), len(list_filter(toks, lambda x: list_contains({listed}, x)))::DOUBLE / len(toks) AS rank FROM tok
+  WHERE len(list_intersect(toks, {listed})) >= {need})"""
+
+
+@query(
+    "C30 T4",
+    f"""WITH {search_ctes("documents", "doc_id", "text", ["the", "and", "for"], "or")}
+SELECT doc_id, lang, rank FROM ranked ORDER BY rank DESC, doc_id LIMIT 25""",
+)
+def document_search_any(t):
+    return ops.search(_prose(t), ["the", "and", "for"], "or", 25).select("doc_id", "lang", "rank")
+
+
+@query(
+    "C30 J14 T4",
+    f"""WITH {search_ctes("v_documents", "document_id", "coalesce(extracted_text, '')", ["lease", "agreement"], "and")}
+SELECT r.document_id, r.claim_id, r.document_type, c.claim_tracking_number, r.rank FROM ranked r JOIN v_claims c USING (claim_id)
+WHERE r.processing_status = 'completed' ORDER BY r.rank DESC, r.document_id LIMIT 50""",
+)
+def claim_document_search(t):
+    done = t.documents.filter("processing_status = 'completed'")
+    claims = t.claims.select("claim_id", "claim_tracking_number")
+    joined = done.join(claims, "claim_id").withColumn(
+        "extracted_text", F.coalesce("extracted_text", F.lit(""))
+    )
+    return ops.search(
+        joined, ["lease", "agreement"], "and", 50, "extracted_text", "document_id"
+    ).select("document_id", "claim_id", "document_type", "claim_tracking_number", "rank")
+
+
+def _count(column: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains({column}, {quote(w)}) AS INT)" for w in words) + ")"
+
+
+_MONTHS = "(january|february|march|april|may|june|july|august|september|october|november|december)\\s+\\d{1,2},?\\s+\\d{4}"
+
+
+def typing_ctes(table: str, key: str, text: str, pages: str, filename: str) -> str:
+    return f"""src AS (SELECT {key} AS document_id, lower(coalesce({text}, '')) AS x, {pages} AS pc, lower(coalesce({filename}, '')) AS fname FROM {table}),
+f0 AS (SELECT *, greatest({_count("x", fv.LEASE_KEYWORDS)}, {_count("x", fv.INVOICE_KEYWORDS)}, {_count("x", fv.ADDENDUM_KEYWORDS)}) AS kw,
+  len(list_filter(string_split(x, chr(10)), lambda l: {strip_sql("l")} <> '')) AS filled,
+  len(list_filter(list_slice(string_split(x, chr(10)), 1, 20), lambda l: regexp_matches(l, '\\||\\t|\\s{{3,}}'))) > 0 AS tabular,
+  len(regexp_extract_all(x, '\\$[\\d,]+\\.?\\d*')) AS dollars, regexp_matches(x, '\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{2,4}}') AS d1, regexp_matches(x, '{_MONTHS}') AS d2 FROM src),
+f1 AS (SELECT *, least(1.0::DOUBLE, kw / 5.0::DOUBLE) AS keyword_score, least(1.0::DOUBLE, least(1.0::DOUBLE, filled / 50.0::DOUBLE) + CASE WHEN tabular THEN 0.2::DOUBLE ELSE 0 END) AS structure_score,
+  CASE WHEN dollars >= 3 THEN 1.0::DOUBLE WHEN dollars = 2 THEN 0.7 WHEN dollars = 1 THEN 0.4 ELSE 0 END AS dollar_score,
+  CASE WHEN d1 AND d2 THEN 1.0::DOUBLE WHEN d1 OR d2 THEN 0.5 ELSE 0 END AS date_score,
+  CASE WHEN pc BETWEEN 5 AND 15 THEN 1.0::DOUBLE WHEN pc BETWEEN 3 AND 20 THEN 0.7 WHEN pc BETWEEN 1 AND 25 THEN 0.4 ELSE 0.2 END AS page_score FROM f0),
+f2 AS (SELECT *, CASE WHEN contains(x, 'lease') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN contains(x, 'term:') OR contains(x, 'monthly rent') THEN 0.3::DOUBLE ELSE 0 END
+    + CASE WHEN pc BETWEEN 5 AND 15 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN date_score > 0.5 THEN 0.1::DOUBLE ELSE 0 END AS sl,
+  CASE WHEN {sql_any("fname", fv.MOVE_OUT_FILE_PATTERNS)} THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN contains(x, 'invoice') THEN 0.4::DOUBLE ELSE 0 END
+    + CASE WHEN contains(x, 'balance due') OR contains(x, 'total') OR contains(x, 'statement') THEN 0.3::DOUBLE ELSE 0 END
+    + CASE WHEN dollar_score > 0.5 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN pc BETWEEN 1 AND 5 THEN 0.1::DOUBLE ELSE 0 END AS si,
+  CASE WHEN contains(x, 'addendum') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN contains(x, 'security deposit waiver') THEN 0.3::DOUBLE ELSE 0 END
+    + CASE WHEN contains(x, 'enrollment') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN pc <= 3 THEN 0.1::DOUBLE ELSE 0 END AS sa FROM f1),
+typed AS (SELECT *, CASE WHEN sl >= si AND sl >= sa THEN 'lease' WHEN si >= sa THEN 'invoice' ELSE 'addendum' END AS rule_type,
+  least(1.0::DOUBLE, greatest(sl, si, sa)) AS rule_confidence FROM f2)"""
+
+
+SCORES = ["keyword_score", "structure_score", "dollar_score", "date_score", "page_score"]
+TYPE_REPORT = f"SELECT document_id, {', '.join(f'round({s}, 6) AS {s}' for s in SCORES)}, rule_type, round(rule_confidence, 6) AS rule_confidence FROM typed"
+
+
+def _typed(docs, text, pages, filename):
+    typed = ops.classify_documents(docs, text, pages, filename)
+    return typed.select(
+        "document_id", *[F.round(s, 6).alias(s) for s in SCORES],
+        F.col("rule.type").alias("rule_type"),
+        F.round("rule.confidence", 6).alias("rule_confidence"),
+    )
+
+
+@query(
+    "C31 C32",
+    f"WITH {typing_ctes('v_documents', 'document_id', 'extracted_text', 'page_count', 'original_filename')} {TYPE_REPORT}",
+)
+def claim_document_types(t):
+    return _typed(t.documents, "extracted_text", "page_count", "original_filename")
+
+
+PAGES_SQL = "len(string_split(text, chr(10)))"
+
+
+def _prose_docs(t):
+    return _prose(t).select(
+        F.col("doc_id").alias("document_id"), "text",
+        F.size(F.split("text", "\n")).alias("page_count"), F.col("source").alias("filename"),
+    )
+
+
+@query("C31 C32", f"WITH {typing_ctes('documents', 'doc_id', 'text', PAGES_SQL, 'source')} {TYPE_REPORT}")
+def prose_document_types(t):
+    return _typed(_prose_docs(t), "text", "page_count", "filename")
+
+
+@query(
+    "C34",
+    f"""WITH {typing_ctes('v_documents', 'document_id', 'extracted_text', 'page_count', 'original_filename')},
+j AS (SELECT y.*, d.document_type AS mt, d.classification_confidence / 100.0::DOUBLE AS mc, least(1.0::DOUBLE, coalesce(d.ocr_confidence, 100.0::DOUBLE) / 100.0::DOUBLE) AS fac
+  FROM typed y JOIN v_documents d USING (document_id))
+SELECT document_id, CASE WHEN mc * fac >= 0.75 THEN mt WHEN rule_confidence >= 0.75 THEN rule_type ELSE 'unknown' END AS final_type,
+  round(CASE WHEN mc * fac >= 0.75 THEN mc * fac WHEN rule_confidence >= 0.75 THEN rule_confidence ELSE greatest(rule_confidence, coalesce(mc, 0)) END, 6) AS final_confidence,
+  NOT coalesce(mc * fac >= 0.75, FALSE) AS fallback_used FROM j""",
+)
+def final_document_types(t):
+    typed = ops.classify_documents(t.documents, "extracted_text", "page_count", "original_filename")
+    ml = F.struct(
+        F.col("document_type").alias("type"),
+        (F.col("classification_confidence") / 100.0).alias("confidence"),
+    )
+    final = dx.final_type(ml, F.col("rule"), F.coalesce("ocr_confidence", F.lit(100.0)))
+    return typed.withColumn("final", final).select(
+        "document_id", F.col("final.type").alias("final_type"),
+        F.round("final.confidence", 6).alias("final_confidence"),
+        F.col("final.fallback_used").alias("fallback_used"),
+    )
+
+
+@query("C33 X2")
+def statistical_document_types(t):
+    model = ops.train_type_model(t.spark)
+    scored = ops.apply_type_model(
+        t.documents.select("document_id", "document_type", "extracted_text"), model,
+        "extracted_text",
+    )
+    return scored.groupBy("document_type", F.col("ml.type").alias("ml_type")).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.round(F.avg("ml.confidence"), 4).alias("avg_confidence"),
+    )
+
+
+WORDS = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split_regex({0}, '\\s+')) END"
+
+
+@query(
+    "C35",
+    f"""WITH s AS (SELECT doc_id, {strip_sql("text")} AS x FROM documents), w AS (SELECT *, {WORDS.format("x")} AS words,
+  len(list_distinct(string_split(lower(x), ''))) / length(x)::DOUBLE AS variety FROM s)
+SELECT doc_id, round(CASE WHEN length(x) < 10 THEN 0.0 WHEN words < 10 THEN 30.0 ELSE least(100.0::DOUBLE, least(85.0::DOUBLE, 50.0 + words / 10.0::DOUBLE * 2) + variety * 10) END, 6) AS confidence FROM w""",
+)
+def extraction_confidence(t):
+    return _prose(t).select(
+        "doc_id", F.round(dx.text_confidence(F.col("text")), 6).alias("confidence")
+    )
+
+
+@query(
+    "C36 C37",
+    f"""WITH q AS (SELECT doc_id, lang, CAST(doc_id % 100 AS DOUBLE) AS ocr, list_transform(string_split(text, chr(10) || chr(10)), lambda p: {WORDS.format(strip_sql("p"))}) AS words,
+  regexp_matches(text, '\\||\\t') AS table_detected, {sql_any("lower(text)", ["form", "field", "checkbox"])} AS form_detected FROM documents),
+b AS (SELECT *, len(list_filter(words, lambda w: w < 10)) AS blank FROM q)
+SELECT doc_id, blank AS blank_page_count, table_detected, form_detected, concat_ws('|', CASE WHEN ocr / 100.0 < 0.75 THEN 'Low classification confidence: ' || printf('%.2f', ocr / 100.0) END,
+  CASE WHEN ocr < 50 THEN 'Low OCR confidence: ' || printf('%.1f', ocr) || '%' END, CASE WHEN blank > 0 THEN 'Blank pages detected: ' || blank END,
+  CASE WHEN lang = 'es' THEN 'Document type could not be determined' END, CASE WHEN blank > 0 THEN 'Pages needing review: ' || blank END) AS reasons FROM b""",
+)
+def document_quality(t):
+    docs = ops.assess(_prose(t).withColumn("page_count", F.lit(1)), "text", "page_count")
+    ocr = (F.col("doc_id") % 100).cast("double")
+    kind = F.when(F.col("lang") == "es", "unknown").otherwise("lease")
+    return docs.select(
+        "doc_id", F.col("blank_page_count").cast("bigint").alias("blank_page_count"),
+        "table_detected", "form_detected",
+        F.array_join(dx.review_reasons(kind, ocr / 100.0, ocr), "|").alias("reasons"),
+    )
+
+
+def _all(pattern: str) -> str:
+    return f"regexp_extract_all(text, {quote(pattern)})"
+
+
+_P = {kind: pattern for kind, pattern, _ in fv.PII_PATTERNS}
+LUHN = (
+    "list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) "
+    "WHEN CAST(d[i] AS INT) * 2 > 9 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END)) % 10 = 0"
+)
+
+
+@query(
+    "C38 C39",
+    f"""WITH c AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest({_all(_P["credit_card"])}), '[-\\s]', '', 'g') AS d FROM documents)
+  WHERE length(d) BETWEEN 13 AND 19 AND {LUHN} GROUP BY 1)
+SELECT doc_id, len(list_filter(list_transform({_all(_P["ssn"])}, lambda v: regexp_replace(v, '[-\\s]', '', 'g')), lambda s: length(s) = 9 AND NOT regexp_matches(s, '^(000|666)')
+    AND substr(s, 4, 2) <> '00' AND substr(s, 6, 4) <> '0000')) AS ssn, len({_all(_P["phone"])}) AS phone, len({_all(_P["email"])}) AS email,
+  coalesce(c.n, 0) AS credit_card, len(list_filter({_all(_P["bank_account"])}, lambda v: NOT regexp_matches(v, '^0+$'))) AS bank_account
+FROM documents LEFT JOIN c USING (doc_id)""",
+)
+def personal_data_counts(t):
+    counts = pii.pii_counts(F.col("text"))
+    return _prose(t).select(
+        "doc_id", *[c.cast("bigint").alias(kind) for kind, c in counts.items()]
+    )
+
+
+@query("C40")
+def redacted_conversations(t):
+    done = ops.redact_documents(spread(t.conversations), "text", "MASK")
+    return done.select(
+        "conv_id", "turn", "redaction_applied", F.md5("redacted_text").alias("redacted_hash")
+    )
+
+
+@query("C38 C40 W11")
+def redacted_documents(t):
+    done = ops.redact_documents(_prose(t), "text", "TAG")
+    return done.select(
+        "doc_id", "redaction_applied", F.size("detections").alias("detections"),
+        F.array_join(F.transform("detections", lambda d: d["kind"]), ",").alias("kinds"),
+        F.md5("redacted_text").alias("redacted_hash"),
+    )
+
+
+_LANG = " ".join(
+    f"WHEN s{i} > 0 AND s{i} = m THEN '{code}'" for i, code in enumerate(dx.STOP_WORDS)
+)
+
+
+@query(
+    "C41",
+    f"""WITH w AS (SELECT doc_id, lang, text, string_split_regex(lower(text), '[\\s.,;:!?]+') AS toks FROM documents),
+s AS (SELECT *, {", ".join(f"len(list_intersect(toks, [{', '.join(quote(x) for x in words)}])) AS s{i}" for i, words in enumerate(dx.STOP_WORDS.values()))} FROM w),
+g AS (SELECT *, greatest(s0, s1, s2, s3) AS m FROM s),
+d AS (SELECT lang, CASE WHEN length({strip_sql("text")}) < 10 THEN NULL {_LANG} END AS guessed FROM g)
+SELECT lang, guessed, coalesce(lower(guessed) IN ('ar', 'he', 'ur', 'fa', 'yi'), FALSE) AS is_rtl, count(*) AS documents FROM d GROUP BY ALL""",
+)
+def language_flags(t):
+    guessed = _prose(t).select("lang", dx.guess_language(F.col("text")).alias("guessed"))
+    return guessed.groupBy("lang", "guessed", dx.is_rtl(F.col("guessed")).alias("is_rtl")).agg(
+        F.count(F.lit(1)).alias("documents")
+    )
+
+
+_MIME = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fv.MIME_TYPES.items())
+
+
+@query(
+    "C42",
+    f"""SELECT page_id, sha256(html) AS file_hash, octet_length(encode(html)) AS file_size_bytes, TRUE AS size_ok,
+  CASE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) {_MIME} ELSE 'application/octet-stream' END AS guessed_mime FROM pages""",
+)
+def file_facts(t):
+    facts = dx.file_facts(F.col("url"), F.col("html"))
+    return t.pages.select("page_id", *[c.alias(n) for n, c in facts.items()])
+
+
+@query(
+    "W9",
+    """WITH a AS (SELECT document_id, max(confidence) FILTER (WHERE tier LIKE 'tier1%' AND is_native_pdf) AS c1, max(confidence) FILTER (WHERE tier LIKE 'tier2%') AS c2,
+  max(confidence) FILTER (WHERE tier LIKE 'tier3%') AS c3, bool_or(force_high_quality) AS f, count(*) AS attempts FROM v_attempts GROUP BY 1),
+b AS (SELECT *, coalesce(c1, -1) AS b1, c2 IS NOT NULL AND (coalesce(c1, -1) < 60 OR f) AS u2 FROM a),
+c AS (SELECT *, greatest(b1, CASE WHEN u2 THEN c2 ELSE -1 END) AS b2 FROM b), d AS (SELECT *, CASE WHEN c3 IS NOT NULL AND (b2 < 60 OR f) THEN c3 ELSE -1 END AS b3 FROM c)
+SELECT document_id, attempts, CASE WHEN b3 > b2 THEN 'tier3_mistral' WHEN u2 AND c2 > b1 THEN 'tier2_tesseract' WHEN c1 IS NOT NULL THEN 'tier1_pypdf2' END AS best_tier,
+  CAST(nullif(greatest(b2, b3), -1) AS DOUBLE) AS best_confidence FROM d""",
+)
+def best_extraction_attempts(t):
+    return ops.best_attempts(t.attempts)
+
+
+@query(
+    "A31",
+    """SELECT document_id, CAST(sum(CASE WHEN tier LIKE 'tier3%' THEN page_count ELSE 0 END) AS BIGINT) AS tier3_pages,
+  round(sum(CASE WHEN tier LIKE 'tier3%' THEN cost ELSE 0 END)::DOUBLE, 6) AS tier3_cost, count(*) FILTER (WHERE tier LIKE 'tier1%') AS tier1_attempts,
+  count(*) FILTER (WHERE tier LIKE 'tier2%') AS tier2_attempts, count(*) FILTER (WHERE tier LIKE 'tier3%') AS tier3_attempts FROM v_attempts GROUP BY 1""",
+)
+def extraction_costs(t):
+    costs = ops.extraction_costs(t.attempts)
+    return costs.withColumn("tier3_cost", F.round(as_double("tier3_cost"), 6))
