@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -191,33 +192,63 @@ def rate_limit(
 
     key_type = requests.schema[key].dataType.simpleString()
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_hour")
-        level, levels = limit, []
-        for shift, low, high in zip(frame["shift"], frame["low"], frame["high"]):
-            levels.append(level)
-            level = min(high, max(low, level + shift))
-        return pd.DataFrame({key: frame[key], "_hour": frame["_hour"], "tokens": levels})
-
-    starts = hours.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _hour bigint, tokens bigint")
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_t")
-        level, admitted = int(frame["tokens"].iloc[0]), []
-        for refill, n in zip(frame["refill"], frame["n"]):
-            level = min(limit, level + refill)
-            taken = min(n, level)
-            level -= taken
-            admitted.append(taken)
-        return pd.DataFrame({key: frame[key], "_t": frame["_t"], "admitted": admitted})
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level = object(), limit
+        for frame in batches:
+            levels = []
+            for name, shift, low, high in zip(
+                frame[key], frame["shift"], frame["low"], frame["high"]
+            ):
+                if name != current:
+                    current, level = name, limit
+                levels.append(level)
+                level = min(high, max(low, level + shift))
+            yield pd.DataFrame({key: frame[key], "_hour": frame["_hour"], "tokens": levels})
+
+    starts = (
+        hours.repartition(key)
+        .sortWithinPartitions(key, "_hour")
+        .mapInPandas(chain, f"{key} {key_type}, _hour bigint, tokens bigint")
+    )
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level = object(), 0
+        for frame in batches:
+            admitted = []
+            for name, hour, tokens, refill, n in zip(
+                frame[key], frame["_hour"], frame["tokens"], frame["refill"], frame["n"]
+            ):
+                if (name, hour) != current:
+                    current, level = (name, hour), tokens
+                level = min(limit, level + refill)
+                taken = min(n, level)
+                level -= taken
+                admitted.append(taken)
+            yield pd.DataFrame({key: frame[key], "_t": frame["_t"], "_admitted": admitted})
 
     replayed = (
         steps.join(starts, [key, "_hour"])
-        .groupBy(key, "_hour")
-        .applyInPandas(replay, f"{key} {key_type}, _t bigint, admitted bigint")
+        .repartition(key, "_hour")
+        .sortWithinPartitions(key, "_hour", "_t")
+        .mapInPandas(replay, f"{key} {key_type}, _t bigint, _admitted bigint")
+    )
+    rows = (
+        requests.withColumn("_t", _epoch("ts"))
+        .join(replayed, [key, "_t"])
+        .join(instant.select(key, "_t", "n"), [key, "_t"])
     )
-    rows = requests.withColumn("_t", _epoch("ts")).join(replayed, [key, "_t"])
+    # an instant admitted in part lets its first requests pass; at most ``limit`` of them
     within = ordered.Window.partitionBy(key, "_t").orderBy("arrival_id")
-    return rows.withColumn(
-        "admitted", F.row_number().over(within) <= F.col("admitted")
-    ).drop("_t")
+    part = (F.col("_admitted") > 0) & (F.col("_admitted") < F.col("n"))
+    winners = (
+        rows.filter(part)
+        .withColumn("_rn", F.row_number().over(within))
+        .filter(F.col("_rn") <= limit)
+        .filter(F.col("_rn") <= F.col("_admitted"))
+        .select("arrival_id", F.lit(True).alias("_won"))
+    )
+    return (
+        rows.join(winners, "arrival_id", "left")
+        .withColumn("admitted", (F.col("_admitted") == F.col("n")) | F.col("_won").isNotNull())
+        .drop("_t", "n", "_admitted", "_won")
+    )
