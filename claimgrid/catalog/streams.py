@@ -1 +1,138 @@
-"""Registered queries."""
+"""Streams over the event and order files, run to completion and compared with batch results."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from claimgrid.catalog import query
+from claimgrid.session import checkpoint_dir
+from claimgrid.streaming import jobs
+
+
+def _events(t):
+    """The event file as a stream, and a fresh scratch folder beside the checkpoints."""
+    schema = t.events.schema
+    scratch = f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    return jobs.read_events(t.spark, t.folder, "events.parquet", schema), scratch
+
+
+def _metrics(events):
+    kind = (
+        F.when(F.col("event_type") == "signup", "lease").when(F.col("event_type") == "view", "invoice")
+        .when(F.col("event_type") == "error", "unknown").otherwise("addendum")
+    )
+    tier = (
+        F.when(F.col("event_type") == "signup", "tier2_tesseract")
+        .when(F.col("event_type") == "error", "tier3_mistral")
+        .when(F.col("event_type") == "view", "tier1_pypdf2").otherwise("tier1_pdfplumber")
+    )
+    value = F.col("value")
+    return events.select(
+        "ts", kind.alias("document_type"), tier.alias("tier"),
+        F.floor(value * 400).alias("processing_time_ms"),
+        F.when(value > 100, 100.0 - value / 10).otherwise(100.0 - value).alias("confidence"),
+    )
+
+
+@query("ST1", "SELECT DISTINCT file_hash FROM v_arrivals")
+def stream_unique_arrivals(t):
+    events, scratch = _events(t)
+    arrivals = events.select(
+        "ts", F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("file_hash")
+    )
+    unique = jobs.unique_arrivals(arrivals)
+    return jobs.run_to_table(unique, scratch + "/out", scratch + "/cp").select("file_hash")
+
+
+@query(
+    "ST2",
+    """WITH w AS (SELECT date_trunc('hour', ts) AS s, document_type, processing_time_ms FROM v_metrics)
+SELECT epoch_us(s) AS start_us, document_type, count(*) AS documents, round(avg(processing_time_ms), 6) AS avg_time_ms, max(processing_time_ms) AS max_time_ms,
+  count(*) FILTER (WHERE processing_time_ms > 60000) AS violations FROM w
+WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM v_metrics) GROUP BY ALL""",
+)
+def stream_sla_windows(t):
+    events, scratch = _events(t)
+    windows = jobs.sla_windows(_metrics(events))
+    return jobs.run_to_table(windows, scratch + "/out", scratch + "/cp").select(
+        F.unix_micros("start").alias("start_us"), "document_type", "documents",
+        F.round("avg_time_ms", 6).alias("avg_time_ms"), "max_time_ms", "violations",
+    )
+
+
+@query(
+    "ST3",
+    """WITH m AS (SELECT ts, substr(tier, 1, 5) AS tier, confidence FROM v_metrics),
+w AS (SELECT date_trunc('hour', ts) - h.k * INTERVAL 1 HOUR AS s, tier, confidence FROM m, (SELECT unnest(generate_series(0, 23)) AS k) h)
+SELECT epoch_us(s) AS start_us, tier, count(*) AS documents, count(*) FILTER (WHERE confidence < 50) AS low_confidence,
+  count(*) FILTER (WHERE confidence < 50) / count(*)::DOUBLE / 0.05::DOUBLE >= 1.0 AS exhausted FROM w
+WHERE s + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM v_metrics) GROUP BY ALL""",
+)
+def stream_error_budget(t):
+    events, scratch = _events(t)
+    windows = jobs.error_budget_windows(_metrics(events))
+    return jobs.run_to_table(windows, scratch + "/out", scratch + "/cp").select(
+        F.unix_micros("start").alias("start_us"), "tier", "documents", "low_confidence", "exhausted"
+    )
+
+
+@query(
+    "ST4",
+    """WITH e AS (SELECT 'batch-' || CAST(user_id % 25 AS VARCHAR) AS batch_id, user_id AS claim_id,
+  CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT batch_id, count(*) AS claim_count, count(*) FILTER (WHERE status IN ('completed', 'failed')) AS processed_count,
+  count(*) FILTER (WHERE status = 'completed') AS successful_count, count(*) FILTER (WHERE status = 'failed') AS failed_count FROM e WHERE rn = 1 GROUP BY 1""",
+)
+def stream_batch_progress(t):
+    events, scratch = _events(t)
+    status = (
+        F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "view", "processing")
+        .when(F.col("event_type") == "error", "failed").otherwise("completed")
+    )
+    changes = events.select(
+        F.concat(F.lit("batch-"), (F.col("user_id") % 25).cast("string")).alias("batch_id"),
+        F.col("user_id").alias("claim_id"), "event_id", "ts", status.alias("status"),
+    )
+    return jobs.run_batch_progress(changes, scratch + "/out", scratch + "/cp")
+
+
+@query(
+    "ST5",
+    """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, arrival_id) AS rn, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, arrival_id) AS prev FROM v_arrivals),
+s AS (SELECT *, coalesce(CAST(floor((epoch_us(ts) - epoch_us(prev)) / 1e6 * (2 / 86400.0::DOUBLE)) AS BIGINT), 0) AS refill FROM o),
+w AS (SELECT user_id, arrival_id, rn, 1::BIGINT AS tokens, TRUE AS admitted FROM s WHERE rn = 1
+  UNION ALL SELECT s.user_id, s.arrival_id, s.rn, greatest(least(2, w.tokens + s.refill) - 1, 0), least(2, w.tokens + s.refill) >= 1 FROM w JOIN s ON s.user_id = w.user_id AND s.rn = w.rn + 1)
+SELECT arrival_id, user_id, admitted FROM w""",
+)
+def stream_rate_limit(t):
+    events, scratch = _events(t)
+    requests = events.select(F.col("event_id").alias("arrival_id"), "user_id", "ts")
+    admitted = jobs.admitted_requests(requests, 2, 86400.0)
+    return jobs.run_to_table(admitted, scratch + "/out", scratch + "/cp")
+
+
+@query("ST6", name="stream_adjudication")
+def stream_adjudication(t):
+    scratch = f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    from claimgrid.sources.views import DESCRIPTIONS
+    from claimgrid.functions.text import text_array
+
+    lines = (
+        t.spark.readStream.schema(t.lineitem.schema)
+        .option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
+    )
+    items = lines.select(
+        F.col("l_orderkey").alias("claim_id"),
+        F.element_at(text_array(DESCRIPTIONS), (F.col("l_partkey") % 40 + 1).cast("int")).alias("description"),
+        (F.col("l_extendedprice") * 0.01).cast("decimal(12,2)").alias("amount"),
+    )
+    current = jobs.run_adjudication(
+        items, t.claims, t.documents, scratch + "/out", scratch + "/cp"
+    )
+    return current.groupBy("proposed_status", "rule_branch").agg(
+        F.count(F.lit(1)).alias("claims"),
+        F.sum("proposed_benefit_amount").cast("double").alias("benefit"),
+    )

@@ -31,12 +31,20 @@ def text_array(values: Iterable[str]) -> Column:
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions, F.lit(False))
+    return reduce(lambda left, right: left | right, conditions)
 
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
-    """Any phrase occurs as a substring: one alternation, compiled once per task."""
-    return text.rlike("|".join(re.escape(phrase) for phrase in phrases))
+    """Any phrase occurs as a substring.
+
+    A phrase that holds an earlier one ('carpet cleaning' holds 'cleaning') cannot add a match and
+    is left out; byte search beats a regular expression here.
+    """
+    kept: list[str] = []
+    for phrase in sorted(set(phrases), key=len):
+        if not any(shorter in phrase for shorter in kept):
+            kept.append(phrase)
+    return any_of(text.contains(phrase) for phrase in kept)
 
 
 def contained(text: Column, phrases: Iterable[str]) -> Column:
@@ -53,16 +61,16 @@ def matches_any_phrase(
     text: Column, phrases: Iterable[str], limit: int = fv.WORD_BOUNDARY_MAX_LENGTH
 ) -> Column:
     """Whole-word match for short phrases ('pet' is not in 'carpet'), substring for longer ones."""
-    return text.rlike(
-        "|".join(
-            rf"\b{re.escape(p)}\b" if len(p) <= limit else re.escape(p) for p in phrases
-        )
-    )
+    short = [p for p in phrases if len(p) <= limit]
+    found = contains_any(text, [p for p in phrases if len(p) > limit])
+    if short:
+        whole_word = text.rlike(r"\b(" + "|".join(re.escape(p) for p in short) + r")\b")
+        found = found | (contains_any(text, short) & whole_word)
+    return found
 
 
-def phrase_flags(description: Column) -> dict[str, Column]:
-    """The nine phrase flags of a line item; a missing description matches nothing."""
-    lowered = F.lower(F.coalesce(description, F.lit("")))
+def phrase_flags(lowered: Column) -> dict[str, Column]:
+    """The nine phrase flags of a lower-cased, non-null description."""
     flags = {}
     for flag, phrases in fv.PHRASES.items():
         if flag in fv.WORD_BOUNDARY_FLAGS:

@@ -40,14 +40,15 @@ HIT = (
 
 def flag_items(items: DataFrame) -> DataFrame:
     """Add the phrase flags and ``is_after_lease_end`` (only where both dates exist)."""
-    flags = phrase_flags(F.col("description"))
+    flags = phrase_flags(F.col("_lowered"))
     if {"charge_date", "lease_end_date"} <= set(items.columns):
         flags["is_after_lease_end"] = after_lease_end(
             F.col("charge_date"), F.col("lease_end_date")
         )
     else:
         flags["is_after_lease_end"] = F.lit(False)
-    return items.withColumns(flags)
+    lowered = F.lower(F.coalesce(F.col("description"), F.lit("")))
+    return items.withColumn("_lowered", lowered).withColumns(flags).drop("_lowered")
 
 
 def should_include(amount: Column, is_normal_wear_tear: Column) -> Column:

@@ -62,6 +62,7 @@ def _fold(groups: DataFrame) -> DataFrame:
         "claim_id",
         (-F.col("x.c")).alias("confidence"),
         (-F.col("x.a")).alias("cents"),
+        F.col("x.n").alias("n"),
         F.col("x.kept").alias("kept"),
     )
 
@@ -111,6 +112,7 @@ def _phases(groups: DataFrame, partitions: int, max_phases: int = 10_000) -> Dat
         done.append(
             joined.filter(before | (position == F.col("_stop"))).select(
                 *GROUP,
+                "n",
                 F.when(before, F.when(F.col("_small"), F.col("n")).otherwise(F.lit(0)))
                 .otherwise(F.col("_fit"))
                 .cast("bigint")
@@ -136,7 +138,7 @@ def greedy_fit(
     limits = caps.select("claim_id", (F.col("cap_amount") * 100).cast("bigint").alias("cap"))
     totals = priced.groupBy("claim_id").agg(F.sum("cents").alias("_total"))
     over = totals.join(limits, "claim_id").filter(F.col("_total") > F.col("cap"))
-    groups = (
+    groups = cut_lineage(
         priced.join(over.select("claim_id", "cap"), "claim_id")
         .groupBy(*GROUP)
         .agg(F.count(F.lit(1)).alias("n"), F.first("cap").alias("cap"))
@@ -149,8 +151,6 @@ def greedy_fit(
             _phases(groups.join(large, "claim_id", "left_semi"), partitions)
         )
     placed = priced.join(fitted, GROUP, "left")
-    counts = groups.select(*GROUP, "n")
-    placed = placed.join(counts, GROUP, "left")
     split = (F.col("kept") > 0) & (F.col("kept") < F.col("n"))
     # only groups that are taken in part need a rank among equals
     whole = placed.filter(~F.coalesce(split, F.lit(False))).withColumn(
