@@ -222,8 +222,9 @@ SELECT claim_id, count(*) AS included_items, count(*) FILTER (WHERE took) AS kep
 FROM w WHERE rn > 0 GROUP BY claim_id""",
 )
 def items_fitted_to_cap(t):
-    ruled = classify.apply_rules(with_suggestions(t.items)).withColumn(
-        "confidence", F.col("suggested_confidence")
+    ruled = classify.apply_rules(with_suggestions(t.items)).select(
+        "claim_id", "amount", F.col("suggested_confidence").alias("confidence"),
+        "should_be_included", *FIT_ORDER,
     )
     fitted = decide.fit_to_cap(ruled, t.claims, FIT_ORDER).join(
         t.claims.filter(F.col("claim_amount").isNotNull()).select("claim_id"), "claim_id", "left_semi"
@@ -256,13 +257,10 @@ def normalized_line_items(t):
     "F12 C11",
     """SELECT decision_id, c.claim_tracking_number, CAST(c.claim_amount AS DOUBLE) AS claim_amount,
   CASE WHEN json_valid(approved_line_items) THEN json_array_length(approved_line_items) ELSE 0 END AS approved_count,
-  CASE WHEN json_valid(ineligible_line_items) THEN json_array_length(ineligible_line_items) ELSE 0 END AS ineligible_count,
+  CASE WHEN json_valid(ineligible_line_items) THEN coalesce(json_array_length(ineligible_line_items), 0) ELSE 0 END AS ineligible_count,
   CASE WHEN contains(flags, 'Manual') THEN 'Manual_review_needed,rerun' WHEN contains(flags, 'no_eligible') THEN 'no_eligible_charges' ELSE '' END AS flag_text,
   CASE WHEN contains(missing_data, 'lease_start') THEN 'lease_start_date' ELSE '' END AS missing_fields
-FROM v_decisions d JOIN v_claims c USING (claim_id)""".replace(
-        "THEN json_array_length(ineligible_line_items) ELSE 0 END",
-        "THEN coalesce(json_array_length(ineligible_line_items), 0) ELSE 0 END",
-    ),
+FROM v_decisions d JOIN v_claims c USING (claim_id)""",
 )
 def decision_views(t):
     return decide.decision_view(t.decisions, t.claims).select(

@@ -229,11 +229,8 @@ def claim_document_counts(t):
 FROM v_claims c LEFT JOIN v_decisions d ON d.claim_id = c.claim_id AND d.is_active
 LEFT JOIN v_documents cd ON cd.claim_id = c.claim_id
 WHERE c.status IN ('pending', 'processing') AND c.created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
-GROUP BY ALL, c.created_at ORDER BY c.priority DESC, c.created_at, c.claim_id LIMIT 100""".replace(
-        "GROUP BY ALL, c.created_at",
-        "GROUP BY c.claim_id, c.claim_tracking_number, c.status, c.priority, d.proposed_status, "
-        "d.proposed_benefit_amount, d.confidence_score, c.created_at",
-    ),
+GROUP BY c.claim_id, c.claim_tracking_number, c.status, c.priority, d.proposed_status, d.proposed_benefit_amount,
+  d.confidence_score, c.created_at ORDER BY c.priority DESC, c.created_at, c.claim_id LIMIT 100""",
 )
 def batch_evaluation_view(t):
     return rel.batch_view(t.claims, t.decisions, t.documents, AS_OF, 30, 100).select(
@@ -569,12 +566,9 @@ def supersede_chain(t):
 @query(
     "S8 L5",
     """WITH a AS (SELECT decision_id, claim_id, decided_at, engine_version FROM v_decisions
-  UNION ALL SELECT claim_id * 10 + 9, claim_id, TIMESTAMP '2002-01-01', 'v3.0.0' FROM v_claims WHERE status = 'pending')
-SELECT engine_version, lead(decision_id) OVER (PARTITION BY claim_id ORDER BY decided_at, decision_id) IS NULL AS is_active,
-  count(*) AS decisions FROM a GROUP BY ALL""".replace(
-        "SELECT engine_version, lead(decision_id) OVER (PARTITION BY claim_id ORDER BY decided_at, decision_id) IS NULL AS is_active,\n  count(*) AS decisions FROM a GROUP BY ALL",
-        ", b AS (SELECT engine_version, lead(decision_id) OVER (PARTITION BY claim_id ORDER BY decided_at, decision_id) IS NULL AS is_active FROM a)\nSELECT engine_version, is_active, count(*) AS decisions FROM b GROUP BY ALL",
-    ),
+  UNION ALL SELECT claim_id * 10 + 9, claim_id, TIMESTAMP '2002-01-01', 'v3.0.0' FROM v_claims WHERE status = 'pending'),
+b AS (SELECT engine_version, lead(decision_id) OVER (PARTITION BY claim_id ORDER BY decided_at, decision_id) IS NULL AS is_active FROM a)
+SELECT engine_version, is_active, count(*) AS decisions FROM b GROUP BY ALL""",
 )
 def appended_decisions(t):
     cols = ["decision_id", "claim_id", "decided_at", "engine_version"]

@@ -31,7 +31,12 @@ def text_array(values: Iterable[str]) -> Column:
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions)
+    """OR of all conditions as a balanced tree, which keeps generated code shallow."""
+    level = list(conditions)
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [reduce(lambda left, right: left | right, pair) for pair in pairs]
+    return level[0]
 
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:

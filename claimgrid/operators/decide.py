@@ -20,16 +20,15 @@ def _money(value) -> Column:
     return F.lit(value).cast(WIDE_MONEY)
 
 
-def counts_towards_invoice() -> Column:
+def counts_towards_invoice(lowered: Column) -> Column:
     """A real charge: not a prior balance, rent, fee or payment (its own phrase lists)."""
-    lowered = F.lower(F.coalesce(F.col("description"), F.lit("")))
     excluded = [phrase for phrases in fv.INVOICE_TOTAL_EXCLUSIONS.values() for phrase in phrases]
     return ~contains_any(lowered, excluded) & (F.col("amount") >= 0)
 
 
 def item_totals(ruled: DataFrame) -> DataFrame:
     """Per claim totals and counts in one aggregation; input is ``apply_rules`` output."""
-    amount = F.col("amount").cast(WIDE_MONEY)
+    amount = F.col("amount")
     included = F.col("should_be_included")
     failed = (
         F.col("json_validation_failed")
@@ -38,10 +37,17 @@ def item_totals(ruled: DataFrame) -> DataFrame:
     )
 
     def total(condition: Column) -> Column:
-        return F.sum(F.when(condition, amount).otherwise(_money(0))).cast(WIDE_MONEY)
+        # whole cents add up as machine integers; decimals of this width would not
+        cents = F.sum(F.when(condition, F.col("_cents")).otherwise(F.lit(0)))
+        return (cents.cast("decimal(26,0)") / 100).cast(WIDE_MONEY)
 
-    return ruled.groupBy("claim_id").agg(
-        total(counts_towards_invoice()).alias("invoice_total"),
+    lowered = F.lower(F.coalesce(F.col("description"), F.lit("")))
+    cents = (amount.cast("decimal(12,2)") * 100).cast("bigint")
+    marked = ruled.withColumns({"_lowered": lowered, "_cents": cents}).withColumn(
+        "_counts", counts_towards_invoice(F.col("_lowered"))
+    )
+    return marked.groupBy("claim_id").agg(
+        total(F.col("_counts")).alias("invoice_total"),
         total(included).alias("included_total"),
         total(~included).alias("excluded_total"),
         total(included & (amount >= 0)).alias("charge_total"),

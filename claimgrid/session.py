@@ -7,6 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Rule-heavy projections generate methods above 8,000 bytecodes, which the JVM never compiles to
+# machine code. At this limit Spark evaluates such a stage in smaller compiled pieces instead.
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings that may change on a running session."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def get_spark(app: str = "claimgrid", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on: UTC, ANSI, AQE.
 
@@ -16,7 +31,7 @@ def get_spark(app: str = "claimgrid", master: str | None = None, **conf: str) ->
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME_SETTINGS,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",

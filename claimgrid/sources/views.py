@@ -12,6 +12,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimgrid.session import tune
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -323,8 +325,7 @@ class Tables:
     """Driver tables and claims-model views of one folder, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark = spark
+        self.spark = tune(spark)
         self.folder = folder
         self._suffix = f"_{zlib.crc32(folder.encode()):08x}"
 
