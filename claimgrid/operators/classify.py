@@ -22,6 +22,7 @@ from claimgrid.functions.text import (
     sql_text,
     text_array,
 )
+from claimgrid.plans.barrier import computed_once
 from claimgrid.rules import fixed_values as fv
 from claimgrid.rules.ruleset import RuleSet, normalize_text, status_of
 
@@ -623,14 +624,15 @@ def ab_summary(pairs: DataFrame, expected: str | None = None) -> DataFrame:
 def ab_details(pairs: DataFrame) -> DataFrame:
     """Status flips and confidence moves of more than five points, with the signed delta."""
     delta = F.col("treatment_confidence") - F.col("control_confidence")
-    return (
-        pairs.withColumn("confidence_delta", delta)
-        .withColumn("status_flip", F.col("control_status") != F.col("treatment_status"))
-        .withColumn(
-            "confidence_move",
-            F.when(delta > 5, "up").when(delta < -5, "down").otherwise("same"),
-        )
-        .filter(F.col("status_flip") | (F.col("confidence_move") != "same"))
+    compared = pairs.withColumns(
+        {
+            "confidence_delta": delta,
+            "status_flip": F.col("control_status") != F.col("treatment_status"),
+            "confidence_move": F.when(delta > 5, "up").when(delta < -5, "down").otherwise("same"),
+        }
+    )
+    return computed_once(compared, ["confidence_delta", "status_flip", "confidence_move"]).filter(
+        F.col("status_flip") | (F.col("confidence_move") != "same")
     )
 
 
