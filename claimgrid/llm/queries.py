@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import decontaminate, mixing, sharding
+from claimgrid.llm import decontaminate, extract, mixing, sharding
 from claimgrid.llm.common import importable
 
 
@@ -16,6 +16,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op4_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract_main_text(_table(spark, folder, "pages"))
+
+
 def op5_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, folder, "documents"))
 
@@ -24,6 +28,6 @@ def op7_budget_fitting(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_virtual_slots, op7_budget_fitting)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_template_extraction, op5_virtual_slots, op7_budget_fitting)}
 
 ORACLE_SQL: dict[str, str] = {}
