@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import decontaminate, extract, mixing, sharding
+from claimgrid.llm import decontaminate, extract, line_rules, mixing, sharding, url_model
 from claimgrid.llm.common import importable
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules.rated(_table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -28,6 +32,10 @@ def op7_budget_fitting(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_template_extraction, op5_virtual_slots, op7_budget_fitting)}
+def op8_markov_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    return url_model.judged(_table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_decontamination, op4_template_extraction, op5_virtual_slots, op7_budget_fitting, op8_markov_ratio)}
 
 ORACLE_SQL: dict[str, str] = {}
