@@ -195,3 +195,54 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if labels.where("old <> component").limit(1).count() == 0:
             return labels.select("node", "component")
         labels = labels.select("node", "component")
+
+
+# ---- labelled samples ----------------------------------------------------------------------
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_bytes: int
+) -> list[tuple[str, int]]:
+    """A bounded sample of (text, label): per class the first ``per_class`` documents in hash order
+    among rows of ``labels`` that ``learn`` admits, with texts of at most ``max_bytes`` bytes.
+
+    A document labelled both ways counts as 1; of repeated rows the least text stands for all. At
+    most ``2 * per_class * max_bytes`` bytes reach the driver.
+    """
+    value = F.col(label).cast("int")
+    known = labels.where(learn & value.isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(value).alias("__label"))
+    picked = None
+    for y in (0, 1):
+        part = known.where(F.col("__label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        picked = part if picked is None else picked.union(part)
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
+    # At most 2 * per_class ids.
+    rows = short.join(F.broadcast(stored(picked)), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    return [(r["text"], r["__label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+
+
+def bucket_of_id(doc_id: Column, modulus: int) -> Column:
+    """CRC-32 of the id as text, modulo; null ids have none."""
+    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(modulus))
+
+
+class Adam:
+    """Adam steps on a dictionary of float32 arrays."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float):
+        self.w, self.rate, self.t = weights, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        for k, g in grads.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.w[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * np.tanh(0.5 * x) + 0.5

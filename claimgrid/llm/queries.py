@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import decontaminate, extract, line_rules, mixing, sharding, url_model
+from claimgrid.llm import byte_cnn, decontaminate, extract, line_rules, mixing, sharding, toxic_gru, url_model
 from claimgrid.llm.common import importable
 
 
@@ -20,6 +20,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_cnn.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract_main_text(_table(spark, folder, "pages"))
 
@@ -28,6 +32,10 @@ def op5_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, folder, "documents"))
 
 
+def op6_attention_gru(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic_gru.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_budget_fitting(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
@@ -36,6 +44,18 @@ def op8_markov_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.judged(_table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_decontamination, op4_template_extraction, op5_virtual_slots, op7_budget_fitting, op8_markov_ratio)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_frequency,
+        op2_decontamination,
+        op3_byte_cnn,
+        op4_template_extraction,
+        op5_virtual_slots,
+        op6_attention_gru,
+        op7_budget_fitting,
+        op8_markov_ratio,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
