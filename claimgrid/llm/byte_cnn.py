@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from claimgrid.llm.common import Adam, blocks, bucket_of_id, labelled_sample, sigmoid, utf8
 
 #: Bytes of a chunk and of the step to the next one; a filter spans TAPS strides of STRIDE bytes.
-CHUNK, STEP, STRIDE, TAPS = 512, 448, 4, 4
-EMBEDDING, FILTERS = 8, 48
+CHUNK, STEP, STRIDE, TAPS = 512, 448, 4, 2
+EMBEDDING, FILTERS = 8, 32
 PAD = 256
-#: The training sample: documents of each class, and bytes of a text in it at most.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 32_768
-TRAIN_STEPS, BATCH, RATE, SEED = 700, 24, 0.004, 5
+#: The training sample: documents of class 0 and 1, and bytes of a text in it at most.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = (1500, 3500), 32_768
+TRAIN_STEPS, BATCH, RATE, SEED = 1200, 24, 0.004, 5
 #: Chunks convolved at once.
 AT_ONCE = 512
 

@@ -201,10 +201,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_bytes: int
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: tuple[int, int], max_bytes: int
 ) -> list[tuple[str, int]]:
-    """A bounded sample of (text, label): per class the first ``per_class`` documents in hash order
-    among rows of ``labels`` that ``learn`` admits, with texts of at most ``max_bytes`` bytes.
+    """A bounded sample of (text, label): for classes 0 and 1 the first ``per_class`` documents in hash
+    order among rows of ``labels`` that ``learn`` admits, with texts of at most ``max_bytes`` bytes.
 
     A document labelled both ways counts as 1; of repeated rows the least text stands for all. At
     most ``2 * per_class * max_bytes`` bytes reach the driver.
@@ -214,10 +214,10 @@ def labelled_sample(
     known = known.groupBy("doc_id").agg(F.max(value).alias("__label"))
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("__label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = known.where(F.col("__label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y])
         picked = part if picked is None else picked.union(part)
     short = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    # At most 2 * per_class ids.
+    # At most sum(per_class) ids.
     rows = short.join(F.broadcast(stored(picked)), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
     return [(r["text"], r["__label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 

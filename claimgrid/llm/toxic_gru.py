@@ -40,7 +40,7 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 18
 #: Byte runs of a marked word: all of the first length, and its beginnings of the others.
 CHAR_RUN, PREFIXES = 5, (7, 9)
 INPUT, HIDDEN = 5, 10
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 2500, 32_768
+SAMPLE_PER_CLASS, SAMPLE_BYTES = (2500, 2500), 32_768
 ROUNDS, BATCH, RATE, SEED = 8, 64, 0.01, 11
 #: Documents' worth of the prior in every log-odds.
 PRIOR = 5.0
