@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import byte_cnn, decontaminate, extract, line_rules, mixing, sharding, toxic_gru, url_model
+from claimgrid.llm import byte_cnn, decontaminate, extract, line_rules, mixing, prefix_join, sharding, toxic_gru, url_model
 from claimgrid.llm.common import importable
 
 
@@ -44,6 +44,10 @@ def op8_markov_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.judged(_table(spark, folder, "pages"))
 
 
+def op9_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_join.jaccard_components(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -55,6 +59,7 @@ QUERIES = {
         op6_attention_gru,
         op7_budget_fitting,
         op8_markov_ratio,
+        op9_grouped_prefix_join,
     )
 }
 
