@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import byte_cnn, decontaminate, extract, line_rules, mixing, prefix_join, sharding, toxic_gru, url_model
+from claimgrid.llm import byte_cnn, decontaminate, extract, line_rules, mixing, prefix_join, sharding, suffix_dedup, toxic_gru, url_model
 from claimgrid.llm.common import importable
 
 
@@ -48,6 +48,10 @@ def op9_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op10_two_stage_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -60,6 +64,7 @@ QUERIES = {
         op7_budget_fitting,
         op8_markov_ratio,
         op9_grouped_prefix_join,
+        op10_two_stage_suffixes,
     )
 }
 
