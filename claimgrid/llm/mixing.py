@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -138,57 +138,93 @@ def _fit_source(seed: int, max_repeats: int):
     return fit
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_repeats: int = MAX_REPEATS,
-    seed: int = SEED,
-) -> DataFrame:
-    """Every row of ``docs`` with size (words; 0 for null), source_size, target and taken.
+def _source_key(source: Column) -> Column:
+    """Null-safe key of a source: nulls cannot meet in an equi-join."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
-    Null sources form one source, placed last. Documents without words take nothing. Repeated
-    rows are ranked like any others, so each has a decision of its own. An empty table gives no
-    rows. Reruns agree: the order inside a length depends on seed, id and text only.
-    """
-    slim = stored(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("__order"),
-        ).withColumn("__sub", F.pmod(F.shiftrightunsigned("__order", 40), F.lit(N_SUBGROUPS)).cast("int"))
+
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """Adds source key, size in words, seeded order and sub-group to every row."""
+    rows = docs.withColumns(
+        {
+            "__src": _source_key(F.col("source")),
+            "__size": word_count(F.col("text")),
+            "__order": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
+        }
     )
-    # Null-safe grouping key: nulls cannot meet in an equi-join.
-    slim = slim.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    subgroups = stored(slim.groupBy("__src", "source", "size", "__sub").agg(F.count("*").alias("n")))
-    lengths = subgroups.groupBy("__src", "source", "size").agg(F.sum("n").alias("n"))
-    sources = stored(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_repeats))
-    keyed = sources.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
+    return rows.withColumn("__sub", F.pmod(F.shiftrightunsigned("__order", 40), F.lit(N_SUBGROUPS)).cast("int"))
+
+
+def _quotas(rows: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
+    """(__src, __size, __sub, source_size, target, repeats, __quota): what each sub-group gives."""
+    subgroups = stored(rows.groupBy("__src", "source", "__size", "__sub").agg(F.count("*").alias("n")))
+    lengths = subgroups.groupBy("__src", "source", F.col("__size").alias("size")).agg(F.sum("n").alias("n"))
+    sums = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    goals = stored(targets(sums, weights, max_repeats)).withColumn("__src", _source_key(F.col("source"))).drop("source")
     # One group per source: its distinct lengths, of which n words can hold no more than sqrt(2 n).
     picks = stored(
-        lengths.join(keyed, "__src")
+        lengths.join(goals, "__src")
         .groupBy("__src")
         .applyInPandas(
             _fit_source(seed, max_repeats),
             "source string, size long, source_size long, target double, repeats long, extra long",
         )
     )
-    picks = picks.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
-    upto = Window.partitionBy("__src", "size").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    quotas = stored(
+    picks = picks.select(_source_key(F.col("source")).alias("__src"), F.col("size").alias("__size"), "source_size", "target", "repeats", "extra")
+    upto = Window.partitionBy("__src", "__size").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
+    return stored(
         subgroups.drop("source")
         .withColumn("__before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-        .join(picks, ["__src", "size"])
+        .join(picks, ["__src", "__size"])
         .withColumn("__quota", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("__before"))))
-        .select("__src", "size", "__sub", "source_size", "target", "repeats", "__quota")
+        .select("__src", "__size", "__sub", *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "repeats")), "__quota")
     )
-    inside = Window.partitionBy("__src", "size", "__sub").orderBy("__order", "doc_id")
+
+
+def _decided(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Rows with ``__times``: how often each is taken."""
+    inside = Window.partitionBy("__src", "__size", "__sub").orderBy("__order", "doc_id")
     return (
-        slim.join(quotas, ["__src", "size", "__sub"])
+        rows.join(quotas, ["__src", "__size", "__sub"])
         .withColumn("__rank", F.row_number().over(inside))
-        .withColumn(
-            "taken",
-            F.col("size") * (F.col("repeats") + F.when(F.col("__rank") <= F.col("__quota"), 1).otherwise(0)),
-        )
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .withColumn("__times", F.col("__repeats") + F.when(F.col("__rank") <= F.col("__quota"), 1).otherwise(0))
     )
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_repeats: int = MAX_REPEATS,
+    seed: int = SEED,
+) -> DataFrame:
+    """Every row of ``docs`` with size (words; 0 for null), source_size, target and taken.
+
+    Null sources form one source, placed last. Documents without words take nothing. Repeated
+    rows are ranked like any others, so each has a decision of its own. An empty table gives no
+    rows. Reruns agree: the order inside a length depends on seed, id and text only.
+    """
+    rows = stored(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    return _decided(rows, _quotas(rows, weights, max_repeats, seed)).select(
+        "doc_id",
+        "source",
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__times")).alias("taken"),
+    )
+
+
+def mixture(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_repeats: int = MAX_REPEATS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken.
+
+    Same decisions as :func:`mix`; documents without words are not in the mix.
+    """
+    rows = _keyed(docs, seed)
+    slim = stored(rows.select("__src", "source", "__size", "__sub"))
+    taken = _decided(rows, _quotas(slim, weights, max_repeats, seed)).where("__times > 0 AND __size > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
