@@ -128,7 +128,7 @@ def utf8(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` bytes; a longer single text is a run of its own."""
     at, n = 0, len(offsets) - 1
     while at < n:

@@ -93,7 +93,7 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
                 central = True
             elif tag not in KEEP_INSIDE or any(w.startswith("comment") for w in words):
                 aside = aside or not ASIDE_WORDS.isdisjoint(words)
-            name += f"[{key.lower()}={re.sub(r'[0-9]+', '0', value)}]"
+            name += f"[{key.lower()}={re.sub(r'[0-9]{2,}', '0', value)}]"
         aside = aside or bool(HIDDEN.search(attributes))
     inherited = parent is not None and parent.aside
     return Node(tag, name, parent, aside or inherited, (central or (parent is not None and parent.central)) and not (aside or inherited))

@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 17
 #: Words that the proportional share leaves to the dynamic programme.
-RESERVE = 4096
+RESERVE = 16_384
 #: Seeded sub-groups of the documents of one source and length; only one of them is ranked.
 N_SUBGROUPS = 256
 
@@ -107,7 +107,7 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, target: float, seed: int, ma
         return repeats, extra
     draw = np.random.Generator(np.random.PCG64(seed)).random(len(lengths))
     usable = lengths > 0
-    extra = np.where(usable, np.minimum(counts, np.floor(counts * (budget / total) + draw)), 0).astype(np.int64)
+    extra = np.where(usable, np.minimum(counts, np.floor(counts * (max(0, budget - RESERVE) / total) + draw * (budget > RESERVE))), 0).astype(np.int64)
     order = [int(i) for i in np.argsort(draw, kind="stable") if usable[i]]
     rest = budget - int((lengths * extra).sum())
     for i in order:  # rounding took too much: give single lengths back
