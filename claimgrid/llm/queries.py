@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimgrid.llm import byte_cnn, decontaminate, extract, line_rules, mixing, prefix_join, sharding, suffix_dedup, toxic_gru, url_model
 from claimgrid.llm.common import importable
+from claimgrid.llm.twins import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op7_budget_fitting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_markov_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return url_model.judged(_table(spark, folder, "pages"))
+    return url_model.judged(_table(spark, folder, "pages")).drop("score")
 
 
 def op9_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,5 +68,3 @@ QUERIES = {
         op10_two_stage_suffixes,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
