@@ -419,13 +419,16 @@ def validated_suggestions(t):
 
 @query(
     "S11",
-    f"""WITH {DECIDED} SELECT d.claim_id, 0 AS part, count(*) AS lines, d.proposed_status AS decision_status
-FROM decided d JOIN v_items i USING (claim_id) GROUP BY ALL""",
+    f"""WITH {DECIDED} SELECT i.claim_id, i.line_no, d.proposed_status AS decision_status,
+  i.description, CAST(i.amount AS DOUBLE) AS amount
+FROM decided d JOIN (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY line_number, part_id, supp_id, ship_date, price, qty, discount, tax) AS line_no FROM v_items) i USING (claim_id)""",
 )
 def line_item_audit_records(t):
     ruled = classify.apply_rules(with_suggestions(number_lines(t.items)))
     records = decide.line_item_audit(ruled, adjudicate(t))
     return records.select(
-        "claim_id", "part", "lines",
+        "claim_id", "line_no",
         F.get_json_object("record", "$.decision_status").alias("decision_status"),
+        F.get_json_object("record", "$.line_item.description").alias("description"),
+        F.get_json_object("record", "$.line_item.amount").cast("double").alias("amount"),
     )

@@ -147,7 +147,7 @@ def submitted_batch(t):
     """WITH e AS (SELECT 'batch-' || CAST(user_id % 25 AS VARCHAR) AS batch_id, event_id AS claim_id, event_id, ts + INTERVAL 1 HOUR AS ts,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'completed' ELSE 'processing' END AS status,
     CASE WHEN event_type = 'error' THEN 'no documents' ELSE '' END AS error_message FROM events)
-SELECT e.status, q.status AS was, CASE WHEN e.error_message <> '' THEN e.error_message END AS error_message, count(*) AS items,
+SELECT e.status, q.status AS was, CASE WHEN e.error_message <> '' THEN e.error_message ELSE q.error_message END AS error_message, count(*) AS items,
   count(CASE WHEN e.status = 'processing' THEN e.ts ELSE q.started_at END) AS started, count(CASE WHEN e.status IN ('completed', 'failed') THEN e.ts ELSE q.completed_at END) AS ended
 FROM v_queue q JOIN e USING (batch_id, claim_id) GROUP BY ALL""",
 )

@@ -249,9 +249,8 @@ FROM v_claims c LEFT JOIN v_decisions d ON d.claim_id = c.claim_id AND d.is_acti
 ORDER BY c.policyholder_id, c.claim_date DESC, c.claim_id LIMIT 20 OFFSET 40""",
 )
 def policyholder_page(t):
-    joined = rel.policyholder_claims(t.claims, t.decisions)
     order = [F.asc("policyholder_id"), F.desc("claim_date"), F.asc("claim_id")]
-    return rel.page(joined, order, 20, 40).select(
+    return rel.policyholder_page(t.claims, t.decisions, order, 20, 40).select(
         "claim_id", "policyholder_id", F.col("claim_date").cast("string").alias("claim_date"),
         "status", as_double("claim_amount").alias("claim_amount"), "proposed_status",
         as_double("proposed_benefit_amount").alias("proposed_benefit_amount"),
@@ -627,36 +626,43 @@ def top_items_per_claim(t):
 
 @query(
     "S5 L5",
-    """WITH u AS (SELECT claim_id, claim_tracking_number, CAST(claim_amount + 5 AS DECIMAL(12,2)) AS claim_amount, 'updated' AS status
+    """WITH u AS (SELECT claim_id, claim_tracking_number, CAST(claim_amount + 5 AS DECIMAL(12,2)) AS claim_amount, 'updated' AS status, created_at
   FROM v_claims WHERE status = 'pending'
-  UNION ALL SELECT claim_id, claim_tracking_number, CAST(claim_amount + 9 AS DECIMAL(12,2)), 'updated' FROM v_claims WHERE status = 'pending' AND priority = 1
-  UNION ALL SELECT claim_id + 100000000, 'NEW-' || claim_tracking_number, claim_amount, 'new' FROM v_claims WHERE priority = 2),
+  UNION ALL SELECT claim_id, claim_tracking_number, CAST(claim_amount + 9 AS DECIMAL(12,2)), 'updated', created_at FROM v_claims WHERE status = 'pending' AND priority = 1
+  UNION ALL SELECT claim_id + 100000000, 'NEW-' || claim_tracking_number, claim_amount, 'new', created_at FROM v_claims WHERE priority = 2),
 l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY claim_tracking_number ORDER BY claim_amount DESC NULLS LAST) = 1)
 SELECT coalesce(c.claim_id, l.claim_id) AS claim_id, coalesce(c.claim_tracking_number, l.claim_tracking_number) AS claim_tracking_number,
   CAST(CASE WHEN l.claim_id IS NOT NULL THEN l.claim_amount ELSE c.claim_amount END AS DOUBLE) AS claim_amount,
-  CASE WHEN c.claim_id IS NOT NULL THEN c.status ELSE l.status END AS status
+  CASE WHEN c.claim_id IS NOT NULL THEN c.status ELSE l.status END AS status,
+  CAST(CASE WHEN c.claim_id IS NOT NULL AND l.claim_id IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' WHEN c.claim_id IS NOT NULL THEN c.created_at
+    ELSE l.created_at END AS VARCHAR) AS updated_at
 FROM v_claims c FULL JOIN l USING (claim_tracking_number)""",
 )
 def upserted_claims(t):
-    cols = ["claim_id", "claim_tracking_number", "claim_amount", "status"]
-    base = t.claims.select(*cols)
+    base = t.claims.select(
+        "claim_id", "claim_tracking_number", "claim_amount", "status", F.col("created_at").alias("updated_at")
+    )
     pending = t.claims.filter("status = 'pending'")
 
     def raised(df, extra):
         return df.select(
             "claim_id", "claim_tracking_number",
             (F.col("claim_amount") + extra).cast("decimal(12,2)").alias("claim_amount"),
-            F.lit("updated").alias("status"),
+            F.lit("updated").alias("status"), F.col("created_at").alias("updated_at"),
         )
 
     new = t.claims.filter("priority = 2").select(
         (F.col("claim_id") + 100000000).alias("claim_id"),
         F.concat(F.lit("NEW-"), "claim_tracking_number").alias("claim_tracking_number"),
-        "claim_amount", F.lit("new").alias("status"),
+        "claim_amount", F.lit("new").alias("status"), F.col("created_at").alias("updated_at"),
     )
     updates = raised(pending, 5).unionByName(raised(pending.filter("priority = 1"), 9)).unionByName(new)
-    merged = rel.upsert(base, updates, ["claim_tracking_number"], ["claim_amount"], ["claim_amount"])
-    return merged.withColumn("claim_amount", as_double("claim_amount"))
+    merged = rel.upsert(
+        base, updates, ["claim_tracking_number"], ["claim_amount"], ["claim_amount"], "2024-03-01 00:00:00"
+    )
+    return merged.withColumns(
+        {"claim_amount": as_double("claim_amount"), "updated_at": F.col("updated_at").cast("string")}
+    )
 
 
 @query(

@@ -60,15 +60,3 @@ def result_reuse(t):
         F.count_if("is_new").alias("processed"),
         F.count_if("is_new").alias("anchors"),
     )
-
-
-@query(
-    "W13",
-    """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, arrival_id) AS rn, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, arrival_id) AS prev FROM v_arrivals),
-s AS (SELECT *, coalesce(CAST(floor((epoch_us(ts) - epoch_us(prev)) / 1e6 * (2 / 86400.0::DOUBLE)) AS BIGINT), 0) AS refill FROM o),
-w AS (SELECT user_id, arrival_id, rn, 1::BIGINT AS tokens, TRUE AS admitted FROM s WHERE rn = 1
-  UNION ALL SELECT s.user_id, s.arrival_id, s.rn, greatest(least(2, w.tokens + s.refill) - 1, 0), least(2, w.tokens + s.refill) >= 1 FROM w JOIN s ON s.user_id = w.user_id AND s.rn = w.rn + 1)
-SELECT arrival_id, user_id, admitted FROM w""",
-)
-def rate_limited_requests(t):
-    return service.rate_limit(t.arrivals, 2, 86400.0).select("arrival_id", "user_id", "admitted")

@@ -152,8 +152,10 @@ def claim_inputs(
     zero_count = ["line_item_count", "approved_items", "ineligible_items", "credit_items",
                   "json_failed_items", "low_ocr_documents", "invoice_count", "document_count"]
     false = ["has_addendum", "has_invoice", "eligible_capped", "cleaning_only"]
+    # A stored benefit of 0 stands for a blank cell, as the loader reads it.
     return wide.withColumns(
         {
+            "max_benefit": F.nullif(F.col("max_benefit"), F.lit(0).cast("decimal(12,2)")),
             **{c: F.coalesce(F.col(c), _money(0)) for c in zero_money},
             **{c: F.coalesce(F.col(c), F.lit(0)) for c in zero_count},
             **{c: F.coalesce(F.col(c), F.lit(False)) for c in false},
@@ -686,41 +688,24 @@ def validated_suggestions(responses: DataFrame, expected: DataFrame) -> DataFram
     )
 
 
-def line_item_audit(
-    ruled: DataFrame, decided: DataFrame, part_size: int = 1000
-) -> DataFrame:
-    """JSON records per claim for rule improvement.
+def line_item_audit(ruled: DataFrame, decided: DataFrame) -> DataFrame:
+    """JSON records for rule improvement: one per line item, each with its claim's decision.
 
-    A record holds at most ``part_size`` lines; a larger claim continues in further parts, so no
-    row grows without bound. Input lines carry ``line_no``.
+    Every record has the same shape however many lines a claim has. Input lines carry ``line_no``.
     """
     tags = [
         "is_rent", "is_month_to_month", "is_cleaning", "is_repair", "is_damage",
         "is_improper_notice", "is_other_insurance", "is_contractual_fee", "is_after_lease_end",
         "is_normal_wear_tear",
     ]
-    part = F.floor((F.col("line_no") - 1) / part_size).cast("int")
-    lines = ruled.withColumn("part", part).groupBy("claim_id", "part").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("line_no", "description", "amount", "should_be_included", *tags)
-            )
-        ).alias("line_items")
-    )
+    lines = ruled.select("claim_id", "line_no", "description", "amount", "should_be_included", *tags)
     header = decided.select(
         "claim_id", "claim_tracking_number",
         F.col("proposed_status").alias("decision_status"),
         F.col("proposed_benefit_amount").alias("proposed_amount"),
     )
-    joined = lines.join(header, "claim_id")
-    return joined.select(
-        "claim_id",
-        "part",
-        F.size("line_items").alias("lines"),
-        F.to_json(
-            F.struct(
-                "claim_id", "claim_tracking_number", "decision_status", "proposed_amount",
-                "part", "line_items",
-            )
-        ).alias("record"),
+    record = F.struct(
+        "claim_id", "claim_tracking_number", "decision_status", "proposed_amount",
+        F.struct("line_no", "description", "amount", "should_be_included", *tags).alias("line_item"),
     )
+    return lines.join(header, "claim_id").select("claim_id", "line_no", F.to_json(record).alias("record"))

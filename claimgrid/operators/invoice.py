@@ -317,8 +317,8 @@ def _priced(raw: Column, table: Column, use_closing_amount: bool) -> Column:
 
 
 def _fallback_items() -> Column:
-    """Up to 50 amounts as unknown charges: the parser's own bound for unreadable invoices."""
-    found = F.slice(extract_all_amounts(F.coalesce(F.col("_text"), F.lit(""))), 1, 50)
+    """All amounts as unknown charges."""
+    found = extract_all_amounts(F.coalesce(F.col("_text"), F.lit("")))
     return F.transform(
         found,
         lambda x, i: F.struct(

@@ -98,7 +98,8 @@ def submit_batch(
 
 
 def apply_status_events(queue: DataFrame, events: DataFrame) -> DataFrame:
-    """Queue after status events: the latest status wins, start and end times by kind.
+    """Queue after status events: the latest status wins, start and end times by kind, and a stored
+    error message stays until another one is given.
 
     Events are reduced to one row per (batch, claim) with map-side combine before the join.
     """
@@ -113,6 +114,7 @@ def apply_status_events(queue: DataFrame, events: DataFrame) -> DataFrame:
             F.when(done & (F.col("error_message") != ""), F.struct("ts", "event_id")),
         ).alias("_error"),
     )
+    kept = F.col("error_message") if "error_message" in queue.columns else F.lit(None).cast("string")
     return (
         queue.join(last, keys, "left")
         .withColumns(
@@ -120,7 +122,7 @@ def apply_status_events(queue: DataFrame, events: DataFrame) -> DataFrame:
                 "status": F.coalesce("_status", "status"),
                 "started_at": F.coalesce("_started", "started_at"),
                 "completed_at": F.coalesce("_ended", "completed_at"),
-                "error_message": F.col("_error"),
+                "error_message": F.coalesce("_error", kept),
             }
         )
         .drop("_status", "_started", "_ended", "_error")

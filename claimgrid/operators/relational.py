@@ -213,7 +213,11 @@ def claims_with_document_count(claims: DataFrame, docs: DataFrame) -> DataFrame:
 def batch_view(
     claims: DataFrame, decisions: DataFrame, docs: DataFrame, as_of: str, days: int, size: int
 ) -> DataFrame:
-    """Open recent claims with their active decision and document state, most urgent first."""
+    """Open recent claims with their active decision and document state, most urgent first.
+
+    The order is that of the claims, so the first ``size`` of them are cut before the other tables
+    are touched; only rows of those claims are joined and counted.
+    """
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY")
     recent = claims.filter(
         F.col("status").isin("pending", "processing") & (F.col("created_at") >= since)
@@ -221,15 +225,30 @@ def batch_view(
     active = decisions.filter("is_active").select(
         "claim_id", "proposed_status", "proposed_benefit_amount", "confidence_score"
     )
+    order = [F.desc("priority"), F.asc("created_at"), F.asc("claim_id")]
+    first = recent.orderBy(*order).limit(size)
+    ids = F.broadcast(first.select("claim_id"))  # at most ``size`` rows
     return (
-        recent.join(active, "claim_id", "left")
-        .join(document_counts(docs), "claim_id", "left")
+        first.join(active.join(ids, "claim_id", "left_semi"), "claim_id", "left")
+        .join(document_counts(docs.join(ids, "claim_id", "left_semi")), "claim_id", "left")
         .withColumn("document_count", F.coalesce("document_count", F.lit(0)))
-        .orderBy(F.desc("priority"), F.asc("created_at"), F.asc("claim_id"))
+        .orderBy(*order)
         .limit(size)
     )
 
 
+def policyholder_page(
+    claims: DataFrame, decisions: DataFrame, order: list[Column], size: int, offset: int = 0
+) -> DataFrame:
+    """One page of claims with their active decisions; ``order`` is over columns of the claims.
+
+    Every claim gives at least one row, so the page lies within the first offset + size claims.
+    """
+    first = claims.orderBy(*order).limit(offset + size)
+    ids = F.broadcast(first.select("claim_id"))  # at most offset + size rows
+    return page(policyholder_claims(first, decisions.join(ids, "claim_id", "left_semi")), order, size, offset)
+
+
 def policyholder_claims(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     active = decisions.filter("is_active").select(
         "claim_id", "proposed_status", "proposed_benefit_amount"
@@ -287,12 +306,16 @@ def daily_dashboard(
     recent = claims.filter(F.col("created_at") >= since).select(
         "claim_id", "status", "claim_amount", F.to_date("created_at").alias("claim_day")
     )
-    per_decision = decisions.filter("is_active").groupBy("claim_id").agg(
+    # The period's claims first: only their rows of the other tables are reduced.
+    ids = recent.select("claim_id")
+    per_decision = decisions.filter("is_active").join(ids, "claim_id", "left_semi").groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("n_dec"),
         F.sum("proposed_benefit_amount").alias("benefit"),
         F.sum("confidence_score").alias("conf"),
     )
-    per_document = docs.groupBy("claim_id").agg(F.count("document_id").alias("n_doc"))
+    per_document = docs.join(ids, "claim_id", "left_semi").groupBy("claim_id").agg(
+        F.count("document_id").alias("n_doc")
+    )
     wide = recent.join(per_decision, "claim_id", "left").join(per_document, "claim_id", "left")
     n_dec = F.coalesce("n_dec", F.lit(0))
     n_doc = F.coalesce("n_doc", F.lit(0))
@@ -618,10 +641,17 @@ def first_per_group(
 
 
 def upsert(
-    base: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str], order: list[str]
+    base: DataFrame,
+    updates: DataFrame,
+    keys: list[str],
+    update_cols: list[str],
+    order: list[str],
+    as_of: str | None = None,
 ) -> DataFrame:
     """INSERT ... ON CONFLICT (keys) DO UPDATE SET update_cols.
 
+    With ``as_of`` given, ``updated_at`` of every conflicting row becomes that time.
+
     Repeats inside the batch are settled by the last one in ``order``; other columns of a
     conflicting row keep their stored value.
     """
@@ -637,6 +667,12 @@ def upsert(
     for name in base.columns:
         if name in keys:
             value = F.when(F.col("_stored"), F.col(name)).otherwise(F.col("_new." + name))
+        elif name == "updated_at" and as_of is not None:
+            value = (
+                F.when(F.col("_stored") & F.col("_hit"), F.lit(as_of).cast("timestamp_ntz"))
+                .when(F.col("_stored"), F.col(name))
+                .otherwise(F.col("_new." + name))
+            )
         elif name in update_cols:
             value = F.when(F.col("_hit"), F.col("_new." + name)).otherwise(F.col(name))
         else:

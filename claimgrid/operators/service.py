@@ -1,11 +1,9 @@
-"""Service levels, error budgets, result reuse, rate limits."""
+"""Service levels, error budgets, result reuse."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,110 +143,3 @@ def reuse_windows(
         rest = cut_lineage(joined.filter(~inside).drop("_first"))
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, settled)
-
-
-def rate_limit(
-    requests: DataFrame, limit: int, period_seconds: float = 60.0, key: str = "user_id"
-) -> DataFrame:
-    """Token-bucket admission per key: refill is int(elapsed * limit / period), capped at limit.
-
-    Requests of one instant are counted first. One step of the bucket is
-    ``max(min(limit, tokens + refill) - requests, 0)``; steps compose to the form
-    ``min(high, max(low, tokens + shift))``, so each hour of a key is summed up on its own, the
-    sums are chained, and every hour is then replayed from its known starting level.
-    """
-    instant = (
-        requests.withColumn("_t", _epoch("ts"))
-        .groupBy(key, "_t")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_hour", F.floor(F.col("_t") / 3_600_000_000))
-    )
-    timed = ordered.shift(instant, [key], ["_hour"], ["_t"], {"_prev": "_t"}, forward=False)
-    refill = F.floor((F.col("_t") - F.col("_prev")) / 1e6 * (limit / period_seconds))
-    steps = timed.withColumn("refill", F.coalesce(refill, F.lit(0)).cast("bigint"))
-    far = 1 << 40
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("shift"),
-        F.lit(-far).cast("bigint").alias("low"),
-        F.lit(far).cast("bigint").alias("high"),
-    )
-
-    def compose(acc: Column, x: Column) -> Column:
-        def bound(v: Column) -> Column:
-            filled = F.least(v + x["refill"], F.lit(limit).cast("bigint"))
-            return F.greatest(filled - x["n"], F.lit(0).cast("bigint"))
-
-        return F.struct(
-            (acc["shift"] + x["refill"] - x["n"]).alias("shift"),
-            bound(acc["low"]).alias("low"),
-            bound(acc["high"]).alias("high"),
-        )
-
-    hours = steps.groupBy(key, "_hour").agg(
-        F.reduce(
-            F.array_sort(F.collect_list(F.struct("_t", "refill", "n"))), start, compose
-        ).alias("f")
-    ).select(key, "_hour", "f.*")
-
-    key_type = requests.schema[key].dataType.simpleString()
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level = object(), limit
-        for frame in batches:
-            levels = []
-            for name, shift, low, high in zip(
-                frame[key], frame["shift"], frame["low"], frame["high"]
-            ):
-                if name != current:
-                    current, level = name, limit
-                levels.append(level)
-                level = min(high, max(low, level + shift))
-            yield pd.DataFrame({key: frame[key], "_hour": frame["_hour"], "tokens": levels})
-
-    starts = (
-        hours.repartition(key)
-        .sortWithinPartitions(key, "_hour")
-        .mapInPandas(chain, f"{key} {key_type}, _hour bigint, tokens bigint")
-    )
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level = object(), 0
-        for frame in batches:
-            admitted = []
-            for name, hour, tokens, refill, n in zip(
-                frame[key], frame["_hour"], frame["tokens"], frame["refill"], frame["n"]
-            ):
-                if (name, hour) != current:
-                    current, level = (name, hour), tokens
-                level = min(limit, level + refill)
-                taken = min(n, level)
-                level -= taken
-                admitted.append(taken)
-            yield pd.DataFrame({key: frame[key], "_t": frame["_t"], "_admitted": admitted})
-
-    replayed = (
-        steps.join(starts, [key, "_hour"])
-        .repartition(key, "_hour")
-        .sortWithinPartitions(key, "_hour", "_t")
-        .mapInPandas(replay, f"{key} {key_type}, _t bigint, _admitted bigint")
-    )
-    rows = (
-        requests.withColumn("_t", _epoch("ts"))
-        .join(replayed, [key, "_t"])
-        .join(instant.select(key, "_t", "n"), [key, "_t"])
-    )
-    # an instant admitted in part lets its first requests pass; at most ``limit`` of them
-    within = ordered.Window.partitionBy(key, "_t").orderBy("arrival_id")
-    part = (F.col("_admitted") > 0) & (F.col("_admitted") < F.col("n"))
-    winners = (
-        rows.filter(part)
-        .withColumn("_rn", F.row_number().over(within))
-        .filter(F.col("_rn") <= limit)
-        .filter(F.col("_rn") <= F.col("_admitted"))
-        .select("arrival_id", F.lit(True).alias("_won"))
-    )
-    return (
-        rows.join(winners, "arrival_id", "left")
-        .withColumn("admitted", (F.col("_admitted") == F.col("n")) | F.col("_won").isNotNull())
-        .drop("_t", "n", "_admitted", "_won")
-    )

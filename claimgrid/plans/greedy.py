@@ -128,12 +128,14 @@ def _phases(groups: DataFrame, partitions: int, max_phases: int = 10_000) -> Dat
 
 
 def greedy_fit(
-    rows: DataFrame, caps: DataFrame, order: list[str], fold_limit: int = 1000, partitions: int = 200
+    rows: DataFrame, caps: DataFrame, order: list[str], fold_limit: int = 1000, partitions: int | None = None
 ) -> DataFrame:
     """Add ``kept`` to rows(claim_id, confidence, amount, order...) under caps(claim_id, cap_amount).
 
-    Claims whose total fits keep everything and skip the fit.
+    Claims whose total fits keep everything and skip the fit. The phases are as wide as the
+    session's shuffle partitions unless ``partitions`` says otherwise.
     """
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     priced = rows.withColumn("cents", (F.col("amount") * 100).cast("bigint"))
     limits = caps.select("claim_id", (F.col("cap_amount") * 100).cast("bigint").alias("cap"))
     totals = priced.groupBy("claim_id").agg(F.sum("cents").alias("_total"))

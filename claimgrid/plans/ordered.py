@@ -116,19 +116,20 @@ def latest_per_key(
 ) -> DataFrame:
     """The row with the greatest ``order`` tuple per key.
 
-    ``max_by`` combines on the map side, so a hot key costs one row per map task instead of a
-    sorted partition. Nulls in the order columns sort lowest.
+    Spark's window group limit keeps one row per key and map task before the shuffle, so a hot key
+    costs one row per task. Nulls in the order columns sort lowest.
     """
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("_row"))
-    return best.select("_row.*")
+    return _first(df, keys, [F.desc_nulls_last(c) for c in order])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the smallest ``order`` tuple per key, combined on the map side."""
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("_row"))
-    return best.select("_row.*")
+    """The row with the smallest ``order`` tuple per key, cut before the shuffle as above."""
+    return _first(df, keys, [F.asc_nulls_first(c) for c in order])
+
+
+def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 __all__ = ["Window", "first_per_key", "latest_per_key", "row_number", "running_sum", "shift"]

@@ -369,8 +369,6 @@ ERROR_BUDGET_RATE = 0.05
 ERROR_BUDGET_ALERT = 0.80
 ERROR_BUDGET_HOURS = 24
 REUSE_TTL_DAYS = 90
-RATE_LIMIT_PER_CLAIM = 10
-RATE_LIMIT_PER_USER = 100
 
 # --- retention: table, days, archive table, purge ----------------------------------------------------
 RETENTION_POLICY: list[tuple[str, int, str | None, bool]] = [

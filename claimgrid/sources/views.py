@@ -99,8 +99,9 @@ SELECT o_orderkey AS claim_id,
   CASE WHEN o_orderstatus = 'P' THEN 'CLM-' || CAST(o_orderkey AS STRING)
     ELSE CAST(o_orderkey AS STRING) END AS claim_tracking_number,
   CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O' THEN CAST(NULL AS DECIMAL(12,2))
-    ELSE {_AMT} END AS claim_amount,
+    WHEN o_orderkey % 37 = 0 THEN CAST(0 AS DECIMAL(12,2)) ELSE {_AMT} END AS claim_amount,
   CASE WHEN o_orderkey % 10 = 0 THEN CAST(NULL AS DECIMAL(12,2))
+    WHEN o_orderkey % 31 = 0 THEN CAST(0 AS DECIMAL(12,2))
     WHEN o_orderkey % 3 = 0 THEN {_money("0.5")} ELSE {_AMT} END AS max_benefit,
   {_money("0.4")} AS security_deposit_amount,
   'POL-' || CAST(o_custkey AS STRING) AS policyholder_id,
@@ -260,7 +261,8 @@ SELECT event_id AS queue_id, 'batch-' || CAST(user_id % 25 AS STRING) AS batch_i
   ts AS scheduled_at,
   CASE WHEN event_type = 'signup' THEN CAST(NULL AS TIMESTAMP) ELSE ts + INTERVAL 5 SECOND END AS started_at,
   CASE WHEN event_type IN ('signup', 'view') THEN CAST(NULL AS TIMESTAMP)
-    WHEN value > 50 THEN ts + INTERVAL 95 SECOND ELSE ts + INTERVAL 35 SECOND END AS completed_at
+    WHEN value > 50 THEN ts + INTERVAL 95 SECOND ELSE ts + INTERVAL 35 SECOND END AS completed_at,
+  CASE WHEN event_type = 'error' OR event_id % 7 = 0 THEN 'stored message' END AS error_message
 FROM {events}"""
 
 VIEWS["v_metrics"] = """

@@ -1,16 +1,12 @@
-"""Streams: result reuse, service levels, error budgets, batch progress, rate limits, adjudication.
+"""Streams: result reuse, service levels, error budgets, batch progress, adjudication.
 
 Event times must be zoned timestamps; a watermark on timestamp_ntz is rejected by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimgrid.operators import decide
 from claimgrid.plans import ordered
@@ -102,48 +98,6 @@ def run_batch_progress(stream: DataFrame, store: str, checkpoint: str) -> DataFr
     )
 
 
-def admitted_requests(
-    stream: DataFrame, limit: int, period_seconds: float, key: str = "user_id"
-) -> DataFrame:
-    """Token bucket per key in arrival order; the state is two numbers and expires when idle.
-
-    The idle limit is in event time: by then a bucket is full again, so forgetting it is exact.
-    """
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def admit(
-        name: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (limit, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "arrival_id"])
-        verdicts = []
-        for moment in rows["ts"]:
-            micros = int(moment.value // 1000)
-            if last is not None:
-                refill = int((micros - last) / 1e6 * (limit / period_seconds))
-                tokens = min(limit, tokens + refill)
-            last = micros
-            verdicts.append(tokens >= 1)
-            tokens -= 1 if tokens >= 1 else 0
-        state.update((tokens, last))
-        idle = last // 1000 + int(period_seconds * 2000)
-        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {"arrival_id": rows["arrival_id"], key: rows[key], "admitted": verdicts}
-        )
-
-    return stream.withWatermark("ts", "0 seconds").groupBy(key).applyInPandasWithState(
-        admit,
-        f"arrival_id bigint, {key} {key_type}, admitted boolean",
-        "tokens bigint, last bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 def run_adjudication(
     items: DataFrame, claims: DataFrame, docs: DataFrame, store: str, checkpoint: str
 ) -> DataFrame:
@@ -183,6 +137,6 @@ def _finish(writer, checkpoint: str) -> None:
 
 
 __all__ = [
-    "admitted_requests", "error_budget_windows", "latest_statuses", "read_events",
+    "error_budget_windows", "latest_statuses", "read_events",
     "run_adjudication", "run_batch_progress", "run_to_table", "sla_windows", "unique_arrivals",
 ]

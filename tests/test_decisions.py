@@ -33,6 +33,8 @@ WALL = [("Wall repair", "400.00"), ("Carpet cleaning", "200.00")]
         ((5000, 5000, DAY), WALL, FULL, "approve", 600, 600, None),
         ((None, 1000, DAY), WALL, FULL, "approve", 600, 600, None),
         ((500, None, DAY), WALL, FULL, "deny", 0, None, "missing_max_benefit"),
+        ((500, 0, DAY), WALL, FULL, "deny", 0, None, "missing_max_benefit"),
+        ((0, 0, DAY), WALL, FULL, "deny", 0, None, "missing_max_benefit"),
         ((500, 1000, DAY), WALL, FULL[1:], "deny", 0, None, "missing_waiver_addendum"),
         ((500, 1000, DAY), WALL, FULL[:1], "deny", 0, None, "missing_invoice"),
         ((500, 1000, DAY), [("Monthly rent", "900.00")], FULL, "deny", 0, 0, "no_eligible_charges"),
