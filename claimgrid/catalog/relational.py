@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from claimgrid.catalog import query
 from claimgrid.catalog.items import sql_any
+from claimgrid.functions import text
 from claimgrid.functions.text import as_double, extract_tracking, text_preview
 from claimgrid.operators import relational as rel
 from claimgrid.rules import fixed_values as fv
@@ -713,3 +716,26 @@ def text_previews(t):
     return t.raw("documents").select(
         "doc_id", text_preview(F.col("text")).alias("text_preview")
     )
+
+
+_UNKNOWN = f"PROP-{zlib.crc32(b'unknown') % 10000}"
+
+
+@query(
+    "C5 C6 C7 C8",
+    f"""SELECT o_orderkey AS claim_id,
+  CASE WHEN o_orderkey % 5 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS claim_date,
+  CASE WHEN o_orderkey % 6 < 2 THEN 0.0 WHEN o_orderkey % 6 = 2 THEN CAST(-o_custkey AS DOUBLE) ELSE o_custkey * 1000 + 0.5 END AS amount,
+  CASE WHEN o_orderstatus = 'O' THEN 'deny' ELSE 'approve' END AS status,
+  CASE o_orderkey % 7 WHEN 0 THEN '{_UNKNOWN}' WHEN 1 THEN '12_Main_St_' || o_custkey || '-WA-98101'
+    ELSE '12_Main_St_' || o_custkey || '-Oak Town-WA-98101' END AS property_id
+FROM orders""",
+)
+def cleaned_claim_cells(t):
+    return t.cells.select(
+        "claim_id",
+        text.parse_date(F.col("date_text")).cast("string").alias("claim_date"),
+        as_double(text.parse_currency(F.col("money_text"))).alias("amount"),
+        text.normalize_status(F.col("status_text")).alias("status"),
+        text.build_property_id(*(F.col(c) for c in ("address", "city", "state", "zip_code"))).alias("property_id"),
+    )

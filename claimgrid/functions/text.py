@@ -163,10 +163,3 @@ def money(value: Column | str) -> Column:
 def as_double(value: Column | str) -> Column:
     column = F.col(value) if isinstance(value, str) else value
     return column.cast("double")
-
-
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Double division that gives 0 for an empty denominator."""
-    return F.when(
-        denominator > 0, numerator.cast("double") / denominator.cast("double")
-    ).otherwise(F.lit(0.0))

@@ -253,6 +253,23 @@ SELECT o_orderkey AS claim_id, CAST(1 AS INT) AS expected_count, o_orderpriority
     ELSE 'Sorry, no result for ' || CAST(o_orderkey AS STRING) END AS response_text
 FROM {{orders}}"""
 
+_PART = "CAST(EXTRACT({} FROM o_orderdate) AS STRING)"
+_MONTH, _DAY, _YEAR = (_PART.format(x) for x in ("MONTH", "DAY", "YEAR"))
+VIEWS["v_cells"] = f"""
+SELECT o_orderkey AS claim_id,
+  CASE o_orderkey % 5 WHEN 0 THEN ' ' || {_MONTH} || '/' || {_DAY} || '/' || {_YEAR}
+    WHEN 1 THEN {_YEAR} || '-' || {_MONTH} || '-' || {_DAY}
+    WHEN 2 THEN {_MONTH} || '/' || {_DAY} || '/' || SUBSTR({_YEAR}, 3, 2)
+    WHEN 3 THEN 'n/a' END AS date_text,
+  CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'call us' WHEN 2 THEN '-' || CAST(o_custkey AS STRING)
+    ELSE ' $' || CAST(o_custkey AS STRING) || ',000.50 ' END AS money_text,
+  CASE o_orderstatus WHEN 'F' THEN ' Posted ' WHEN 'O' THEN 'Declined' ELSE 'pre-APPROVED' END AS status_text,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '12 Main St, #' || CAST(o_custkey AS STRING) END AS address,
+  CASE WHEN o_orderkey % 7 IN (0, 1) THEN '' ELSE 'Oak Town' END AS city,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'WA' END AS state,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '98101-1234' END AS zip_code
+FROM {{orders}}"""
+
 VIEWS["v_queue"] = """
 SELECT event_id AS queue_id, 'batch-' || CAST(user_id % 25 AS STRING) AS batch_id,
   event_id AS claim_id, CAST(user_id % 5 AS INT) AS priority,
