@@ -89,7 +89,9 @@ def train(sample: list[tuple[str, int]], seed: int = SEED, steps: int = TRAIN_ST
         w["shift"][:] = 0 if len(y) == 0 else (4 if y[0] else -4)
         return w
     data, offsets = utf8(pa.array([t for t, _ in sample], pa.string()))
-    chunks, row = chunked(data, offsets)
+    parts = [(a, *chunked(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in blocks(offsets)]
+    chunks = np.concatenate([p[1] for p in parts])
+    row = np.concatenate([p[0] + p[2] for p in parts])
     first = np.searchsorted(row, np.arange(len(y) + 1))
     adam, r = Adam(w, RATE), np.random.Generator(np.random.PCG64(seed))
     order = np.zeros(0, np.int64)

@@ -5,8 +5,8 @@ The word input is the shrunken log-odds of the hashed word and how often it was
 character input pools the log-odds of its hashed byte runs (largest, mean and least). The network
 runs over overlapping windows of words that cover the whole text, attention pools a window's
 states into one logit, and a last logistic layer combines a document's worst window with the mean
-over its windows. Statistics come from one half of the sample while the network learns on the
-other, so it never sees a word through the document it is judging; training alternates between
+over its windows. While the network learns, the statistics a document is read with come from the
+other folds of the sample, so no word is seen through the document that is judged; training alternates between
 finding each document's worst window and learning from it.
 """
 
@@ -40,8 +40,9 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 18
 #: Byte runs of a marked word: all of the first length, and its beginnings of the others.
 CHAR_RUN, PREFIXES = 5, (7, 9)
 INPUT, HIDDEN = 5, 10
-SAMPLE_PER_CLASS, SAMPLE_BYTES = (2500, 2500), 32_768
-ROUNDS, BATCH, RATE, SEED = 8, 64, 0.01, 11
+SAMPLE_PER_CLASS, SAMPLE_BYTES = (1500, 1500), 32_768
+#: Folds of the sample; rounds of training, more where they would be fewer steps than STEPS.
+FOLDS, ROUNDS, STEPS, BATCH, RATE, SEED = 4, 5, 200, 128, 0.015, 11
 #: Documents' worth of the prior in every log-odds.
 PRIOR = 5.0
 
@@ -49,6 +50,41 @@ LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 MARK = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Words hashed at once.
+PART = 1 << 15
+
+
+def _in_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Word hashes, some words at a time: the memory does not grow with the text."""
+    parts = [np.zeros(0, np.uint64)]
+    for a in range(0, len(start), PART):
+        b, base = min(a + PART, len(start)), start[a]
+        parts.append(word_hashes(data[base : end[b - 1]], start[a:b] - base, end[a:b] - base))
+    return np.concatenate(parts)
+
+
+def char_runs(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte runs of some words, each with a mark on both sides, and runs per word."""
+    size = end - start + 2
+    stop = np.cumsum(size)
+    begin = stop - size
+    values = np.full(int(size.sum()), MARK, np.uint64)
+    place = np.repeat(begin + 1 - start, end - start)
+    source = np.arange(int((end - start).sum())) + np.repeat(start - (np.cumsum(end - start) - (end - start)), end - start)
+    values[source + place] = BYTE_VALUE[low[source]]
+    n = np.maximum(1, size - CHAR_RUN + 1)
+    at = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    to = np.minimum(at + CHAR_RUN, np.repeat(stop, n))
+    word = np.repeat(np.arange(len(n)), n)
+    for length in PREFIXES:
+        long = np.flatnonzero(size >= length)
+        word = np.append(word, long)
+        at, to = np.append(at, begin[long]), np.append(to, begin[long] + length)
+    order = np.argsort(word, kind="stable")
+    bucket = (span_hash(prefix_hash(values), at, to) >> np.uint64(40)).astype(np.int64)[order] % CHAR_BUCKETS
+    return bucket, np.bincount(word, minlength=len(n))
+
+
 class Words:
     """The words of some texts: distinct words with their buckets, and windows as indexes of them.
 
@@ -58,10 +94,14 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         low = LOWER[data]
         start, end, row = word_spans(low, offsets, LETTER)
-        hashes, first, of = np.unique(word_hashes(low, start, end), return_index=True, return_inverse=True)
+        hashes, first, of = np.unique(_in_parts(low, start, end), return_index=True, return_inverse=True)
         self.n_rows = len(offsets) - 1
         self.word_bucket = (hashes >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
-        self._chars(low, start[first], end[first])
+        start, end = start[first], end[first]
+        parts = [char_runs(low, start[a : a + PART], end[a : a + PART]) for a in range(0, len(start), PART)]
+        self.char_bucket = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+        self.char_count = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+        self.char_first = np.cumsum(self.char_count) - self.char_count
         n_words = np.bincount(row, minlength=self.n_rows)
         n = np.maximum(1, -(-(n_words - (WINDOW - STEP)) // STEP))
         self.row = np.repeat(np.arange(self.n_rows), n)
@@ -72,55 +112,40 @@ class Words:
         padded = np.append(of + 1, 0)
         self.windows = np.where(inside, padded[np.where(inside, at, 0)], 0)
 
-    def _chars(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Runs of CHAR_RUN bytes of every distinct word with a mark on both sides."""
-        size = end - start + 2
-        stop = np.cumsum(size)
-        begin = stop - size
-        values = np.full(int(size.sum()), MARK, np.uint64)
-        place = np.repeat(begin + 1 - start, end - start)
-        source = np.arange(int((end - start).sum())) + np.repeat(start - (np.cumsum(end - start) - (end - start)), end - start)
-        values[source + place] = BYTE_VALUE[low[source]]
-        n = np.maximum(1, size - CHAR_RUN + 1)
-        at = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        to = np.minimum(at + CHAR_RUN, np.repeat(stop, n))
-        word = np.repeat(np.arange(len(n)), n)
-        for length in PREFIXES:
-            long = np.flatnonzero(size >= length)
-            word = np.append(word, long)
-            at, to = np.append(at, begin[long]), np.append(to, begin[long] + length)
-        order = np.argsort(word, kind="stable")
-        self.char_bucket = (span_hash(prefix_hash(values), at, to) >> np.uint64(40)).astype(np.int64)[order] % CHAR_BUCKETS
-        self.char_count = np.bincount(word, minlength=len(n))
-        self.char_first = np.cumsum(self.char_count) - self.char_count
-
-
 def log_odds(seen: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     """Log-odds of label 1 in each bucket against the sample's, shrunk towards 0 by the prior."""
     odds = (toxic + PRIOR * share) / (seen - toxic + PRIOR * (1 - share))
     return np.log(odds * (1 - share) / share).astype(np.float32)
 
 
-def statistics(words: Words, y: np.ndarray, use: np.ndarray) -> dict[str, np.ndarray]:
-    """Word and character tables counted over the documents that ``use`` marks."""
-    pairs = np.unique(np.repeat(words.row, WINDOW) * (len(words.word_bucket) + 1) + words.windows.ravel())
-    doc, word = pairs // (len(words.word_bucket) + 1), pairs % (len(words.word_bucket) + 1) - 1
-    kept = (word >= 0) & use[doc]
-    doc, word = doc[kept], word[kept]
-    share = float(np.clip(y[use].mean(), 0.01, 0.99))
-
-    def counted(d: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        pair = np.unique(d * n + bucket)
-        return np.bincount(pair % n, minlength=n), np.bincount(pair % n, y[pair // n], n)
-
-    n = words.char_count[word]
-    at = np.repeat(words.char_first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    seen, toxic = counted(doc, words.word_bucket[word], WORD_BUCKETS)
-    return {
-        "word": log_odds(seen, toxic, share),
-        "seen": np.log1p(seen).astype(np.float32) / 4,
-        "char": log_odds(*counted(np.repeat(doc, n), words.char_bucket[at], CHAR_BUCKETS), share),
-    }
+def fold_counts(words: Words, y: np.ndarray, fold: np.ndarray, docs_at_once: int = 128) -> dict[str, np.ndarray]:
+    """Documents per word and character bucket, by fold and label: (FOLDS, 2, buckets)."""
+    counts = {"word": np.zeros((FOLDS, 2, WORD_BUCKETS), np.int32), "char": np.zeros((FOLDS, 2, CHAR_BUCKETS), np.int32)}
+    for d in range(0, len(y), docs_at_once):
+        lo, hi = np.searchsorted(words.row, [d, d + docs_at_once])
+        own = words.windows[lo:hi].ravel()
+        n_words = len(words.word_bucket) + 1
+        pairs = np.unique(np.repeat(words.row[lo:hi], WINDOW)[own > 0] * n_words + own[own > 0])
+        doc, word = pairs // n_words, pairs % n_words - 1
+        n = words.char_count[word]
+        at = np.repeat(words.char_first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for name, who, bucket, size in (
+            ("word", doc, words.word_bucket[word], WORD_BUCKETS),
+            ("char", np.repeat(doc, n), words.char_bucket[at], CHAR_BUCKETS),
+        ):
+            once = np.unique(who * size + bucket)
+            who, bucket = once // size, once % size
+            np.add.at(counts[name], (fold[who], y[who].astype(np.int64), bucket), 1)
+    return counts
+
+
+def statistics(counts: dict[str, np.ndarray], share: float, without: int | None = None) -> dict[str, np.ndarray]:
+    """Word and character tables from the counts of all folds but one."""
+    kept = [k for k in range(FOLDS) if k != without]
+    clean, toxic = counts["word"][kept].sum(0)
+    tables = {"word": log_odds(clean + toxic, toxic, share), "seen": np.log1p(clean + toxic).astype(np.float32) / 4}
+    clean, toxic = counts["char"][kept].sum(0)
+    return tables | {"char": log_odds(clean + toxic, toxic, share)}
 
 
 def initial(seed: int) -> dict[str, np.ndarray]:
@@ -254,18 +279,22 @@ def train(sample: list[tuple[str, int]], seed: int = SEED, rounds: int = ROUNDS)
     w = initial(seed)
     y = np.array([label for _, label in sample], np.float32)
     r = np.random.Generator(np.random.PCG64(seed))
-    half = r.permutation(len(y)) % 2 == 0
-    if any(len(part) == 0 or part.min() == part.max() for part in (y[half], y[~half])):
+    fold = r.permutation(len(y)) % FOLDS
+    others = [y[fold != k] for k in range(FOLDS)]
+    if any(len(part) == 0 or part.min() == part.max() for part in others):
         w |= {"word": np.zeros(WORD_BUCKETS, np.float32), "char": np.zeros(CHAR_BUCKETS, np.float32)}
         return w | {"seen": w["word"], "combine": np.array([0, 0, 4.0 if len(y) and y.mean() > 0.5 else -4.0])}
     words = Words(*utf8(pa.array([t for t, _ in sample], pa.string())))
-    x = inputs(statistics(words, y, half), words)
-    learn = np.flatnonzero(~half[words.row])  # windows of the other half
-    windows, row = words.windows[learn], np.cumsum(~half)[words.row[learn]] - 1
-    y = y[~half]
+    # Each fold has inputs of its own: the words of fold k are k times their number further on.
+    counts, share = fold_counts(words, y, fold), float(y.mean())
+    given = [inputs(statistics(counts, share, k), words) for k in range(FOLDS)]
+    x = np.concatenate([given[0][:1], *(g[1:] for g in given)])
+    row = words.row
+    windows = np.where(words.windows > 0, words.windows + len(words.word_bucket) * fold[row][:, None], 0)
     logits = (x[:, 0] + x[:, 2])[windows].max(1)
     clean = np.flatnonzero(y[row] == 0)
     adam = Adam(w, RATE)
+    rounds = max(rounds, -(-STEPS * BATCH // (len(y) + min(len(clean), len(y)))))
     for turn in range(rounds):
         other = r.choice(clean, min(len(clean), len(y)), replace=False)
         picked = np.concatenate([worst_windows(logits, row, len(y)), other])
@@ -278,14 +307,14 @@ def train(sample: list[tuple[str, int]], seed: int = SEED, rounds: int = ROUNDS)
             adam.step(gradients(w, x, windows[picked[b]], label[b], weight[b]))
         logits = window_logits(w, x, windows)
     w["combine"] = logistic(document_features(logits, row, len(y)), y)
-    return w | statistics(words, np.array([label for _, label in sample], np.float32), np.ones(len(sample), bool))
+    return w | statistics(counts, share)
 
 
 def scores(w: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
     """Probability of label 1 of every whole text."""
     data, offsets = utf8(texts)
     out = np.zeros(len(offsets) - 1)
-    for a, b in blocks(offsets, 1 << 20):
+    for a, b in blocks(offsets):
         words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         logits = window_logits(w, inputs(w, words), words.windows)
         out[a:b] = sigmoid(document_features(logits, words.row, b - a) @ w["combine"])
