@@ -286,7 +286,7 @@ calc AS (SELECT document_id, CAST(sum(CAST(amount AS DECIMAL(18,4)) * greatest(C
   CAST(sum(CAST(amount AS DECIMAL(18,4))) AS DECIMAL(28,2)) AS plain FROM items GROUP BY 1),
 dup AS (SELECT document_id, count(*) AS duplicate_items FROM (SELECT *, first_value(amount) OVER w AS fa, row_number() OVER w AS rn FROM items
   WINDOW w AS (PARTITION BY document_id, lower(description) ORDER BY line_number)) WHERE rn > 1 AND abs(fa - amount) <= 0.01 GROUP BY 1),
-sus AS (SELECT document_id, count(*) AS suspicious_items FROM items JOIN calc USING (document_id) WHERE amount > 0 AND
+sus AS (SELECT document_id, count(*) AS suspicious_items, string_agg(CASE WHEN amount > 10000 THEN 'Item exceeds $10,000: ' || description WHEN length(description) < 3 THEN 'Item has missing or very short description' END, '|' ORDER BY line_number) AS item_reasons FROM items JOIN calc USING (document_id) WHERE amount > 0 AND
   (amount / CASE WHEN plain > 0 THEN CAST(plain AS DOUBLE) ELSE 1.0 END * 100 > 50 OR amount > 10000 OR length(description) < 3) GROUP BY 1),
 rc AS (SELECT c.*, s.stated_total, coalesce(abs(c.calculated_total - CAST(s.stated_total AS DECIMAL(28,2))), 0) AS difference FROM calc c LEFT JOIN stated s USING (document_id)),
 rd AS (SELECT *, stated_total IS NULL OR difference <= 1 AS reconciled FROM rc)"""
@@ -316,7 +316,9 @@ def invoice_reconciliation(t):
     "A25",
     f"""WITH RECURSIVE {RECON} SELECT document_id, items_parsed, items_ambiguous, round(avg_ambiguity, 6) AS avg_ambiguity, round(greatest(0, 100 - avg_ambiguity), 6) AS overall_confidence,
   coalesce(duplicate_items, 0) AS duplicate_items, coalesce(suspicious_items, 0) AS suspicious_items, NOT reconciled OR avg_ambiguity > 60 AS requires_manual_review,
-  concat_ws('|', CASE WHEN duplicate_items > 0 THEN 'Duplicate line items detected' END, CASE WHEN NOT reconciled THEN 'Total mismatch: $' || CAST(difference AS VARCHAR) END,
+  concat_ws('|', CASE WHEN duplicate_items > 0 THEN 'Found ' || duplicate_items || ' potential duplicate items' END, CASE WHEN suspicious_items > 0 THEN 'Found ' || suspicious_items || ' suspicious items' END,
+    CASE WHEN NOT reconciled THEN 'Reconciliation failed' END) AS flags,
+  concat_ws('|', CASE WHEN duplicate_items > 0 THEN 'Duplicate line items detected' END, item_reasons, CASE WHEN NOT reconciled THEN 'Total mismatch: $' || CAST(difference AS VARCHAR) END,
     CASE WHEN avg_ambiguity > 60 THEN 'High average ambiguity score' END) AS manual_review_reasons
 FROM rd LEFT JOIN dup USING (document_id) LEFT JOIN sus USING (document_id)""",
 )
@@ -327,6 +329,7 @@ def parse_quality(t):
         *[F.col(c).cast("bigint").alias(c) for c in ("items_parsed", "items_ambiguous", "duplicate_items", "suspicious_items")],
         F.round("avg_ambiguity", 6).alias("avg_ambiguity"),
         F.round("overall_confidence", 6).alias("overall_confidence"), "requires_manual_review",
+        F.array_join("flags", "|").alias("flags"),
         F.array_join("manual_review_reasons", "|").alias("manual_review_reasons"),
     )
 

@@ -425,10 +425,11 @@ def reconcile(parsed: DataFrame) -> DataFrame:
         }
     )
     stated = F.col("stated_total").cast(WIDE_MONEY)
+    fallback = F.col("fallback_used")  # an unreadable invoice is never reconciled
+    gap = F.when(~fallback, F.abs(F.col("calculated_total") - stated))
     framed = framed.withColumn(
-        "difference",
-        F.coalesce(F.abs(F.col("calculated_total") - stated), F.lit(0).cast(WIDE_MONEY)),
-    ).withColumn("reconciled", stated.isNull() | (F.col("difference") <= 1))
+        "difference", F.coalesce(gap, F.lit(0).cast(WIDE_MONEY))
+    ).withColumn("reconciled", ~fallback & (stated.isNull() | (F.col("difference") <= 1)))
     short = F.col("calculated_total") < stated
     notes = F.array_compact(
         F.array(
@@ -527,25 +528,46 @@ def parse_quality(reconciled: DataFrame) -> DataFrame:
     )
     base = F.greatest(F.col("_plain_total"), F.lit(0)).cast("double")
     base = F.when(base > 0, base).otherwise(1.0)
-    suspicious = F.size(
-        F.filter(
-            items,
-            lambda i: (i["amount"] > 0)
-            & (
-                (i["amount"].cast("double") / base * 100 > 50)
-                | (i["amount"] > 10000)
-                | (F.length(strip(i["description"])) < 3)
-            ),
-        )
+    unnamed = lambda i: F.length(strip(F.coalesce(i["description"], F.lit("")))) < 3
+    suspicious = F.filter(
+        items,
+        lambda i: (i["amount"] > 0)
+        & ((i["amount"].cast("double") / base * 100 > 50) | (i["amount"] > 10000) | unnamed(i)),
+    )
+    item_reasons = F.transform(
+        suspicious,
+        lambda i: F.when(
+            i["amount"] > 10000, F.concat(F.lit("Item exceeds $10,000: "), i["description"])
+        ).when(unnamed(i), F.lit("Item has missing or very short description")),
+    )
+    framed = framed.withColumns(
+        {
+            "suspicious_items": F.size(suspicious),
+            "_item_reasons": item_reasons,
+            # An unreadable invoice keeps the parser's own fixed state.
+            "avg_ambiguity": F.when(F.col("fallback_used"), 90.0).otherwise(F.col("avg_ambiguity")),
+        }
     )
-    framed = framed.withColumn("suspicious_items", suspicious)
-    reasons = F.array_compact(
+    flags = F.array_compact(
         F.array(
+            F.when(F.col("items_parsed") == 0, F.lit("No line items found")),
+            F.when(
+                F.col("duplicate_items") > 0,
+                F.format_string("Found %d potential duplicate items", F.col("duplicate_items")),
+            ),
             F.when(
-                F.col("items_parsed") == 0,
-                F.lit("No line items could be extracted from invoice"),
+                F.col("suspicious_items") > 0,
+                F.format_string("Found %d suspicious items", F.col("suspicious_items")),
             ),
-            F.when(F.col("duplicate_items") > 0, F.lit("Duplicate line items detected")),
+            F.when(~F.col("reconciled"), F.lit("Reconciliation failed")),
+        )
+    )
+    before = F.array(
+        F.when(F.col("items_parsed") == 0, F.lit("No line items could be extracted from invoice")),
+        F.when(F.col("duplicate_items") > 0, F.lit("Duplicate line items detected")),
+    )
+    after = (
+        F.array(
             F.when(
                 ~F.col("reconciled"),
                 F.concat(F.lit("Total mismatch: $"), F.col("difference").cast("string")),
@@ -553,6 +575,7 @@ def parse_quality(reconciled: DataFrame) -> DataFrame:
             F.when(F.col("avg_ambiguity") > 60, F.lit("High average ambiguity score")),
         )
     )
+    reasons = F.array_compact(F.concat(before, F.col("_item_reasons"), after))
     return framed.withColumns(
         {
             "overall_confidence": F.when(F.col("fallback_used"), 20.0).otherwise(
@@ -562,9 +585,14 @@ def parse_quality(reconciled: DataFrame) -> DataFrame:
             | (F.col("items_parsed") == 0)
             | ~F.col("reconciled")
             | (F.col("avg_ambiguity") > 60),
-            "manual_review_reasons": reasons,
+            "flags": F.when(
+                F.col("fallback_used"), F.array(F.lit("Fallback parsing used"))
+            ).otherwise(flags),
+            "manual_review_reasons": F.when(
+                F.col("fallback_used"), F.array(F.lit("Primary parsing failed"))
+            ).otherwise(reasons),
         }
-    ).drop("_plain_total")
+    ).drop("_plain_total", "_item_reasons")
 
 
 # ----- checks over item tables ------------------------------------------------------------------
