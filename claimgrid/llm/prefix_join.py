@@ -20,13 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgrid.llm.common import LOWER, blocks, components, mix, prefix_hash, span_hash, stored, text_key, utf8, word_hashes, word_spans
+from claimgrid.llm.common import (
+    LOWER,
+    blocks,
+    components,
+    id_filter,
+    may_hold,
+    mix,
+    prefix_hash,
+    span_hash,
+    stored,
+    text_key,
+    utf8,
+    word_hashes,
+    word_spans,
+)
 
 PERCENT = 90
 SHINGLE = 3
 #: Document frequencies are counted in this many hash buckets: a fixed 2 MB array.
 BUCKET_BITS, SLICE_BITS = 18, 12
 SALT = np.uint64(0xD6E8FEB86659FD93)
+#: A table of requests up to this many rows (about 100 bytes each) is broadcast, a larger one shuffled.
+BROADCAST_ROWS = 250_000
+EMPTY = np.zeros(0, np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -48,10 +65,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
             elif hi > lo:
                 yield span_hash(sums, np.array([lo]), np.array([hi]))
             else:
-                yield own_empty
-
-
-own_empty = np.zeros(0, np.uint64)
+                yield EMPTY
 
 
 def bucket(shingles: np.ndarray) -> np.ndarray:
@@ -106,18 +120,22 @@ PROFILE = "doc_id {}, __key string, node binary, __gid long, n long, prefix arra
 
 
 def profiles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """One row per document: text key, node (its set), group (prefix and size), size, prefix."""
+    """One row per document: text key, node (its set), group (prefix and size), size, and the prefix,
+    which stands once for each group and task."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, size))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             nodes, gids, sizes, prefixes = [], [], [], []
             for s in shingle_sets(*utf8(batch.column("text")), size):
                 p = prefix_of(s, counts.value, percent) if len(s) else s
                 nodes.append(node_id(s))
-                gids.append(int(mix(np.append(p, np.uint64(len(s)))).sum(dtype=np.uint64) >> np.uint64(1)))
+                gid = int(mix(np.append(p, np.uint64(len(s)))).sum(dtype=np.uint64) >> np.uint64(1))
+                gids.append(gid)
                 sizes.append(len(s))
-                prefixes.append(p.view(np.int64))
+                prefixes.append((EMPTY if gid in seen else p).view(np.int64))
+                seen.add(gid)
             ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *prefixes])
             yield pa.RecordBatch.from_arrays(
@@ -136,55 +154,67 @@ def profiles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
     return keyed.mapInArrow(profile, PROFILE.format(dict(docs.dtypes)["doc_id"]))
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(node, n, tokens) of the wanted (node, __id, __key): whole sets from one text of each node."""
+def _id_text(name: str):
+    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_ = [s.view(np.int64) for s in shingle_sets(*utf8(batch.column("text")), size)]
-            ends = np.append(0, np.cumsum([len(s) for s in all_])).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *all_])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in all_], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["node", "n", "tokens"],
-            )
 
+def asked_texts(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, partners, pivot, text): one text for each node of the pairs. Texts, not sets, are moved:
+    they are shorter, and a set is quickly made of its text."""
+    partners = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("partners"))
+    pivots = pairs.select(F.col("b").alias("node"), F.lit(True).alias("pivot")).distinct()
+    wanted = stored(partners.join(pivots, "node", "full").join(nodes.select("node", "__text.__id", "__text.__key"), "node"))
+    number = F.xxhash64("__id", "__key")
     keyed = docs.select(_id_text("doc_id").alias("__id"), text_key(F.col("text")).alias("__key"), "text")
-    texts = keyed.join(wanted, ["__id", "__key"]).groupBy("node").agg(F.first("text").alias("text"))
-    return stored(texts.mapInArrow(sets, "node binary, n long, tokens array<long>"))
+    # Texts that nobody asks for stay where they are, as far as a filter of fixed size can tell.
+    keyed = keyed.where(may_hold(docs, id_filter(wanted.select(number.alias("tid"))))(number))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = keyed.join(F.broadcast(wanted) if few else wanted, ["__id", "__key"])
+    return stored(found.select("node", "partners", "pivot", "text").dropDuplicates(["node"]))
 
 
-def _id_text(name: str):
-    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough."""
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, EMPTY
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, s in enumerate(shingle_sets(*utf8(batch.column("ta")), size)):
+                b = batch.column("b")[i].as_py()
+                if b != last:
+                    last, other = b, next(shingle_sets(*utf8(batch.column("tb").slice(i, 1)), size))
+                both = len(np.intersect1d(s, other, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(s) + len(other) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("__na"), F.col("tokens").alias("__ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("__nb"), F.col("tokens").alias("__tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("__ta", "__tb")).cast("long")
-    return both.where(100 * common >= percent * (F.col("__na") + F.col("__nb") - common)).select("a", "b")
+    texts = asked_texts(docs, pairs, nodes)
+    left = texts.select(F.explode("partners").alias("b"), F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.where("pivot").select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return stored(left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary"))
 
 
-def _may_link(percent: int):
-    """Size and position filters on a pair's sizes, shared prefix tokens and last shared places."""
-    union_part = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
-    most = F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most >= union_part)
+def _overlap(percent: int):
+    """Shingles that two sets of sizes na and nb must share."""
+    return F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
 
 
-def _paired(rows: DataFrame, others: DataFrame, percent: int, condition=None) -> DataFrame:
+def _paired(rows: DataFrame, others: DataFrame, percent: int, condition) -> DataFrame:
     """Pairs that meet on prefix tokens and pass the filters. ``rows`` and ``others``: token, side
-    (a or b), n, place."""
+    (a or b), n, place.
+
+    Sizes must be near; the first shared token must leave enough tokens on either side, and so
+    must the last one together with those shared before it.
+    """
     a = rows.select("token", F.col("side").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), *_extra(rows, "a"))
     b = others.select("token", F.col("side").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), *_extra(others, "b"))
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) if condition is None else condition)
-    met = met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    met = a.join(b, "token").where(condition & near & (left >= _overlap(percent)))
     pairs = met.groupBy("a", "b").agg(
         F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.count("*").alias("shared")
     )
-    return pairs.where(_may_link(percent)).select("a", "b")
+    return pairs.where(F.col("shared") + left - 1 >= _overlap(percent)).select("a", "b")
 
 
 def _extra(rows: DataFrame, side: str) -> list:
@@ -204,23 +234,24 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tupl
             F.first("n").alias("n"),
         )
     )
-    groups = rows.where("n > 0").groupBy("__gid").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
-    tokens = stored(groups.select(F.col("__gid").alias("side"), "n", "copies", F.posexplode("prefix").alias("place", "token")))
-    shared = stored(tokens.groupBy("token").agg(F.count("*").alias("__lists")).where("__lists > 1").select("token"))
-    tokens = stored(tokens.join(shared, "token"))
+    # Tokens that stand in one group's prefix only are dropped before anything is joined to them.
+    sizes = stored(rows.where("n > 0").groupBy("__gid").agg(F.first("n").alias("n"), F.count("*").alias("copies")))
+    each = rows.select(F.col("__gid").alias("side"), F.posexplode("prefix").alias("place", "token"))
+    shared = each.groupBy("token").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo <> hi")
+    tokens = stored(each.join(stored(shared.select("token")), "token")).dropDuplicates(["token", "side"])
+    tokens = stored(tokens.join(sizes.withColumnRenamed("__gid", "side"), "side"))
 
     # First every list against its most copied group, and every group against its most copied member.
     pivot = stored(tokens.groupBy("token").agg(F.max(F.struct("copies", "side", "n", "place")).alias("__p")))
     pivot = pivot.select("token", F.col("__p.side").alias("side"), F.col("__p.n").alias("n"), F.col("__p.place").alias("place"))
     group_pairs = stored(_paired(tokens, pivot, percent, F.col("a") != F.col("b")))
     lead = stored(nodes.groupBy("__gid").agg(F.max(F.struct("copies", "node")).alias("__m")).select("__gid", F.col("__m.node").alias("__lead")))
-    first = group_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = first.join(lead.select(F.col("__gid").alias("a"), F.col("__lead").alias("__x")), "a").join(
+    first = group_pairs.join(lead.select(F.col("__gid").alias("a"), F.col("__lead").alias("__x")), "a").join(
         lead.select(F.col("__gid").alias("b"), F.col("__lead").alias("__y")), "b"
     )
     inside = nodes.join(lead, "__gid").where("node <> __lead").select(F.col("node").alias("a"), F.col("__lead").alias("b"))
     pairs = stored(first.select(F.col("__x").alias("a"), F.col("__y").alias("b")).union(inside))
-    links = stored(verified(pairs, _sets_of(docs, pairs, nodes, size), percent))
+    links = verified(docs, pairs, nodes, percent, size)
     found = stored(components(links, "a", "b"))
 
     # Then pairs of nodes across components, from the lists and groups that more than one reaches.
@@ -234,19 +265,19 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tupl
         tokens.join(open_lists, "token").join(members, "side").select("token", F.col("node").alias("side"), "n", "place", "component")
     )
     across = _paired(opened, opened, percent, (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    # Members of one group need no token of another group to meet.
+    torn = stored(spread.where("__low <> __high").select("__gid"))
+    apart = stored(known.join(torn, "__gid").select("__gid", "node", "component"))
+    twin = apart.select("__gid", F.col("node").alias("b"), F.col("component").alias("cb"))
+    within = apart.withColumnsRenamed({"node": "a", "component": "ca"}).join(twin, "__gid").where("a < b AND ca <> cb").select("a", "b")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(across.join(stored(tried), ["a", "b"], "left_anti"))
-    more = stored(verified(rest, _sets_of(docs, rest, nodes, size), percent))
+    rest = stored(across.union(within).distinct().join(stored(tried), ["a", "b"], "left_anti"))
+    more = verified(docs, rest, nodes, percent, size)
     if more.limit(1).count():
         found = stored(components(links.union(more), "a", "b"))
     return rows, nodes.select("node", "copies").join(found, "node", "left")
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    return set_table(docs, stored(nodes.join(asked, "node").select("node", "__text.__id", "__text.__key")), size)
-
-
 def with_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, __key) for every row of ``docs``.
 

@@ -70,6 +70,23 @@ def test_star_of_variants_and_one_document_each(spark):
     assert 0 in {x.doc_id for x in kept.collect()}
 
 
+def test_members_of_one_group(spark):
+    """Equal rare prefixes and sizes: two members are alike, but neither is like the most copied one."""
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for i in range(30):  # makes the common words frequent, in an order of its own
+        r = random.Random(i)
+        rows.append((100 + i, " ".join(r.sample(common, 40)), "s"))
+    head = " ".join(f"rare{i}" for i in range(30))
+    tail = lambda seed: " ".join(random.Random(seed).choices(common, k=25))
+    other = tail(2)
+    rows += [(1, head + " " + tail(1), "s"), (2, head + " " + tail(1), "s"), (3, head + " " + other, "s"), (4, head + " " + other + " c1", "s")]
+    for percent in (60, 80):
+        sets, roots, least = brute_components(rows, percent, 1)
+        want = sorted(((i, len(s), least.get(r)) for (i, _, _), s, r in zip(rows, sets, roots)), key=repr)
+        assert plain(prefix_join.jaccard_components(frame(spark, rows), percent, 1)) == want
+
+
 def test_no_documents(spark):
     empty = frame(spark, [(1, "x", "s")]).where("false")
     assert prefix_join.jaccard_components(empty).count() == 0
