@@ -7,7 +7,8 @@ reach. Equal segments are settled by counting. Different segments with the same
 gathered in small groups and suffix-sorted: suffixes smaller than their successors are sorted
 directly, the rest is induced by scanning the buckets in order, and neighbours in the order that
 share LENGTH bytes are marked. Anchors with very many different segments, such as a passage in a
-third of all texts, would make large groups: their windows are counted by hash instead.
+third of all texts, would make large groups: their windows are counted by hash instead, in slices
+of neighbours first, and one by one only where the middle of a slice is shared but not all of it.
 
 Texts are named by 64-bit hash and length, strings by 64-bit hashes within equal anchors.
 """
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrid.llm.common import BYTE_VALUE, blocks, mix, prefix_hash, span_hash, stored, utf8
+from claimgrid.llm.common import BYTE_VALUE, blocks, id_filter, may_hold, mix, prefix_hash, span_hash, stored, utf8
 
 LENGTH, ANCHOR = 400, 64
 #: Anchors with more different segments than this are settled by counting windows.
 MOST_SEGMENTS = 256
+#: Neighbouring windows that are counted as one at first.
+SLICE = 8
 #: Window starts sorted together, in whole groups.
 STARTS_AT_ONCE = 1 << 15
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -46,10 +49,11 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """(row, start in row, windows, anchor hash, segment hash) of every segment of some texts."""
+    """(row, start in row, windows, offset of the anchor, anchor hash, segment hash) of every segment."""
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, none, none.view(np.uint64), none.view(np.uint64))
     if len(data) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     sums = prefix_hash(BYTE_VALUE[data])
     place = np.arange(len(data) - anchor + 1)
     hashes = span_hash(sums, place, place + anchor)
@@ -61,12 +65,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
     new[1:] &= (at[1:] != at[:-1]) | ~fits[:-1] | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     if not len(first):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     # A run of windows ends before the next run or with the last window of its text.
     last = np.minimum(np.append(first[1:], len(at)) - 1, offsets[row[first] + 1] - length)
     whole = span_hash(sums, first, last + length)
-    own = row[first]
-    return own, first - offsets[own], last - first + 1, hashes[at[first]], mix(whole ^ (at[first] - first).astype(np.uint64))
+    own, offset = row[first], at[first] - first
+    return own, first - offsets[own], last - first + 1, offset, hashes[at[first]], mix(whole ^ offset.astype(np.uint64))
 
 
 def text_id(text: Column) -> tuple[Column, Column]:
@@ -91,14 +95,14 @@ def anchor_table(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 continue
             batch = batch.take(pa.array(fresh))
             data, offsets = utf8(batch.column("text"))
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for a, b in blocks(offsets):
                 row, *parts = segments(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, anchor)
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
                 for values, part in zip(out, parts, strict=True):
                     part = part.view(np.int64)
                     values += [part[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
-            start, windows, anchors, whole = out
+            start, windows, offset, anchors, whole = out
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("tid"),
@@ -107,12 +111,14 @@ def anchor_table(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                     _lists(whole, pa.int64()),
                     _lists(start, pa.int64()),
                     _lists(windows, pa.int32()),
+                    _lists(offset, pa.int32()),
                 ],
-                names=["tid", "n_bytes", "anchor", "segment", "start", "windows"],
+                names=["tid", "n_bytes", "anchor", "segment", "start", "windows", "offset"],
             )
 
     long = docs.select(*text_id(F.col("text")), "text").where(F.col("n_bytes") >= length)
-    return long.mapInArrow(find, "tid long, n_bytes long, anchor array<long>, segment array<long>, start array<long>, windows array<int>")
+    lists = "anchor array<long>, segment array<long>, start array<long>, windows array<int>, offset array<int>"
+    return long.mapInArrow(find, f"tid long, n_bytes long, {lists}")
 
 
 # ---- two-stage suffix sorting ----------------------------------------------------------------
@@ -249,69 +255,30 @@ def _sort_groups(length: int):
     return sort
 
 
-# ---- semi-join reduction ---------------------------------------------------------------------
-
-FILTER_BITS = 24
-
-
-def _filter_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids.view(np.uint64))
-    shift = np.uint64(64 - FILTER_BITS)
-    return (h >> shift).astype(np.int64), ((h * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A fixed 2 MB Bloom filter of the column ``tid``, built by the tasks and merged by slices.
-
-    It only spares the shuffle of texts that have no partner; a full filter lets all pass.
-    """
-    width = 1 << (FILTER_BITS - 6)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            for place in _filter_places(batch.column("tid").to_numpy(zero_copy_only=False).astype(np.int64)):
-                bits[place] = True
-        parts = bits.reshape(-1, width)
-        used = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([np.packbits(parts[i]).tobytes() for i in used], pa.binary())], names=["part", "bits"]
-        )
-
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width // 8, np.uint8)
-        for batch in batches:
-            for b in batch.column("bits"):
-                total |= np.frombuffer(b.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["part", "bits"])
-
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    built = ids.select("tid").mapInArrow(build, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
-    for part, bits in built.collect():  # 64 rows of 32 KB at most
-        out[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bits, np.uint8)
-    return out
-
-
-def may_hold(docs: DataFrame, bits: np.ndarray):
-    """A condition on ``tid``: whether the filter may hold it."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+# ---- the operator ----------------------------------------------------------------------------
 
-    def test(ids: pa.Array) -> pa.Array:
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.combine_chunks()
-        out = np.ones(len(ids), bool)
-        for p in _filter_places(np.ascontiguousarray(ids.to_numpy(zero_copy_only=False), np.int64)):
-            out &= (shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
-        return pa.array(out)
 
-    return F.arrow_udf(test, "boolean")
+BODY = "anchor long, segment long, windows int, body binary, place int, core long, content long, hashes array<long>"
 
 
-# ---- the operator ----------------------------------------------------------------------------
+def slices(body: bytes, windows: int, offset: int, length: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """(first window, hash of the bytes all windows of the slice share, hash of all its bytes, window
+    hashes) for runs of up to SLICE windows. Slices are cut by distance from the anchor, so equal
+    windows stand in slices with equal middles."""
+    sums = prefix_hash(BYTE_VALUE[np.frombuffer(body, np.uint8)])
+    at = np.arange(windows)
+    hashes = span_hash(sums, at, at + length).view(np.int64)
+    part = (offset - at) // SLICE
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    last = np.append(first[1:], windows) - 1
+    middle = offset - SLICE * part[first]
+    core = mix(span_hash(sums, middle, middle - SLICE + 1 + length) ^ part[first].astype(np.uint64)).view(np.int64)
+    content = span_hash(sums, first, last + length).view(np.int64)
+    return [(int(f), int(c), int(x), hashes[f : t + 1]) for f, t, c, x in zip(first, last, core, content, strict=True)]
 
 
 def _bodies(length: int):
-    """Bytes of the wanted segments; window hashes instead where ``counted``."""
+    """Bytes of the wanted segments; hashed slices instead where ``counted``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,28 +286,37 @@ def _bodies(length: int):
             for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 for w in wanted:
+                    name = (w["anchor"], w["segment"], w["windows"])
                     body = raw[w["start"] : w["start"] + w["windows"] + length - 1]
                     if w["counted"]:
-                        sums = prefix_hash(BYTE_VALUE[np.frombuffer(body, np.uint8)])
-                        at = np.arange(w["windows"])
-                        out.append((w["anchor"], w["segment"], w["windows"], None, span_hash(sums, at, at + length).view(np.int64)))
+                        out += [(*name, None, *part) for part in slices(body, w["windows"], w["offset"], length)]
                     else:
-                        out.append((w["anchor"], w["segment"], w["windows"], body, None))
+                        out.append((*name, body, None, None, None, None))
             if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([o[0] for o in out], pa.int64()),
-                        pa.array([o[1] for o in out], pa.int64()),
-                        pa.array([o[2] for o in out], pa.int32()),
-                        pa.array([o[3] for o in out], pa.binary()),
-                        pa.array([o[4] for o in out], pa.list_(pa.int64())),
-                    ],
-                    names=["anchor", "segment", "windows", "body", "hashes"],
+                    [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), kinds, strict=True)],
+                    names=["anchor", "segment", "windows", "body", "place", "core", "content", "hashes"],
                 )
 
     return cut
 
 
+def _counted(bodies: DataFrame) -> DataFrame:
+    """(anchor, segment, runs) of sliced segments: repeated windows by counting."""
+    parts = bodies.where("hashes IS NOT NULL").select("anchor", "segment", "place", "core", "content", "hashes")
+    kinds = stored(parts.groupBy("core", "content").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes")))
+    whole = kinds.where("n > 1").select("core", "content", F.sequence(F.lit(0), F.size("hashes") - 1).alias("marks"))
+    mixed = stored(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"))
+    each = kinds.join(mixed, "core").select("core", "content", F.posexplode("hashes").alias("mark", "hash"))
+    again = stored(each.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"))
+    some = each.join(again, "hash").groupBy("core", "content").agg(F.collect_set("mark").alias("marks"))
+    marks = stored(whole.union(some))
+    hit = parts.join(marks, ["core", "content"]).select("anchor", "segment", F.transform("marks", lambda m: F.col("place") + m).alias("places"))
+    hit = hit.groupBy("anchor", "segment").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    return hit.select("anchor", "segment", F.flatten(F.transform("places", lambda p: F.array(p, p))).alias("runs"))
+
+
 def repeated_pieces(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """(tid, n_bytes, whole, pieces) of every text that loses bytes.
 
@@ -351,7 +327,7 @@ def repeated_pieces(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     copies = stored(long.groupBy("tid", "n_bytes").agg(F.count("*").alias("copies"), F.min("rid").alias("rid")))
     table = stored(anchor_table(docs, length, anchor))
     occurrence = F.xxhash64("tid", "n_bytes", "start").alias("occurrence")
-    each = table.select("tid", "n_bytes", F.explode(F.arrays_zip("anchor", "segment", "start", "windows")).alias("s")).select("tid", "n_bytes", "s.*")
+    each = table.select("tid", "n_bytes", F.explode(F.arrays_zip("anchor", "segment", "start", "windows", "offset")).alias("s")).select("tid", "n_bytes", "s.*")
 
     # Anchors in more than one place, and the segments around them.
     many = each.select("anchor", occurrence).groupBy("anchor").agg(F.min("occurrence").alias("lo"), F.max("occurrence").alias("hi"))
@@ -367,25 +343,17 @@ def repeated_pieces(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     wanted = stored(kinds.join(several, "anchor").select("anchor", "segment", "lo", (F.col("n") > most_segments).alias("counted")))
     chosen = active.withColumn("lo", F.xxhash64("tid", "n_bytes", "start")).join(wanted, ["anchor", "segment", "lo"])
     asked = stored(
-        chosen.groupBy("tid", "n_bytes").agg(F.collect_set(F.struct("anchor", "segment", "start", "windows", "counted")).alias("wanted"))
+        chosen.groupBy("tid", "n_bytes").agg(F.collect_set(F.struct("anchor", "segment", "start", "windows", "offset", "counted")).alias("wanted"))
         .join(copies.drop("copies"), ["tid", "n_bytes"])
     )
     texts = long.where(may_hold(docs, id_filter(asked))("tid")).join(asked, ["tid", "n_bytes", "rid"])
     bodies = stored(
-        texts.select("text", "wanted").mapInArrow(
-            _bodies(length), "anchor long, segment long, windows int, body binary, hashes array<long>"
-        )
+        texts.select("text", "wanted").mapInArrow(_bodies(length), BODY)
     )
     groups = bodies.where("body IS NOT NULL").select("anchor", "segment", "windows", "body").repartition("anchor").sortWithinPartitions("anchor")
     sorted_ = groups.mapInArrow(_sort_groups(length), "anchor long, segment long, runs array<int>")
 
-    # Windows of anchors with very many segments: counted, equal ones before the shuffle.
-    counted = bodies.where("hashes IS NOT NULL").select("anchor", "segment", F.posexplode("hashes").alias("place", "hash"))
-    again = stored(counted.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    places = counted.join(again, "hash").groupBy("anchor", "segment").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    hit = places.select("anchor", "segment", F.flatten(F.transform("places", lambda p: F.array(p, p))).alias("runs"))
-
-    found = stored(equal.union(sorted_).union(hit))
+    found = stored(equal.union(sorted_).union(_counted(bodies)))
     pieces = active.select("tid", "n_bytes", "anchor", "segment", "start", "windows").join(found, ["anchor", "segment"])
     pieces = pieces.groupBy("tid", "n_bytes").agg(F.collect_set(F.struct("start", "windows", "runs")).alias("pieces"))
     twins = copies.where("copies > 1").select("tid", "n_bytes", F.lit(True).alias("__twin"))
