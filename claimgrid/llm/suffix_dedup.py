@@ -31,7 +31,9 @@ MOST_SEGMENTS = 256
 #: Neighbouring windows that are counted as one at first.
 SLICE = 8
 #: Window starts sorted together, in whole groups.
-STARTS_AT_ONCE = 1 << 15
+STARTS_AT_ONCE = 1 << 14
+#: Segments or slices in one Arrow batch, about.
+ROWS_AT_ONCE = 4096
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
@@ -277,6 +279,14 @@ def slices(body: bytes, windows: int, offset: int, length: int) -> list[tuple[in
     return [(int(f), int(c), int(x), hashes[f : t + 1]) for f, t, c, x in zip(first, last, core, content, strict=True)]
 
 
+def _body_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)],
+        names=["anchor", "segment", "windows", "body", "place", "core", "content", "hashes"],
+    )
+
+
 def _bodies(length: int):
     """Bytes of the wanted segments; hashed slices instead where ``counted``."""
 
@@ -292,12 +302,11 @@ def _bodies(length: int):
                         out += [(*name, None, *part) for part in slices(body, w["windows"], w["offset"], length)]
                     else:
                         out.append((*name, body, None, None, None, None))
+                if len(out) >= ROWS_AT_ONCE:
+                    yield _body_rows(out)
+                    out = []
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, kind) for values, kind in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=["anchor", "segment", "windows", "body", "place", "core", "content", "hashes"],
-                )
+                yield _body_rows(out)
 
     return cut
 
