@@ -6,7 +6,9 @@ tokens with equal vectors, an equivalence class, are found by a plain grouped su
 frequent as the page itself form the outermost class. A text run whose vector equals that of its
 element stands in every instance of it: it belongs to the template of the nested class. What is
 left in the slots of the template is data; the innermost element of the outermost class that
-holds most of it is the host's main slot.
+holds most of it is the host's main slot, and slots inside it are judged by their data, too. Names
+of elements and classes choose among slots that hold the same data, say which small slots are
+aside, and decide alone only where a host has no template.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from claimgrid.llm.common import BYTE_VALUE, prefix_hash, span_hash, stored
 MIN_PAGES = 5
 #: Share of a host's data that the main slot holds at least.
 MAIN_SHARE = 0.8
+#: What holds this share of the data is never aside.
+CONTENT_SHARE = 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -34,7 +38,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -64,6 +68,8 @@ ASIDE_WORDS = set(
     "skip toolbar contentinfo complementary tagcloud tags hidden print gdpr".split()
 )
 KEEP_INSIDE = {"html", "body", "article", "main"}
+#: Bits of an element's kind: aside by its name, by a weak word, main by its name, fit for a slot.
+STRONG, WEAK, MAIN, SLOT = 1, 2, 4, 8
 
 
 def host_of(url: Column) -> Column:
@@ -73,30 +79,84 @@ def host_of(url: Column) -> Column:
 
 
 class Node:
-    """An open or closed element: path name, parent, and whether it is aside from the main text."""
+    """An element: path name, parent, what its name says of it; ``aside`` comes with the whole page."""
 
-    __slots__ = ("tag", "name", "parent", "aside", "path", "central")
+    __slots__ = ("tag", "parent", "path", "kind", "hidden", "central", "aside")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, aside: bool, central: bool):
-        self.tag, self.name, self.parent, self.aside, self.central = tag, name, parent, aside, central
+    def __init__(self, tag: str, name: str, parent: Node | None, kind: int, hidden: bool):
+        self.tag, self.parent, self.kind = tag, parent, kind
         self.path = (parent.path + ">" if parent else "") + name
+        self.hidden = hidden or (parent is not None and parent.hidden)
+        self.central = bool(kind & MAIN) or (parent is not None and parent.central)
+        self.aside = False
+
+
+def aside_kind(value: str) -> int:
+    return 0 if ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)) else STRONG
 
 
 def _node(tag: str, attributes: str, parent: Node | None) -> Node:
-    name, aside = tag, tag in ASIDE_TAGS or (tag == "header" and not (parent and parent.central))
-    central = tag in ("article", "main")
+    name, hidden = tag, False
+    kind = STRONG if tag in ASIDE_TAGS or (tag == "header" and not (parent and parent.central)) else 0
+    kind |= (MAIN if tag in ("article", "main") else 0) | (SLOT if tag in CONTAINERS else 0)
     if attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
-            value = next((v for v in values if v), "").lower()
-            words = re.split(r"[^a-z]+", value)
-            if key.lower() == "role" and value == "main":
-                central = True
-            elif tag not in KEEP_INSIDE or any(w.startswith("comment") for w in words):
-                aside = aside or not ASIDE_WORDS.isdisjoint(words)
-            name += f"[{key.lower()}={re.sub(r'[0-9]{2,}', '0', value)}]"
-        aside = aside or bool(HIDDEN.search(attributes))
-    inherited = parent is not None and parent.aside
-    return Node(tag, name, parent, aside or inherited, (central or (parent is not None and parent.central)) and not (aside or inherited))
+            key, value = key.lower(), next((v for v in values if v), "").lower()
+            if key in ("id", "class", "role"):
+                if key == "role" and value == "main":
+                    kind |= MAIN
+                elif tag not in KEEP_INSIDE or any(w.startswith("comment") for w in value.split()):
+                    kind |= aside_kind(value)
+                name += f"[{key}={re.sub(r'[0-9]{2,}', '0', value)}]"
+        hidden = bool(HIDDEN.search(attributes))
+    if tag in KEEP_INSIDE and kind & (STRONG | WEAK):
+        kind &= ~MAIN
+    return Node(tag, name, parent, kind, hidden)
+
+
+def inner_chars(texts: list[tuple[Node | None, str, int]]) -> dict[int, int]:
+    """Characters of text inside each element, by its id; hidden ones don't count."""
+    chars: dict[int, int] = {}
+    for node, run, _ in texts:
+        n = len(squeezed(run))
+        up = None if node is None or node.hidden else node
+        while n and up is not None:
+            chars[id(up)] = chars.get(id(up), 0) + n
+            up = up.parent
+    return chars
+
+
+def mark_asides(nodes: list[Node], chars: dict[int, int], parts: set[int], content: set[int], deduced: bool) -> None:
+    """Sets ``aside``: named so, and neither main text by the data of the host or page nor around it.
+
+    ``parts`` are elements that the template confirms as aside, ``content`` those it knows to hold data.
+    """
+    total = sum(chars.get(id(n), 0) for n in nodes if n.parent is None)
+    for n in nodes:
+        said = n.kind & (STRONG | WEAK)
+        token = _signed(_hash(n.path)) if said and (parts or content) else None
+        if token in content or (said == WEAK and (deduced or n.central) and token not in parts):
+            said = 0
+        if said and chars.get(id(n), 0) >= MAIN_SHARE * total:
+            said = 0
+        n.aside = bool(said)
+    own = {id(n): n.aside for n in nodes}
+
+    def inherit() -> None:
+        for n in nodes:
+            n.aside = own[id(n)] or (n.parent is not None and n.parent.aside)
+
+    inherit()
+    mains = [n for n in nodes if n.kind & MAIN and chars.get(id(n), 0)]
+    if mains and all(n.aside for n in mains):
+        up = max(mains, key=lambda n: chars[id(n)])
+        beside = sum(chars.get(id(n), 0) for n in nodes if own[id(n)] and not (n.parent is not None and n.parent.aside))
+        # What is around the only main text isn't aside, unless there is more text outside of all asides.
+        if chars[id(up)] >= total - beside:
+            while up is not None:
+                own[id(up)] = False
+                up = up.parent
+            inherit()
 
 
 def runs(page: str) -> tuple[list[Node], list[tuple[Node | None, str, int]]]:
@@ -165,7 +225,7 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-TOKENS = "host string, token long, parent long, path string, vector long, n long, chars long"
+TOKENS = "host string, token long, parent long, path string, vector long, n long, chars long, kind int"
 
 
 def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +242,10 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
 
-        def add(host: str, token: int, parent: int, path: str | None, page_hash: int, chars: int) -> None:
+        def add(host: str, token: int, parent: int, path: str | None, page_hash: int, chars: int, kind: int = 0) -> None:
             row = sums.get((host, token))
             if row is None:
-                sums[host, token] = [parent, path, page_hash, 1, chars]
+                sums[host, token] = [parent, path, page_hash, 1, chars, kind]
             else:
                 row[2] += page_hash
                 row[3] += 1
@@ -194,23 +254,19 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_hash", "html")), strict=True):
             nodes, texts = runs(page or "")
             add(host, 0, 0, "", key, 0)
-            chars: dict[int, int] = {}
+            chars = inner_chars(texts)
             for node, run, _ in texts:
                 run = squeezed(run)
                 if not run or node is None:
                     continue
-                add(host, _signed(_hash(node.path + "\0" + run)), hashed(node.path), None, key, 0)
-                up = None if node.aside else node
-                while up is not None:
-                    chars[id(up)] = chars.get(id(up), 0) + len(run)
-                    up = up.parent
+                add(host, _signed(_hash(node.path + "\0" + run)), hashed(node.path), None, key, 0 if node.hidden else len(run))
             for node in nodes:
-                add(host, hashed(node.path), 0, node.path, key, chars.get(id(node), 0))
+                add(host, hashed(node.path), 0, node.path, key, chars.get(id(node), 0), node.kind)
         if sums:
-            rows = [(h, t, p, path, _wrap(v), n, c) for (h, t), (p, path, v, n, c) in sums.items()]
+            rows = [(h, t, p, path, _wrap(v), n, c, k) for (h, t), (p, path, v, n, c, k) in sums.items()]
             yield pa.RecordBatch.from_pandas(
-                pd.DataFrame(rows, columns=["host", "token", "parent", "path", "vector", "n", "chars"]),
-                schema=pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("path", pa.string()), ("vector", pa.int64()), ("n", pa.int64()), ("chars", pa.int64())]),
+                pd.DataFrame(rows, columns=["host", "token", "parent", "path", "vector", "n", "chars", "kind"]),
+                schema=pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("path", pa.string()), ("vector", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("kind", pa.int32())]),
                 preserve_index=False,
             )
 
@@ -227,36 +283,53 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, main_share: float =
     tokens = stored(
         pages.mapInArrow(_page_tokens, TOKENS)
         .groupBy("host", "token", "parent")
-        .agg(F.max("path").alias("path"), F.sum("vector").alias("vector"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+        .agg(F.max("path").alias("path"), F.sum("vector").alias("vector"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max("kind").alias("kind"))
         .where(f"token = 0 OR path IS NOT NULL OR n >= {min_pages}")
     )
     page = tokens.where("token = 0").select("host", F.col("vector").alias("__pages"), F.col("n").alias("__n"))
     elements = tokens.where("path IS NOT NULL AND token <> 0")
-    # The outermost class: elements with the vector of the page itself.
-    outer = elements.join(page, "host").where("vector = __pages")
-    slots = outer.groupBy("host").agg(F.max("chars").alias("__most"))
-    main = (
-        outer.join(slots, "host")
-        .where((F.col("chars") > 0) & (F.col("chars") >= main_share * F.col("__most")) & (F.col("__n") >= min_pages))
-        .groupBy("host")
-        .agg(F.max_by("path", F.struct(F.length("path"), "path")).alias("main"))
-    )
     # Nested classes: a text as often, page by page, as the element that holds it.
-    inner = elements.select("host", F.col("token").alias("parent"), F.col("vector").alias("__of"), F.col("n").alias("__times"))
-    fixed = (
+    inner = elements.select(
+        "host", F.col("token").alias("parent"), F.col("path").alias("__in"), F.col("vector").alias("__of"), F.col("n").alias("__times")
+    )
+    constant = stored(
         tokens.where("path IS NULL")
         .join(inner, ["host", "parent"])
         .where(f"vector = __of AND n = __times AND n >= {min_pages}")
+        .select("host", "token", "__in", "chars")
+    )
+    fixed = constant.groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    # Data of an element: its characters without those of constant texts in it or in elements below.
+    names = F.split("__in", ">")
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), ">"))
+    spent = constant.select("host", F.explode(above).alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("__spent"))
+    judged = elements.join(page, "host").where(
+        f"__n >= {min_pages} AND (vector = __pages OR (n >= {min_pages} AND kind & {STRONG | WEAK} <> 0))"
+    )
+    judged = stored(judged.join(spent, ["host", "path"], "left").withColumn("data", F.col("chars") - F.coalesce("__spent", F.lit(0))))
+    # The outermost class: elements with the vector of the page itself.
+    outer = judged.where("vector = __pages")
+    most = stored(outer.groupBy("host").agg(F.max("data").alias("__most")).where("__most > 0"))
+    # Of slots inside each other that hold the data, the innermost; one named as main text goes first.
+    main = (
+        outer.join(most, "host")
+        .where((F.col("data") >= main_share * F.col("__most")) & (F.col("kind").bitwiseAND(SLOT) != 0))
         .groupBy("host")
-        .agg(F.collect_set("token").alias("fixed"))
+        .agg(F.max_by("path", F.struct(F.col("kind").bitwiseAND(MAIN), F.length("path"), "path")).alias("main"))
     )
-    return stored(page.select("host").join(main, "host", "left").join(fixed, "host", "left"))
+    named = judged.where(f"kind & {STRONG | WEAK} <> 0").join(most, "host").withColumn("__big", F.col("data") >= CONTENT_SHARE * F.col("__most"))
+    sides = named.groupBy("host").agg(
+        F.collect_set(F.when(~F.col("__big"), F.col("token"))).alias("parts"), F.collect_set(F.when(F.col("__big"), F.col("token"))).alias("content")
+    )
+    return stored(page.select("host").join(main, "host", "left").join(fixed, "host", "left").join(sides, "host", "left"))
 
 
-def main_text(page: str, main: str | None, fixed: set[int]) -> str:
+def main_text(
+    page: str, main: str | None, fixed: set[int], parts: set[int] = frozenset(), content: set[int] = frozenset()
+) -> str:
     """Blocks of the main slot without template texts and parts aside, joined by two line feeds."""
     nodes, texts = runs(page)
-    central = any(n.central for n in nodes)
+    chars = inner_chars(texts)
     inside: dict[int, bool] = {}
 
     def within(node: Node) -> bool:
@@ -264,33 +337,41 @@ def main_text(page: str, main: str | None, fixed: set[int]) -> str:
             inside[id(node)] = node.path == main or (node.parent is not None and within(node.parent))
         return inside[id(node)]
 
-    by_slot = not central and main is not None and any(n.path == main for n in nodes)
-    found: list[list] = []
-    for node, run, block in texts:
-        if node is not None and (node.aside or (central and not node.central) or (by_slot and not within(node))):
-            continue
-        if node is None and (central or by_slot):
-            continue
-        same = found and found[-1][0] == block
-        (found[-1][1] if same else found.append([block, []]) or found[-1][1]).append((node, run))
-    for drop in (fixed, ()):
-        blocks = (squeezed("".join(r for n, r in part if not drop or n is None or _signed(_hash(n.path + "\0" + squeezed(r))) not in drop)) for _, part in found)
-        text = "\n\n".join(b for b in blocks if b)
+    by_slot = main is not None and any(n.path == main for n in nodes)
+    mark_asides(nodes, chars, parts, content, by_slot)
+    shown = [(node, run, block) for node, run, block in texts if (not by_slot if node is None else not node.hidden and (not by_slot or within(node)))]
+    size = [len(squeezed(run)) for _, run, _ in shown]
+    beside = [node is not None and node.aside for node, _, _ in shown]
+    held = sum(n for n, out in zip(size, beside, strict=True) if not out)
+    inner = [node is not None and node.central and not out for (node, _, _), out in zip(shown, beside, strict=True)]
+    called = sum(n for n, at in zip(size, inner, strict=True) if at)
+    # Names decide without a slot; inside one they do if they name most of its text.
+    central = called > 0 and (not by_slot or called >= CONTENT_SHARE * held)
+    narrow = [part for part, at, out in zip(shown, inner, beside, strict=True) if (at if central else not out)]
+    for chosen, drop in ((narrow, fixed), (narrow, ()), (shown, ())):
+        found: list[list] = []
+        for node, run, block in chosen:
+            if drop and node is not None and _signed(_hash(node.path + "\0" + squeezed(run))) in drop:
+                continue
+            if not found or found[-1][0] != block:
+                found.append([block, []])
+            found[-1][1].append(run)
+        text = "\n\n".join(b for b in (squeezed("".join(part)) for _, part in found) if b)
         if text:
             return text
     return ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[str, set[int]] = {}
+    sets: dict[str, list[set[int]]] = {}
     for batch in batches:
         out = []
-        for host, page, main, fixed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "main", "fixed")), strict=True):
+        for host, page, main, *known in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "main", "fixed", "parts", "content")), strict=True):
             if host not in sets:
                 if len(sets) > 1000:
                     sets.clear()
-                sets[host] = set(fixed or ())
-            out.append(main_text(page, main, sets[host]) if page else "")
+                sets[host] = [set(k or ()) for k in known]
+            out.append(main_text(page, main, *sets[host]) if page else "")
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -301,9 +382,9 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, main_share:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     Null and empty pages give empty text. Pages with a null url, or one without a host, share one
-    empty host. Hosts of fewer than ``min_pages`` pages have no template: element names and their
-    id, class and role decide alone, as they do before the template where ``article`` or ``main``
-    stands in the page. Repeated rows weigh alike in every vector and change no class. A text is
+    empty host. Hosts of fewer than ``min_pages`` pages, or without data in the slots that all pages
+    share, have no main slot: element names and their id, class and role decide alone. In a slot
+    they narrow the text only to an element named as main that holds most of it. Repeated rows weigh alike in every vector and change no class. A text is
     never dropped for being frequent: only if it fills every instance of its element.
     """
     rows = pages.select(
@@ -315,4 +396,4 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, main_share:
     )
     found = templates(rows.select("host", "page_hash", "html"), min_pages, main_share)
     ids = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
-    return rows.join(found, "host", "left").select("page_id", "url", "host", "html", "main", "fixed").mapInArrow(_extract, ids)
+    return rows.join(found, "host", "left").select("page_id", "url", "host", "html", "main", "fixed", "parts", "content").mapInArrow(_extract, ids)

@@ -283,3 +283,15 @@ def test_template_of_a_host(spark):
             assert x.text == f"T{n}\n\n{('body %d ' % n * 9).strip()}\n\n{('more %d ' % n * 5).strip()}"
     assert {x.page_id: x.text for x in got if x.page_id >= 100} == {100: "", 101: "alone", 102: ""}
     assert extract.extract_main_text(pages.where("false")).count() == 0
+
+
+def test_template_decides_before_names(spark):
+    shell = (
+        "<body><nav><a>{t} menu</a></nav><article class=teaser>Short {t}</article><div class=x7><h2>{t}</h2><p>{a}</p>"
+        "<section class=related><p>{b}</p></section></div><footer>{t}</footer></body>"
+    )
+    rows = [(n, f"http://h.test/{n}", shell.format(t=f"T{n}", a=f"body {n} " * 30, b=f"other {n}")) for n in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {x.page_id: x.text for x in extract.extract_main_text(pages).collect()}
+    # The slot with the data, not the element called article; the small slot beside it has the template's word.
+    assert got == {n: f"T{n}\n\n{('body %d ' % n * 30).strip()}" for n in range(8)}
