@@ -39,7 +39,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -67,6 +67,11 @@ ASIDE_WORDS = set(
     "newsletter subscribe subscription signup login search breadcrumb breadcrumbs crumbs pagination pager copyright legal disclaimer "
     "skip toolbar contentinfo complementary tagcloud tags hidden print gdpr".split()
 )
+#: Words that also name parts of a text: inside the main text they need the template's word.
+WEAK_WORDS = set(
+    "header side banner notice notices alert reply replies respond discussion related recommended recommendations share sharing "
+    "social search copyright legal disclaimer tags print skip widget overlay".split()
+)
 KEEP_INSIDE = {"html", "body", "article", "main"}
 #: Bits of an element's kind: aside by its name, by a weak word, main by its name, fit for a slot.
 STRONG, WEAK, MAIN, SLOT = 1, 2, 4, 8
@@ -92,7 +97,13 @@ class Node:
 
 
 def aside_kind(value: str) -> int:
-    return 0 if ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)) else STRONG
+    """STRONG or WEAK if one of the names consists of listed words only."""
+    kind = 0
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words and ASIDE_WORDS.issuperset(words):
+            kind |= WEAK if WEAK_WORDS.issuperset(words) else STRONG
+    return kind
 
 
 def _node(tag: str, attributes: str, parent: Node | None) -> Node:
@@ -108,7 +119,8 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
                 elif tag not in KEEP_INSIDE or any(w.startswith("comment") for w in value.split()):
                     kind |= aside_kind(value)
                 name += f"[{key}={re.sub(r'[0-9]{2,}', '0', value)}]"
-        hidden = bool(HIDDEN.search(attributes))
+            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and NO_DISPLAY.search(value)):
+                hidden = True
     if tag in KEEP_INSIDE and kind & (STRONG | WEAK):
         kind &= ~MAIN
     return Node(tag, name, parent, kind, hidden)

@@ -295,3 +295,22 @@ def test_template_decides_before_names(spark):
     got = {x.page_id: x.text for x in extract.extract_main_text(pages).collect()}
     # The slot with the data, not the element called article; the small slot beside it has the template's word.
     assert got == {n: f"T{n}\n\n{('body %d ' % n * 30).strip()}" for n in range(8)}
+
+
+NAMED = {
+    '<div class="content no-sidebar"><article><p>long text</article></div>': "long text",
+    '<div class="post tags-news"><article><p>long text</article></div>': "long text",
+    '<div class="page has-header"><div><p>long text</div></div>': "long text",
+    '<div class="sidebar"><article><p>long text</article></div><div class=ad>buy</div>': "long text",
+    "<article><p>first part<section class=legal><p>second part</section></article>": "first part\n\nsecond part",
+    '<article><p>first part<section class="related work"><p>second</section></article>': "first part\n\nsecond",
+    '<article><p>first part<section class="notice"><p>second</section></article>': "first part\n\nsecond",
+    '<article><p title="the hidden valley">seen</p><p hidden>not seen</p><p style="display: none">nor this</p></article>': "seen",
+    "<form class=login><p>all that is here</p></form>": "all that is here",
+    "<article><p>long text</p></article><div class='ad box'>buy</div><div class='cookie-notice'>yes</div>": "long text",
+}
+
+
+@pytest.mark.parametrize("page", list(NAMED))
+def test_names_drop_no_text(page):
+    assert extract.main_text(page, None, set()) == NAMED[page]
