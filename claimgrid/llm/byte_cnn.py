@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgrid.llm.common import Adam, blocks, bucket_of_id, labelled_sample, sigmoid, utf8
+from claimgrid.llm.common import Adam, blocks, bucket_of_id, labelled_sample, prior_shift, sigmoid, utf8
 
 #: Bytes of a chunk and of the step to the next one; a filter spans TAPS strides of STRIDE bytes.
 CHUNK, STEP, STRIDE, TAPS = 512, 448, 4, 2
@@ -169,6 +169,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     """
     learn = bucket_of_id(F.col("doc_id"), 3) != 1
     w = train(labelled_sample(docs, labels, label, learn, SAMPLE_PER_CLASS, SAMPLE_BYTES))
+    # The sample has its own class shares; scores have those of all admissible labels.
+    w["shift"] = w["shift"] + np.float32(prior_shift(labels, label, learn, SAMPLE_PER_CLASS))
     rows = docs.select(
         "doc_id",
         F.coalesce(bucket_of_id(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),

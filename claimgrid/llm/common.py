@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -267,9 +268,7 @@ def labelled_sample(
     A document labelled both ways counts as 1; of repeated rows the least text stands for all. At
     most ``2 * per_class * max_bytes`` bytes reach the driver.
     """
-    value = F.col(label).cast("int")
-    known = labels.where(learn & value.isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(value).alias("__label"))
+    known = known_labels(labels, label, learn)
     picked = None
     for y in (0, 1):
         part = known.where(F.col("__label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y])
@@ -280,6 +279,25 @@ def labelled_sample(
     return [(r["text"], r["__label"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
+def known_labels(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(doc_id, __label) of the labelled ids that ``learn`` admits; an id labelled both ways counts as 1."""
+    value = F.col(label).cast("int")
+    known = labels.where(learn & value.isin(0, 1) & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.max(value).alias("__label"))
+
+
+def prior_shift(labels: DataFrame, label: str, learn: Column, per_class: tuple[int, int]) -> float:
+    """What the caps of ``labelled_sample`` take from the log-odds of class 1, to be added to a logit.
+
+    A row of a class stands for all admissible labels of the class over those the cap lets through,
+    so scores mean the same whatever the size of the label table. 0 while no cap is full.
+    """
+    counts = known_labels(labels, label, learn).groupBy("__label").agg(F.count("*").alias("n"))
+    number = {r["__label"]: r["n"] for r in counts.collect()}
+    each = [max(1.0, number.get(y, 0) / per_class[y]) for y in (0, 1)]
+    return math.log(each[1] / each[0])
+
+
 def bucket_of_id(doc_id: Column, modulus: int) -> Column:
     """CRC-32 of the id as text, modulo; null ids have none."""
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(modulus))

@@ -27,6 +27,7 @@ from claimgrid.llm.common import (
     bucket_of_id,
     labelled_sample,
     prefix_hash,
+    prior_shift,
     sigmoid,
     span_hash,
     utf8,
@@ -330,9 +331,13 @@ def scorer(w):
 
 
 def fitted_scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
-    """A scoring function trained on rows of ``labels`` whose CRC-32 of the id is not 0 modulo 5."""
+    """A scoring function trained on rows of ``labels`` whose CRC-32 of the id is not 0 modulo 5.
+
+    The sample has its own class shares; the last logit is shifted to those of all admissible labels.
+    """
     learn = bucket_of_id(F.col("doc_id"), 5) != 0
     w = train(labelled_sample(docs, labels, label, learn, SAMPLE_PER_CLASS, SAMPLE_BYTES))
+    w["combine"] = w["combine"] + np.array([0, 0, prior_shift(labels, label, learn, SAMPLE_PER_CLASS)])
     return scorer(docs.sparkSession.sparkContext.broadcast(w))
 
 

@@ -117,3 +117,14 @@ def test_without_labels(spark):
         assert score(docs.where("false"), none).count() == 0
     kept = toxic_gru.non_toxic(docs, none)
     assert kept.columns == docs.columns and kept.count() == 2
+
+
+@pytest.mark.parametrize("module", [byte_cnn, toxic_gru])
+def test_scores_keep_the_class_shares_of_all_labels(spark, monkeypatch, module):
+    """Texts that say nothing of the label score its share, also where the sample's caps are full."""
+    docs = frame(spark, [(i, "the same words in every text", "s") for i in range(400)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0), int(i % 10 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(module, "SAMPLE_PER_CLASS", (25, 25))
+    score = byte_cnn.quality_scores if module is byte_cnn else toxic_gru.toxicity_scores
+    got = {round(x.score, 3) for x in score(docs, labels).collect()}
+    assert len(got) == 1 and 0.04 < got.pop() < 0.2
