@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import byte_cnn, decontaminate, extract, line_rules, mixing, prefix_join, sharding, suffix_dedup, toxic_gru, url_model
+from claimgrid.llm import (
+    block_repeats,
+    byte_cnn,
+    conversation_repair,
+    decontaminate,
+    extract,
+    feast_whitening,
+    line_rules,
+    mixing,
+    prefix_join,
+    sharding,
+    suffix_dedup,
+    toxic_gru,
+    url_model,
+)
 from claimgrid.llm.common import importable
 from claimgrid.llm.twins import ORACLE_SQL  # noqa: F401
 
@@ -53,6 +67,18 @@ def op10_two_stage_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.without_repeats(_table(spark, folder, "documents"))
 
 
+def op11_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    return block_repeats.without_earlier(_table(spark, folder, "documents"))
+
+
+def op12_suffix_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repaired(_table(spark, folder, "conversations"))
+
+
+def op13_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return feast_whitening.whitened(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,5 +92,8 @@ QUERIES = {
         op8_markov_ratio,
         op9_grouped_prefix_join,
         op10_two_stage_suffixes,
+        op11_block_anchors,
+        op12_suffix_automaton,
+        op13_feast_whitening,
     )
 }

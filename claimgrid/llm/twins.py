@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimgrid.llm import line_rules, url_model
+from claimgrid.llm import block_repeats, line_rules, url_model
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +71,16 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
 FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)"""
 
+BLOCK_REPEATS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+w AS (SELECT rid, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+windows AS (SELECT rid, doc_id, i, {_run(block_repeats.WINDOW)} AS g FROM w WINDOW by_place AS (PARTITION BY rid ORDER BY i)),
+starts AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS least FROM windows WHERE g IS NOT NULL) WHERE least < doc_id),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM starts, (SELECT unnest(range({block_repeats.WINDOW})) AS k)),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM w ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
+
 
 def _markov() -> str:
     order, size = url_model.ORDER, url_model.ORDER + 1
@@ -122,4 +132,5 @@ ORACLE_SQL = {
     "op8_markov_ratio": _markov(),
     "op9_grouped_prefix_join": PREFIX_JOIN,
     "op10_two_stage_suffixes": SUFFIX_DEDUP,
+    "op11_block_anchors": BLOCK_REPEATS,
 }

@@ -24,7 +24,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the d
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
