@@ -1,14 +1,16 @@
 """Line-item rules: phrase flags, inclusion, and the layered category classifier.
 
-The text layers depend on the description alone, so they run once per *distinct* normalised
-description. The distinct is combined on the map side (a description carried by a third of all
-items costs one row per task) and its result joins back; amount-dependent steps follow per item.
+The layers depend on the description alone, and the amount counts only by the few limits it may
+exceed, so the classifier answers once per *distinct* description and amount band. The distinct is
+combined on the map side (a description carried by a third of all items costs one row per task) and
+the answers join back, frequent descriptions in pieces.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,7 @@ from claimgrid.functions.text import (
     text_array,
 )
 from claimgrid.plans.barrier import computed_once
+from claimgrid.plans.skewed import join_back
 from claimgrid.rules import fixed_values as fv
 from claimgrid.rules.ruleset import RuleSet, normalize_text, status_of
 
@@ -295,7 +298,7 @@ def text_layers(texts: DataFrame, rules: RuleSet, column: str = "normalized") ->
     exact, pattern, keyword = F.col("_exact"), F.col("_pattern"), F.col("_keyword")
     fuzzy = F.col("_phrase").isNull()
     return layered.select(
-        column,
+        *texts.columns,
         F.when(
             exact.isNotNull(),
             _hit(
@@ -352,11 +355,31 @@ def _empty_hit() -> Column:
     )
 
 
-def _apply_special(df: DataFrame, rules: RuleSet) -> DataFrame:
+def amount_limits(*rulesets: RuleSet) -> list[Decimal]:
+    """The amounts that any rule compares with, ascending: between two of them an amount changes nothing."""
+    limits = set()
+    for rules in rulesets:
+        limits.add(rules.thresholds["high_value_review"])
+        limits |= {c.boost_above for c in rules.categories if c.boost_above is not None}
+        triggers = [rule.get("trigger", {}) for rule in rules.special_rules]
+        limits |= {t["amount_above"] for t in triggers if {"amount_above", "confidence_below"} <= set(t)}
+    return sorted({Decimal(str(x)) for x in limits})
+
+
+def amount_band(amount: Column, limits: list[Decimal]) -> Column:
+    """How many of the limits an amount exceeds; none if it is null."""
+    over = [F.coalesce((amount > F.lit(x)).cast("int"), F.lit(0)) for x in limits]
+    return reduce(lambda a, b: a + b, over, F.lit(0))
+
+
+def _apply_special(df: DataFrame, rules: RuleSet, limits: list[Decimal]) -> DataFrame:
     """Special rules in order, each seeing the previous result, as one select stage per rule."""
     open_ = F.col("_layer") != "default"
-    lowered = F.lower(F.col("description"))
-    amount = F.col("amount")
+    lowered = F.lower(F.col("_text"))
+
+    def above(x) -> Column:
+        return F.col("_band") > limits.index(Decimal(str(x)))
+
     for rule in rules.special_rules:
         trigger, action = rule.get("trigger", {}), rule.get("action", {})
         fired: list[Column] = []
@@ -367,7 +390,7 @@ def _apply_special(df: DataFrame, rules: RuleSet) -> DataFrame:
             )
         if "amount_above" in trigger and "confidence_below" in trigger:
             fired.append(
-                (amount > F.lit(trigger["amount_above"]))
+                above(trigger["amount_above"])
                 & (F.col("confidence") < float(trigger["confidence_below"]))
             )
         if "patterns" in trigger:
@@ -402,8 +425,7 @@ def _apply_special(df: DataFrame, rules: RuleSet) -> DataFrame:
             continue
         df = df.withColumn(
             "_on",
-            open_ & (F.col("category") == category.name)
-            & (amount > F.lit(category.boost_above)),
+            open_ & (F.col("category") == category.name) & above(category.boost_above),
         ).withColumns(
             {
                 "confidence": F.when(
@@ -416,7 +438,7 @@ def _apply_special(df: DataFrame, rules: RuleSet) -> DataFrame:
         )
     uncertain = (
         open_
-        & (amount > F.lit(rules.thresholds["high_value_review"]))
+        & above(rules.thresholds["high_value_review"])
         & (F.col("confidence") < 60)
     )
     low = open_ & (F.col("confidence") < float(rules.thresholds["manual_review_required"]))
@@ -438,21 +460,11 @@ def _apply_special(df: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
-def classify_items(
-    items: DataFrame,
-    rules: RuleSet,
-    model: Callable[[Column], Column] | None = None,
+def _arbitrated(
+    texts: DataFrame, rules: RuleSet, model: Callable[[Column], Column] | None
 ) -> DataFrame:
-    """Add status, category, confidence, reasoning, review flag, flags, layer and rule version.
-
-    ``model`` is an optional fourth layer: from the normalised text to
-    ``struct<category string, confidence double>`` (an MLlib output or a pandas UDF). It counts
-    above 70 only, as in the inner gate.
-    """
-    described = items.withColumn(
-        "normalized", normalize_description(F.coalesce(F.col("description"), F.lit("")))
-    )
-    layered = text_layers(described.select("normalized").distinct(), rules)
+    """The winning layer and its hit for every row of ``texts`` (_text, normalized)."""
+    layered = text_layers(texts, rules)
     model_hit = F.lit(None).cast(HIT)
     if model is not None:
         layered = layered.withColumn("_guess", model(F.col("normalized")))
@@ -474,56 +486,92 @@ def classify_items(
         pattern.isNull() | (exact["confidence"] >= pattern["confidence"] - 5)
     )
     layer = (
-        F.when(exact_wins, "exact")
+        F.when(F.col("_text") == "", "default")
+        .when(exact_wins, "exact")
         .when(pattern["confidence"] > 80, "pattern")
         .when(exact.isNotNull(), "exact")
         .when(keyword["confidence"] > 40, "keyword")
         .when(F.col("_model").isNotNull(), "model")
         .otherwise("default")
     )
-    layered = (
+    return (
         layered.withColumn("_model", model_hit)
         .withColumn("_layer", layer)
         .withColumn(
             "_hit",
-            F.when(F.col("_layer") == "exact", exact)
+            F.when(F.col("_text") == "", _empty_hit())
+            .when(F.col("_layer") == "exact", exact)
             .when(F.col("_layer") == "pattern", pattern)
             .when(F.col("_layer") == "keyword", keyword)
             .when(F.col("_layer") == "model", F.col("_model"))
             .otherwise(_default_hit(rules)),
         )
-        .select("normalized", "_layer", "_hit")
+        .select(*texts.columns, "_layer", "_hit")
     )
-    empty = F.coalesce(F.col("description"), F.lit("")) == ""
-    joined = (
-        described.join(layered, "normalized", "left")
-        .withColumns(
-            {
-                "_layer": F.when(empty, "default").otherwise(F.col("_layer")),
-                "_hit": F.when(empty, _empty_hit()).otherwise(F.col("_hit")),
-            }
-        )
-        .withColumns(
-            {
-                "category": F.col("_hit.category"),
-                "confidence": F.col("_hit.confidence"),
-                "matched_patterns": F.col("_hit.patterns"),
-                "matched_keywords": F.col("_hit.keywords"),
-                "reasoning": F.col("_hit.reasoning"),
-                "requires_manual_review": F.col("_hit.review"),
-                "flags": F.col("_hit.flags"),
-            }
-        )
-        .withColumn("status", _status(F.col("category")))
+
+
+def _text_of(items: DataFrame) -> Column:
+    return F.coalesce(F.col("description"), F.lit(""))
+
+
+def distinct_texts(items: DataFrame) -> DataFrame:
+    """(_text, normalized) of the distinct descriptions, null as empty."""
+    texts = items.select(_text_of(items).alias("_text")).distinct()
+    return texts.withColumn("normalized", normalize_description(F.col("_text")))
+
+
+def text_verdicts(
+    texts: DataFrame,
+    rules: RuleSet,
+    limits: list[Decimal],
+    model: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """The classifier's whole answer for every distinct description and amount band.
+
+    Rules look at an item's description and at how its amount compares with a few limits, so an
+    answer for each band of each description answers for all items.
+    """
+    hit = {
+        "category": "category", "confidence": "confidence", "matched_patterns": "patterns",
+        "matched_keywords": "keywords", "reasoning": "reasoning",
+        "requires_manual_review": "review", "flags": "flags",
+    }
+    answered = (
+        _arbitrated(texts, rules, model)
+        .select("*", *[F.col("_hit." + field).alias(name) for name, field in hit.items()])
         .drop("_hit")
+        .withColumn("status", _status(F.col("category")))
+        .withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(len(limits)))))
     )
     return (
-        _apply_special(joined, rules)
+        _apply_special(answered, rules, limits)
         .withColumnRenamed("_layer", "layer")
         .withColumn("rule_version", F.lit(rules.version))
     )
 
 
+def _join_verdicts(items: DataFrame, verdicts: DataFrame, limits: list[Decimal]) -> DataFrame:
+    keyed = items.withColumns(
+        {"_text": _text_of(items), "_band": amount_band(F.col("amount"), limits)}
+    )
+    return join_back(keyed, verdicts, ["_text", "_band"], "left", items.columns).drop("_text", "_band")
+
+
+def classify_items(
+    items: DataFrame,
+    rules: RuleSet,
+    model: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Add status, category, confidence, reasoning, review flag, flags, layer and rule version.
+
+    ``model`` is an optional fourth layer: from the normalised text to
+    ``struct<category string, confidence double>`` (an MLlib output or a pandas UDF). It counts
+    above 70 only, as in the inner gate.
+    """
+    limits = amount_limits(rules)
+    return _join_verdicts(items, text_verdicts(distinct_texts(items), rules, limits, model), limits)
+
+
 def _status(category: Column) -> Column:
     return (
         F.when(category.startswith("ELIGIBLE"), "eligible")
@@ -569,16 +617,23 @@ def eligibility_totals(items: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def ab_pairs(items: DataFrame, control: RuleSet, treatment: RuleSet) -> DataFrame:
-    """Each item under both rulesets, side by side; no self-join on items."""
+    """Each item under both rulesets, side by side.
+
+    Both rulesets answer for the distinct descriptions, and one join brings both answers back.
+    """
     keep = ["status", "category", "confidence", "requires_manual_review", "reasoning"]
-    first = classify_items(items, control)
-    first = first.withColumnsRenamed({c: "control_" + c for c in keep}).drop(
-        "normalized", "matched_patterns", "matched_keywords", "flags", "layer", "rule_version"
-    )
-    second = classify_items(first, treatment)
-    return second.withColumnsRenamed({c: "treatment_" + c for c in keep}).drop(
-        "normalized", "matched_patterns", "matched_keywords", "flags", "layer", "rule_version"
-    )
+    limits = amount_limits(control, treatment)
+    texts = distinct_texts(items)
+    first = text_verdicts(texts, control, limits).select(
+        "_text", "normalized", F.struct("_band", *keep).alias("_control")
+    )
+    paired = text_verdicts(first, treatment, limits).filter("_control._band = _band")
+    verdicts = paired.select(
+        "_text", "_band",
+        *[F.col("_control." + c).alias("control_" + c) for c in keep],
+        *[F.col(c).alias("treatment_" + c) for c in keep],
+    )
+    return _join_verdicts(items, verdicts, limits)
 
 
 def ab_summary(pairs: DataFrame, expected: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimgrid.functions.amounts import extract_all_amounts, let, parse_amount, strip
 from claimgrid.functions.text import WIDE_MONEY, contains_any, count_contained
 from claimgrid.plans.barrier import computed_once
+from claimgrid.plans.skewed import join_back
 from claimgrid.rules import fixed_values as fv
 
 AMOUNT_AT = r"\$?\s*[\d,]+\.\d{2}"
@@ -602,8 +603,7 @@ def duplicate_items(items: DataFrame, keys: list[str], order: list[str]) -> Data
     """Items repeating the first item of the same description within a cent.
 
     The first occurrence per (key, description) is found by ``min_by`` with map-side combine and
-    joined back; repeats of a hot description never meet in one task before the join, where AQE
-    splits a skewed side.
+    joined back, a frequent description in pieces.
     """
     named = items.withColumn("_name", F.lower(F.trim("description")))
     group = [*keys, "_name"]
@@ -613,7 +613,7 @@ def duplicate_items(items: DataFrame, keys: list[str], order: list[str]) -> Data
     ).filter(F.col("_n") > 1)
     later = F.struct(*order) > F.struct(*[F.col("_first." + c) for c in order])
     close = F.abs(F.col("amount") - F.col("_first.amount")) <= F.lit("0.01").cast("decimal(4,2)")
-    return named.join(first, group).filter(later & close).drop("_name", "_first", "_n")
+    return join_back(named, first, group).filter(later & close).drop("_name", "_first", "_n")
 
 
 def suspicious_items(items: DataFrame, key: str) -> DataFrame:
@@ -627,8 +627,7 @@ def suspicious_items(items: DataFrame, key: str) -> DataFrame:
         .when(F.length(F.trim("description")) < 3, "short_description")
     )
     return (
-        items.filter(F.col("amount") > 0)
-        .join(totals, key)
+        join_back(items.filter(F.col("amount") > 0), totals, [key])
         .withColumn("reason", reason)
         .filter(F.col("reason").isNotNull())
         .drop("_sum")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimgrid.functions.text import WIDE_MONEY, contains_any
 from claimgrid.plans import ordered
+from claimgrid.plans.skewed import join_back
 from claimgrid.rules import fixed_values as fv
 
 
@@ -48,7 +49,8 @@ def select_relevant_documents(docs: DataFrame, fallback: int = 5) -> DataFrame:
         .otherwise(1),
     )
     best = staged.groupBy("claim_id").agg(F.max("stage").alias("best_stage"))
-    kept = staged.join(best, "claim_id").filter(F.col("stage") == F.col("best_stage"))
+    kept = join_back(staged, best, ["claim_id"], spread=["claim_id", "document_id"])
+    kept = kept.filter(F.col("stage") == F.col("best_stage"))
     first = ordered.Window.partitionBy("claim_id").orderBy("created_at", "document_id")
     named = kept.filter(F.col("best_stage") > 1)
     rest = (
