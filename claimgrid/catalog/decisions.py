@@ -40,7 +40,7 @@ def _decision_ctes(limit: str, source: str = "v_claims", mode: str = "production
 i AS (SELECT c.claim_id, c.claim_tracking_number, CAST(c.claim_amount AS DECIMAL(28,2)) AS claim_amount, CAST({limit} AS DECIMAL(28,2)) AS lim{extra},
     c.lease_start_date IS NULL AS no_start, coalesce(t.invoice_total, 0) AS invoice_total, coalesce(t.eligible_total, 0) AS eligible_total,
     coalesce(t.charge_total, 0) AS charge_total, coalesce(t.credit_total, 0) AS credit_total,
-    coalesce(t.line_item_count, 0) AS line_item_count, coalesce(t.approved_items, 0) AS approved_items, coalesce(t.credit_items, 0) AS credit_items,
+    coalesce(t.line_item_count, 0) AS line_item_count, coalesce(t.approved_items, 0) AS approved_items, coalesce(t.ineligible_items, 0) AS ineligible_items, coalesce(t.credit_items, 0) AS credit_items,
     coalesce(t.eligible_capped, FALSE) AS eligible_capped, coalesce(p.has_addendum, FALSE) AS has_addendum, coalesce(p.has_invoice, FALSE) AS has_invoice,
     p.document_confidence AS dc, coalesce(p.document_confidence < 50, FALSE) AS low, coalesce(p.low_ocr_documents, 0) AS low_ocr,
     a.is_normal_wear_tear AS wear_all, a.has_eligible_charges AS some_eligible, a.denial_reason
@@ -85,7 +85,7 @@ decided AS (SELECT *, CASE WHEN branch IN ('evaluated', 'no_eligible_charges') T
 DECIDED = _decision_ctes("nullif(c.max_benefit, 0)")
 
 
-def _analysis(t):
+def analysis_of(t):
     def listed(name):
         return F.when(F.col(name) != "", F.array(name)).otherwise(F.array().cast("array<string>"))
 
@@ -98,16 +98,16 @@ def _analysis(t):
 
 
 def _inputs(t):
-    return decide.claim_inputs(t.claims, with_suggestions(t.items), t.documents, _analysis(t))
+    return decide.claim_inputs(t.claims, with_suggestions(t.items), t.documents, analysis_of(t))
 
 
 def adjudicate(t, mode="production"):
     return decide.evaluate_claims(
-        t.claims, with_suggestions(t.items), t.documents, _analysis(t), mode
+        t.claims, with_suggestions(t.items), t.documents, analysis_of(t), mode
     )
 
 
-def _flat(decided):
+def flat(decided):
     return decided.select(
         "claim_id", "proposed_status",
         *[as_double(c).alias(c) for c in (
@@ -118,18 +118,30 @@ def _flat(decided):
         F.array_join("flags.info", "|").alias("info"),
         F.array_join("missing_data.fields", ",").alias("missing_fields"),
         F.col("reasoning.summary").alias("summary"),
+        F.concat_ws(
+            "|",
+            *[F.coalesce(F.col("reasoning." + c), F.lit("-")) for c in (
+                "eligible_total", "max_benefit", "final_amount", "key_metrics.invoice_total",
+                "key_metrics.cap_amount")],
+        ).alias("reasoning_amounts"),
+        F.col("reasoning.key_metrics.eligible_line_items").alias("metric_eligible_items"),
+        F.col("reasoning.key_metrics.ineligible_line_items").alias("metric_ineligible_items"),
     )
 
 
 FLAT_SQL = """SELECT claim_id, proposed_status, CAST(proposed_benefit_amount AS DOUBLE) AS proposed_benefit_amount,
   CAST(eligible_total AS DOUBLE) AS eligible_total, CAST(invoice_total AS DOUBLE) AS invoice_total, CAST(cap_amount AS DOUBLE) AS cap_amount,
   line_item_count, approved_items, CAST(confidence_score AS DOUBLE) AS confidence_score, rule_branch, critical, warnings, info,
-  fields AS missing_fields, summary FROM decided"""
+  fields AS missing_fields, summary,
+  CASE WHEN branch = 'evaluated' THEN concat_ws('|', CAST(eligible_total AS VARCHAR), CAST(lim AS VARCHAR), CAST(CAST(benefit AS DECIMAL(28,2)) AS VARCHAR),
+    CAST(used AS VARCHAR), CAST(CAST(cap AS DECIMAL(28,2)) AS VARCHAR)) ELSE '-|-|-|-|-' END AS reasoning_amounts,
+  CASE WHEN branch = 'evaluated' THEN approved_items END AS metric_eligible_items,
+  CASE WHEN branch = 'evaluated' THEN ineligible_items END AS metric_ineligible_items FROM decided"""
 
 
 @query("R1 R2 R3 R4 R5 R7 R8 A20 A21 A22 K11", f"WITH {DECIDED} {FLAT_SQL}")
 def claim_adjudication(t):
-    return _flat(adjudicate(t))
+    return flat(adjudicate(t))
 
 
 @query(
@@ -174,7 +186,7 @@ def claim_document_profile(t):
       WHEN missing_information <> '' THEN 'missing_information: ' || missing_information END) AS warnings FROM v_analysis""",
 )
 def document_analysis_advisories(t):
-    return decide.analysis_advisories(_analysis(t)).select(
+    return decide.analysis_advisories(analysis_of(t)).select(
         "claim_id", "should_deny", F.array_join("critical_flags", "|").alias("critical_flags"),
         F.array_join("warnings", "|").alias("warnings"),
     )

@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimgrid.catalog import query
+from claimgrid.catalog.decisions import DECIDED, FLAT_SQL, analysis_of, flat
+from claimgrid.catalog.items import with_suggestions
 from claimgrid.session import checkpoint_dir
+from claimgrid.sources.views import VIEWS, bind
 from claimgrid.streaming import jobs
 
 
@@ -50,15 +53,15 @@ def stream_unique_arrivals(t):
     "ST2",
     """WITH w AS (SELECT date_trunc('hour', ts) AS s, document_type, processing_time_ms FROM v_metrics)
 SELECT epoch_us(s) AS start_us, document_type, count(*) AS documents, round(avg(processing_time_ms), 6) AS avg_time_ms, max(processing_time_ms) AS max_time_ms,
-  count(*) FILTER (WHERE processing_time_ms > 60000) AS violations FROM w
-WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM v_metrics) GROUP BY ALL""",
+  list_sort(list(processing_time_ms))[least(CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT) + 1, count(*))] AS p95_time_ms,
+  count(*) FILTER (WHERE processing_time_ms > 60000) AS violations FROM w GROUP BY s, document_type""",
 )
 def stream_sla_windows(t):
     events, scratch = _events(t)
-    windows = jobs.sla_windows(_metrics(events))
-    return jobs.run_to_table(windows, scratch + "/out", scratch + "/cp").select(
+    levels = jobs.run_sla_windows(_metrics(events), scratch + "/out", scratch + "/cp").result
+    return levels.select(
         F.unix_micros("start").alias("start_us"), "document_type", "documents",
-        F.round("avg_time_ms", 6).alias("avg_time_ms"), "max_time_ms", "violations",
+        F.round("avg_time_ms", 6).alias("avg_time_ms"), "max_time_ms", "p95_time_ms", "violations",
     )
 
 
@@ -67,14 +70,16 @@ def stream_sla_windows(t):
     """WITH m AS (SELECT ts, substr(tier, 1, 5) AS tier, confidence FROM v_metrics),
 w AS (SELECT date_trunc('hour', ts) - h.k * INTERVAL 1 HOUR AS s, tier, confidence FROM m, (SELECT unnest(generate_series(0, 23)) AS k) h)
 SELECT epoch_us(s) AS start_us, tier, count(*) AS documents, count(*) FILTER (WHERE confidence < 50) AS low_confidence,
-  count(*) FILTER (WHERE confidence < 50) / count(*)::DOUBLE / 0.05::DOUBLE >= 1.0 AS exhausted FROM w
-WHERE s + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM v_metrics) GROUP BY ALL""",
+  round(count(*) FILTER (WHERE confidence < 50) / count(*)::DOUBLE / 0.05::DOUBLE, 6) AS budget_consumed,
+  count(*) FILTER (WHERE confidence < 50) / count(*)::DOUBLE / 0.05::DOUBLE >= 0.8 AS alert,
+  count(*) FILTER (WHERE confidence < 50) / count(*)::DOUBLE / 0.05::DOUBLE >= 1.0 AS exhausted FROM w GROUP BY s, tier""",
 )
 def stream_error_budget(t):
     events, scratch = _events(t)
-    windows = jobs.error_budget_windows(_metrics(events))
-    return jobs.run_to_table(windows, scratch + "/out", scratch + "/cp").select(
-        F.unix_micros("start").alias("start_us"), "tier", "documents", "low_confidence", "exhausted"
+    budgets = jobs.run_error_budgets(_metrics(events), scratch + "/out", scratch + "/cp").result
+    return budgets.select(
+        F.unix_micros("start").alias("start_us"), "tier", "documents", "low_confidence",
+        F.round("budget_consumed", 6).alias("budget_consumed"), "alert", "exhausted",
     )
 
 
@@ -96,28 +101,21 @@ def stream_batch_progress(t):
         F.concat(F.lit("batch-"), (F.col("user_id") % 25).cast("string")).alias("batch_id"),
         F.col("user_id").alias("claim_id"), "event_id", "ts", status.alias("status"),
     )
-    return jobs.run_batch_progress(changes, scratch + "/out", scratch + "/cp")
+    return jobs.run_batch_progress(changes, scratch + "/out", scratch + "/cp").result
 
 
-@query("ST6", name="stream_adjudication")
+@query("ST6", f"WITH {DECIDED} {FLAT_SQL} WHERE claim_id IN (SELECT claim_id FROM v_items)")
 def stream_adjudication(t):
+    """Decisions of all claims with items, from a stream of the item file."""
     scratch = f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    from claimgrid.sources.views import DESCRIPTIONS
-    from claimgrid.functions.text import text_array
-
     lines = (
         t.spark.readStream.schema(t.lineitem.schema)
         .option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
     )
-    items = lines.select(
-        F.col("l_orderkey").alias("claim_id"),
-        F.element_at(text_array(DESCRIPTIONS), (F.col("l_partkey") % 40 + 1).cast("int")).alias("description"),
-        (F.col("l_extendedprice") * 0.01).cast("decimal(12,2)").alias("amount"),
-    )
-    current = jobs.run_adjudication(
-        items, t.claims, t.documents, scratch + "/out", scratch + "/cp"
-    )
-    return current.groupBy("proposed_status", "rule_branch").agg(
-        F.count(F.lit(1)).alias("claims"),
-        F.sum("proposed_benefit_amount").cast("double").alias("benefit"),
+    name = f"cg_stream_{uuid.uuid4().hex}"
+    lines.createOrReplaceTempView(name)
+    items = with_suggestions(t.spark.sql(bind(VIEWS["v_items"], {"lineitem": name})))
+    run = jobs.run_adjudication(
+        items, t.claims, t.documents, scratch + "/out", scratch + "/cp", analysis_of(t)
     )
+    return flat(run.result)

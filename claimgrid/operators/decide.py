@@ -392,6 +392,11 @@ def decide(
             )
         )
     )
+
+    def whole(value: Column) -> Column:
+        """A part of the reasoning that only a decision on the amounts has."""
+        return F.when(evaluated, value)
+
     return frame.select(
         "claim_id",
         "claim_tracking_number",
@@ -422,8 +427,19 @@ def decide(
         ).alias("missing_data"),
         F.struct(
             summary.alias("summary"),
+            whole(_text(F.col("eligible_total"))).alias("eligible_total"),
             _text(F.col("_used_invoice")).alias("invoice_total"),
+            whole(_text(limit)).alias("max_benefit"),
             _text(F.col("_cap")).alias("cap_amount"),
+            whole(_text(F.col("_benefit"))).alias("final_amount"),
+            whole(
+                F.struct(
+                    F.col("approved_items").alias("eligible_line_items"),
+                    F.col("ineligible_items").alias("ineligible_line_items"),
+                    _text(F.col("_used_invoice")).alias("invoice_total"),
+                    _text(F.col("_cap")).alias("cap_amount"),
+                )
+            ).alias("key_metrics"),
             F.map_from_arrays(
                 all_flags,
                 F.transform(
