@@ -186,7 +186,11 @@ _DESC_LOW = "lower(description)"
 
 
 def item_ctes(source: str, key: str, text: str) -> str:
-    """CTE ``items``: parsed line items, walking the table rows recursively."""
+    """CTE ``items``: parsed line items, islands of table rows by running counts.
+
+    Before a row an item is open if the last row that decides it alone left one open, turned over by
+    every narrow closing row since. Documents without items list their certain amounts.
+    """
     return f"""{layout_ctes(source, key, text)},
 rws AS (SELECT s.document_id, s.idx - CASE WHEN l.header_row IS NULL THEN 0 ELSE l.header_row + 1 END AS r, s.line, l.amount_col AS col,
     coalesce(l.footer_row, l.n) - CASE WHEN l.header_row IS NULL THEN 0 ELSE l.header_row + 1 END AS nrows
@@ -195,16 +199,15 @@ rws AS (SELECT s.document_id, s.idx - CASE WHEN l.header_row IS NULL THEN 0 ELSE
 fl AS (SELECT *, col IS NOT NULL AND length(line) > col AS wide,
     (col > 0 AND length(line) > col AND regexp_matches({strip_sql("substr(line, col + 1)")}, '\\$?\\s*[\\d,]+\\.?\\d*'))
       OR regexp_matches(line, '^(•|-|\\*|1\\.|2\\.|3\\.)') AS closes FROM rws),
-walk AS (SELECT document_id, r, nrows, CASE WHEN wide THEN NULL ELSE line END AS descr, CASE WHEN wide THEN NULL ELSE line END AS first,
-    CASE WHEN wide THEN {strip_sql("substr(line, 1, col)")} END AS out_desc, CASE WHEN wide THEN line END AS out_text FROM fl WHERE r = 0
-  UNION ALL SELECT f.document_id, f.r, f.nrows,
-    CASE WHEN w.descr IS NULL AND f.wide THEN NULL WHEN w.descr IS NULL THEN f.line WHEN f.closes THEN NULL ELSE w.descr || ' ' || f.line END,
-    CASE WHEN w.descr IS NULL AND f.wide THEN NULL WHEN w.descr IS NULL THEN f.line WHEN f.closes THEN NULL ELSE w.first END,
-    CASE WHEN w.descr IS NULL AND f.wide THEN {strip_sql("substr(f.line, 1, f.col)")} WHEN w.descr IS NOT NULL AND f.closes THEN w.descr END,
-    CASE WHEN w.descr IS NULL AND f.wide THEN f.line WHEN w.descr IS NOT NULL AND f.closes THEN w.first END
-  FROM walk w JOIN fl f ON f.document_id = w.document_id AND f.r = w.r + 1),
-raw AS (SELECT document_id, r + 1 AS line_number, CASE WHEN out_desc = '' THEN 'Unknown charge' ELSE out_desc END AS description, out_text AS original_text, TRUE AS tab FROM walk WHERE out_text IS NOT NULL
-  UNION ALL SELECT document_id, nrows + 1, descr, first, TRUE FROM walk WHERE r = nrows - 1 AND descr IS NOT NULL
+swaps AS (SELECT *, sum(CAST(NOT wide AND closes AS INT)) OVER (PARTITION BY document_id ORDER BY r) AS q FROM fl),
+opens AS (SELECT *, (coalesce(last_value(CASE WHEN wide = closes THEN CAST(NOT wide AS INT) - q END IGNORE NULLS) OVER earlier, 0)
+    + coalesce(last_value(q) OVER earlier, 0)) % 2 = 1 AS is_open FROM swaps
+  WINDOW earlier AS (PARTITION BY document_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+islands AS (SELECT *, sum(CAST(NOT is_open AS INT)) OVER (PARTITION BY document_id ORDER BY r) AS island FROM opens),
+grouped AS (SELECT document_id, min(r) AS r0, max(r) AS r1, any_value(nrows) AS nrows, any_value(col) AS col, arg_min(line, r) AS original_text, arg_min(wide, r) AS alone,
+    bool_or(is_open AND closes) AS closed, string_agg(line, ' ' ORDER BY r) FILTER (WHERE NOT (is_open AND closes)) AS gathered FROM islands GROUP BY document_id, island),
+raw AS (SELECT document_id, CASE WHEN alone THEN r0 + 1 WHEN closed THEN r1 + 1 ELSE nrows + 1 END AS line_number,
+    coalesce(nullif(CASE WHEN alone THEN {strip_sql("substr(original_text, 1, col)")} ELSE gathered END, ''), 'Unknown charge') AS description, original_text, TRUE AS tab FROM grouped
   UNION ALL SELECT s.document_id, s.idx + 1, s.line, s.line, FALSE FROM sized s JOIN layout l USING (document_id)
     WHERE NOT l.detected_table AND length(s.line) >= 5 AND regexp_matches(s.line, '\\$?\\s*[\\d,]+\\.?\\d*') AND length(regexp_replace(s.line, '[^\\p{{L}}]', '', 'g')) > 3),
 own0 AS (SELECT *, {strip_sql("original_text")} AS t FROM raw), {amount_ctes("own0", "o_")},
@@ -215,11 +218,17 @@ both_ AS (SELECT o.document_id, o.line_number, o.description, o.original_text, o
 banded AS (SELECT *, round(coalesce(oa, da, 0), 4) AS amount, CASE WHEN oc >= 0.8 THEN 'high' WHEN oc >= 0.5 THEN 'medium' WHEN oc IS NOT NULL THEN 'low' WHEN tab THEN 'medium' ELSE 'low' END AS confidence,
   coalesce(CASE WHEN method IS NOT NULL THEN oneg END, CASE WHEN dm IS NOT NULL THEN dneg END, FALSE) AS is_credit, method IS NULL AND dm IS NULL AS lost,
   {sql_any(_DESC_LOW, fv.TAX_KEYWORDS)} AS is_tax, {sql_any(_DESC_LOW, fv.FEE_KEYWORDS)} AS is_fee FROM both_),
-items AS (SELECT *, least(100.0, CASE WHEN length(description) < 3 THEN 40.0 WHEN length(description) < 10 THEN 20.0 ELSE 0.0 END
+found AS (SELECT *, least(100.0, CASE WHEN length(description) < 3 THEN 40.0 WHEN length(description) < 10 THEN 20.0 ELSE 0.0 END
     + CASE WHEN amount = 0 THEN 50.0 WHEN confidence = 'low' THEN 30.0 WHEN confidence = 'medium' THEN 15.0 ELSE 0.0 END
     + CASE WHEN contains(lower(description), 'unknown') THEN 30.0 ELSE 0.0 END + CASE WHEN lost THEN 40.0 ELSE 0.0 END) AS ambiguity_score,
   concat_ws('|', CASE WHEN NOT tab THEN 'No table structure detected' END, CASE WHEN method IS NOT NULL THEN 'Parsed via ' || method END, CASE WHEN dm IS NOT NULL THEN 'Amount found in description' END,
-    CASE WHEN lost THEN 'Amount not found - manual review needed' END, CASE WHEN is_tax THEN 'Identified as tax' END, CASE WHEN is_fee THEN 'Identified as fee' END) AS notes FROM banded)"""
+    CASE WHEN lost THEN 'Amount not found - manual review needed' END, CASE WHEN is_tax THEN 'Identified as tax' END, CASE WHEN is_fee THEN 'Identified as fee' END) AS notes FROM banded),
+fbl AS (SELECT {key} AS document_id, i, {strip_sql("list_extract(string_split(" + text + ", chr(10)), i)")} AS t
+  FROM (SELECT *, unnest(generate_series(1, len(string_split({text}, chr(10))))) AS i FROM {source} WHERE {key} NOT IN (SELECT document_id FROM raw))),
+{amount_ctes("fbl", "f_")},
+items AS (SELECT document_id, line_number, description, amount, confidence, ambiguity_score, notes, is_credit, is_tax, is_fee FROM found
+  UNION ALL SELECT document_id, k, 'Unknown charge ' || k, round(amount, 4), 'low', 90.0, 'Fallback parsing', FALSE, FALSE, FALSE
+  FROM (SELECT document_id, amount, row_number() OVER (PARTITION BY document_id ORDER BY i) AS k FROM f_amt WHERE confidence > 0.5))"""
 
 
 ITEM_REPORT = """SELECT document_id, CAST(line_number AS INT) AS line_number, md5(description) AS description_hash, CAST(amount AS DOUBLE) AS amount, confidence,
@@ -227,8 +236,7 @@ ITEM_REPORT = """SELECT document_id, CAST(line_number AS INT) AS line_number, md
 
 
 def _items(docs, text):
-    parsed = invoice.parse_invoices(docs, text).filter(~F.col("fallback_used"))
-    return invoice.invoice_items(parsed, ["document_id"]).select(
+    return invoice.invoice_items(invoice.parse_invoices(docs, text), ["document_id"]).select(
         "document_id", "line_number", F.md5("description").alias("description_hash"),
         as_double("amount").alias("amount"), "confidence", "ambiguity_score",
         F.array_join("notes", "|").alias("notes"), "is_credit", "is_tax", "is_fee",
@@ -237,7 +245,7 @@ def _items(docs, text):
 
 @query(
     "C24 C25 C26 C27 C28",
-    f"WITH RECURSIVE {item_ctes('v_invoices', 'document_id', 'extracted_text')} {ITEM_REPORT}",
+    f"WITH {item_ctes('v_invoices', 'document_id', 'extracted_text')} {ITEM_REPORT}",
 )
 def invoice_line_items(t):
     return _items(spread(t.invoices), "extracted_text")
@@ -245,7 +253,7 @@ def invoice_line_items(t):
 
 @query(
     "C24 C25 C26 C27 C28",
-    f"WITH RECURSIVE {item_ctes('documents', 'doc_id', 'text')} {ITEM_REPORT}",
+    f"WITH {item_ctes('documents', 'doc_id', 'text')} {ITEM_REPORT}",
 )
 def prose_line_items(t):
     return _items(spread(t.raw("documents")).withColumnRenamed("doc_id", "document_id"), "text")
@@ -256,6 +264,11 @@ STATED = f"""tl AS (SELECT document_id, i, {strip_sql("line")} AS t FROM (SELECT
 {amount_ctes("tl", "t_")}, stated AS (SELECT document_id, max_by(abs(amount), i) AS stated_total FROM t_amt WHERE confidence > 0.7 GROUP BY 1)"""
 
 
+FALLBACK = f"""{layout_ctes("v_invoices", "document_id", "extracted_text")}, fallback AS (SELECT l.document_id FROM layout l WHERE NOT detected_table AND NOT EXISTS (SELECT 1 FROM sized s
+  WHERE s.document_id = l.document_id AND length(s.line) >= 5 AND regexp_matches(s.line, '\\$?\\s*[\\d,]+\\.?\\d*') AND length(regexp_replace(s.line, '[^\\p{{L}}]', '', 'g')) > 3)
+  UNION ALL SELECT document_id FROM layout WHERE detected_table AND coalesce(footer_row, n) <= coalesce(header_row + 1, 0))"""
+
+
 def _nz(expr: str) -> str:
     return f"CASE WHEN {expr} = '' THEN NULL ELSE {expr} END"
 
@@ -265,11 +278,11 @@ _DAY = r"(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})"
 
 @query(
     "C29",
-    f"""WITH {STATED} SELECT v.document_id, round(s.stated_total, 2) AS stated_total,
+    f"""WITH {STATED}, {FALLBACK} SELECT v.document_id, round(s.stated_total, 2) AS stated_total,
   {_nz("regexp_extract(extracted_text, '(?i)invoice\\s*#?\\s*:?\\s*([A-Z0-9\\-]+)', 1)")} AS invoice_number,
   {_nz(f"regexp_extract(extracted_text, '(?i)date\\s*:?\\s*{_DAY}', 1)")} AS invoice_date,
   coalesce({_nz(f"regexp_extract(extracted_text, '(?i)due\\s+date\\s*:?\\s*{_DAY}', 1)")}, {_nz(f"regexp_extract(extracted_text, '(?i)payment\\s+due\\s*:?\\s*{_DAY}', 1)")}) AS due_date
-FROM v_invoices v LEFT JOIN stated s USING (document_id)""",
+FROM v_invoices v LEFT JOIN stated s ON s.document_id = v.document_id AND v.document_id NOT IN (SELECT document_id FROM fallback)""",
 )
 def invoice_totals_and_metadata(t):
     return invoice.parse_invoices(spread(t.invoices)).select(
@@ -279,29 +292,36 @@ def invoice_totals_and_metadata(t):
 
 
 RECON = f"""{item_ctes('v_invoices', 'document_id', 'extracted_text')}, {STATED},
-calc AS (SELECT document_id, CAST(sum(CAST(amount AS DECIMAL(18,4)) * greatest(CAST(is_credit AS INT) + CAST(is_tax AS INT) + CAST(is_fee AS INT), 1)) AS DECIMAL(28,2)) AS calculated_total,
+unread AS (SELECT document_id FROM v_invoices WHERE document_id NOT IN (SELECT document_id FROM raw)),
+calc0 AS (SELECT document_id, CAST(sum(CAST(amount AS DECIMAL(18,4)) * greatest(CAST(is_credit AS INT) + CAST(is_tax AS INT) + CAST(is_fee AS INT), 1)) AS DECIMAL(28,2)) AS calculated_total,
   coalesce(CAST(sum(CAST(amount AS DECIMAL(18,4))) FILTER (WHERE is_credit) AS DECIMAL(28,2)), 0) AS credit_total, coalesce(CAST(sum(CAST(amount AS DECIMAL(18,4))) FILTER (WHERE is_tax) AS DECIMAL(28,2)), 0) AS tax_total,
   coalesce(CAST(sum(CAST(amount AS DECIMAL(18,4))) FILTER (WHERE is_fee) AS DECIMAL(28,2)), 0) AS fee_total, count(*) AS items_parsed,
   count(*) FILTER (WHERE ambiguity_score >= 70) AS items_ambiguous, avg(ambiguity_score) AS avg_ambiguity, bool_or(amount < 0) AS neg,
   CAST(sum(CAST(amount AS DECIMAL(18,4))) AS DECIMAL(28,2)) AS plain FROM items GROUP BY 1),
+calc AS (SELECT v.document_id, u.document_id IS NOT NULL AS fallback, coalesce(calculated_total, 0) AS calculated_total, coalesce(credit_total, 0) AS credit_total, coalesce(tax_total, 0) AS tax_total,
+  coalesce(fee_total, 0) AS fee_total, coalesce(items_parsed, 0) AS items_parsed, coalesce(items_ambiguous, 0) AS items_ambiguous, CASE WHEN u.document_id IS NOT NULL THEN 90.0 ELSE avg_ambiguity END AS avg_ambiguity,
+  coalesce(neg, FALSE) AS neg, coalesce(plain, 0) AS plain FROM v_invoices v LEFT JOIN calc0 USING (document_id) LEFT JOIN unread u USING (document_id)),
 dup AS (SELECT document_id, count(*) AS duplicate_items FROM (SELECT *, first_value(amount) OVER w AS fa, row_number() OVER w AS rn FROM items
   WINDOW w AS (PARTITION BY document_id, lower(description) ORDER BY line_number)) WHERE rn > 1 AND abs(fa - amount) <= 0.01 GROUP BY 1),
 sus AS (SELECT document_id, count(*) AS suspicious_items, string_agg(CASE WHEN amount > 10000 THEN 'Item exceeds $10,000: ' || description WHEN length(description) < 3 THEN 'Item has missing or very short description' END, '|' ORDER BY line_number) AS item_reasons FROM items JOIN calc USING (document_id) WHERE amount > 0 AND
   (amount / CASE WHEN plain > 0 THEN CAST(plain AS DOUBLE) ELSE 1.0 END * 100 > 50 OR amount > 10000 OR length(description) < 3) GROUP BY 1),
-rc AS (SELECT c.*, s.stated_total, coalesce(abs(c.calculated_total - CAST(s.stated_total AS DECIMAL(28,2))), 0) AS difference FROM calc c LEFT JOIN stated s USING (document_id)),
-rd AS (SELECT *, stated_total IS NULL OR difference <= 1 AS reconciled FROM rc)"""
+rc AS (SELECT c.*, s.stated_total, coalesce(abs(c.calculated_total - CAST(s.stated_total AS DECIMAL(28,2))), 0) AS difference FROM calc c LEFT JOIN stated s ON s.document_id = c.document_id AND NOT c.fallback),
+rd AS (SELECT *, NOT fallback AND (stated_total IS NULL OR difference <= 1) AS reconciled FROM rc)"""
 
 
 def _reconciled(t):
-    return invoice.reconcile(invoice.parse_invoices(spread(t.invoices)).filter(~F.col("fallback_used")))
+    return invoice.reconcile(invoice.parse_invoices(spread(t.invoices)))
 
 
 @query(
     "A23 A24",
-    f"""WITH RECURSIVE {RECON} SELECT document_id, CAST(calculated_total AS DOUBLE) AS calculated_total, round(stated_total, 2) AS stated_total, CAST(difference AS DOUBLE) AS difference,
+    f"""WITH {RECON} SELECT document_id, CAST(calculated_total AS DOUBLE) AS calculated_total, round(stated_total, 2) AS stated_total, CAST(difference AS DOUBLE) AS difference,
   CAST(credit_total AS DOUBLE) AS credit_total, CAST(tax_total AS DOUBLE) AS tax_total, CAST(fee_total AS DOUBLE) AS fee_total, reconciled, neg AS negative_amounts_found,
-  NOT reconciled AND calculated_total < stated_total AS missing_items_detected,
-  CASE WHEN NOT reconciled THEN CASE WHEN difference > coalesce(nullif(stated_total, 0), calculated_total) * 0.05 THEN 'critical' ELSE 'warning' END END AS severity FROM rd""",
+  NOT reconciled AND coalesce(calculated_total < stated_total, FALSE) AS missing_items_detected,
+  CASE WHEN NOT reconciled THEN CASE WHEN difference > coalesce(nullif(stated_total, 0), calculated_total) * 0.05 THEN 'critical' ELSE 'warning' END END AS severity,
+  concat_ws('|', CASE WHEN items_parsed = 0 AND stated_total > 0 THEN 'No line items found but stated total is non-zero' END,
+    CASE WHEN NOT reconciled AND calculated_total < stated_total THEN 'Possible missing line items detected' END,
+    CASE WHEN difference > 10 THEN 'Large reconciliation difference: $' || CAST(difference AS VARCHAR) END) AS reconciliation_errors FROM rd""",
 )
 def invoice_reconciliation(t):
     names = ("calculated_total", "difference", "credit_total", "tax_total", "fee_total")
@@ -309,17 +329,18 @@ def invoice_reconciliation(t):
         "document_id", *[as_double(c).alias(c) for c in names],
         F.round(as_double("stated_total"), 2).alias("stated_total"), "reconciled",
         "negative_amounts_found", "missing_items_detected", "severity",
+        F.array_join("reconciliation_errors", "|").alias("reconciliation_errors"),
     )
 
 
 @query(
     "A25",
-    f"""WITH RECURSIVE {RECON} SELECT document_id, items_parsed, items_ambiguous, round(avg_ambiguity, 6) AS avg_ambiguity, round(greatest(0, 100 - avg_ambiguity), 6) AS overall_confidence,
+    f"""WITH {RECON} SELECT document_id, items_parsed, items_ambiguous, round(avg_ambiguity, 6) AS avg_ambiguity, CASE WHEN fallback THEN 20.0 ELSE round(greatest(0, 100 - avg_ambiguity), 6) END AS overall_confidence,
   coalesce(duplicate_items, 0) AS duplicate_items, coalesce(suspicious_items, 0) AS suspicious_items, NOT reconciled OR avg_ambiguity > 60 AS requires_manual_review,
-  concat_ws('|', CASE WHEN duplicate_items > 0 THEN 'Found ' || duplicate_items || ' potential duplicate items' END, CASE WHEN suspicious_items > 0 THEN 'Found ' || suspicious_items || ' suspicious items' END,
-    CASE WHEN NOT reconciled THEN 'Reconciliation failed' END) AS flags,
-  concat_ws('|', CASE WHEN duplicate_items > 0 THEN 'Duplicate line items detected' END, item_reasons, CASE WHEN NOT reconciled THEN 'Total mismatch: $' || CAST(difference AS VARCHAR) END,
-    CASE WHEN avg_ambiguity > 60 THEN 'High average ambiguity score' END) AS manual_review_reasons
+  CASE WHEN fallback THEN 'Fallback parsing used' ELSE concat_ws('|', CASE WHEN duplicate_items > 0 THEN 'Found ' || duplicate_items || ' potential duplicate items' END, CASE WHEN suspicious_items > 0 THEN 'Found ' || suspicious_items || ' suspicious items' END,
+    CASE WHEN NOT reconciled THEN 'Reconciliation failed' END) END AS flags,
+  CASE WHEN fallback THEN 'Primary parsing failed' ELSE concat_ws('|', CASE WHEN duplicate_items > 0 THEN 'Duplicate line items detected' END, item_reasons, CASE WHEN NOT reconciled THEN 'Total mismatch: $' || CAST(difference AS VARCHAR) END,
+    CASE WHEN avg_ambiguity > 60 THEN 'High average ambiguity score' END) END AS manual_review_reasons
 FROM rd LEFT JOIN dup USING (document_id) LEFT JOIN sus USING (document_id)""",
 )
 def parse_quality(t):
@@ -336,10 +357,7 @@ def parse_quality(t):
 
 @query(
     "C29",
-    f"""WITH {layout_ctes("v_invoices", "document_id", "extracted_text")}, keep AS (SELECT l.document_id FROM layout l WHERE NOT detected_table AND NOT EXISTS (SELECT 1 FROM sized s
-  WHERE s.document_id = l.document_id AND length(s.line) >= 5 AND regexp_matches(s.line, '\\$?\\s*[\\d,]+\\.?\\d*') AND length(regexp_replace(s.line, '[^\\p{{L}}]', '', 'g')) > 3)
-  UNION ALL SELECT document_id FROM layout WHERE detected_table AND coalesce(footer_row, n) <= coalesce(header_row + 1, 0))
-SELECT count(*) AS documents FROM keep""",
+    f"WITH {FALLBACK} SELECT count(*) AS documents FROM fallback",
 )
 def fallback_parsed_documents(t):
     parsed = invoice.parse_invoices(spread(t.invoices))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimgrid.functions.text import any_of
 from claimgrid.rules import fixed_values as fv
 
 NUMBER = "decimal(18,4)"
@@ -24,7 +25,11 @@ def strip(text: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit("")).try_cast(NUMBER)
+    """The number in a matched group. An empty group is no match: it must not reach the cast, whose
+    failure costs far more than the match."""
+    return let(
+        text, lambda v: F.when(v != "", F.replace(v, F.lit(","), F.lit("")).try_cast(NUMBER))
+    )
 
 
 def _result(amount: Column, confidence: float, negative: Column, method: str) -> Column:
@@ -78,51 +83,61 @@ def parse_amount(text: Column, base: Column | None = None, strict_sign: bool = F
         return F.coalesce(*branches)
 
     def resolve(t: Column) -> Column:
-        choices = [
-            F.when(
-                t.rlike(fv.TBD_PATTERN), _result(F.lit(0), 0.0, no, "tbd_flag")
-            )
-        ]
+        # A byte search for a sign the pattern needs spares most texts the pattern.
+        to_be_named = F.when(t.rlike(fv.TBD_PATTERN), _result(F.lit(0), 0.0, no, "tbd_flag"))
+        choices = []
         if base is not None:
-            percent = F.regexp_extract(t, fv.PERCENT_PATTERN, 1).try_cast(NUMBER)
+            percent = _number(F.regexp_extract(t, fv.PERCENT_PATTERN, 1))
             choices.append(
-                let(
-                    percent,
-                    lambda p: F.when(
-                        p.isNotNull() & base.isNotNull(),
-                        _result(base.cast(NUMBER) * p / 100, 0.85, no, "percentage_calculation"),
+                F.when(
+                    t.contains("%"),
+                    let(
+                        percent,
+                        lambda p: F.when(
+                            p.isNotNull() & base.isNotNull(),
+                            _result(base.cast(NUMBER) * p / 100, 0.85, no, "percentage_calculation"),
+                        ),
                     ),
                 )
             )
         choices += [
-            let(
-                _pair(t, fv.RANGE_PATTERN),
-                lambda r: F.when(
-                    (r["a"] != 0) & (r["b"] != 0) & (r["a"] <= r["b"]),
-                    _result((r["a"] + r["b"]) / 2, 0.75, no, "range_midpoint"),
+            F.when(
+                any_of(t.contains(sign) for sign in "-–—"),
+                let(
+                    _pair(t, fv.RANGE_PATTERN),
+                    lambda r: F.when(
+                        (r["a"] != 0) & (r["b"] != 0) & (r["a"] <= r["b"]),
+                        _result((r["a"] + r["b"]) / 2, 0.75, no, "range_midpoint"),
+                    ),
                 ),
             ),
-            let(
-                _pair(t, fv.FORMULA_PATTERN),
-                lambda r: F.when(
-                    r["a"].isNotNull() & (r["b"] != 0),
-                    _result(r["a"] * r["b"], 0.9, no, "formula_calculation"),
+            F.when(
+                any_of(t.contains(sign) for sign in "×xX*"),
+                let(
+                    _pair(t, fv.FORMULA_PATTERN),
+                    lambda r: F.when(
+                        r["a"].isNotNull() & (r["b"] != 0),
+                        _result(r["a"] * r["b"], 0.9, no, "formula_calculation"),
+                    ),
                 ),
             ),
-            let(
-                F.replace(
-                    F.replace(F.regexp_extract(t, fv.EURO_PATTERN, 1), F.lit("."), F.lit("")),
-                    F.lit(","),
-                    F.lit("."),
-                ).try_cast(NUMBER),
-                lambda e: F.when(
-                    e.isNotNull(),
-                    _result(e * F.lit(fv.EURO_RATE).cast("decimal(3,2)"), 0.7, no, "euro_conversion"),
+            F.when(
+                t.contains("€"),
+                let(
+                    _number(F.translate(F.regexp_extract(t, fv.EURO_PATTERN, 1), ",.", ".")),
+                    lambda e: F.when(
+                        e.isNotNull(),
+                        _result(
+                            e * F.lit(fv.EURO_RATE).cast("decimal(3,2)"), 0.7, no, "euro_conversion"
+                        ),
+                    ),
                 ),
             ),
             standard(t),
         ]
-        return F.when(t != "", F.coalesce(*choices))
+        return F.when(
+            t != "", F.coalesce(to_be_named, F.when(t.rlike("[0-9]"), F.coalesce(*choices)))
+        )
 
     return let(strip(text), resolve)
 

@@ -20,11 +20,8 @@ NUMBER_AT = r"\$?\s*[\d,]+\.?\d*"
 BULLETS = r"^(•|-|\*|1\.|2\.|3\.)"
 PARSED = [
     "lines", "header_row", "footer_row", "amount_col", "description_start", "detected_table",
-    "items", "fallback_used", "stated_total", "invoice_number", "invoice_date", "due_date",
+    "items", "fallback_used",
 ]
-ITEM = (
-    "array<struct<description:string,original_text:string,line_number:int,closing_text:string>>"
-)
 
 
 def document_lines(text: Column) -> Column:
@@ -166,74 +163,62 @@ def looks_like_item(line: Column) -> Column:
     return (F.length(line) >= 5) & line.rlike(NUMBER_AT) & (letters > 3)
 
 
+#: One item in the string of row codes: a wide row alone, or a narrow row with all that follow up to
+#: the one that closes it. Records have one length, so matching takes time in proportion to the rows.
+PLACE = 9
+_RECORD = "[{}][0-9]{{%d}}" % PLACE
+ISLAND = (
+    f"{_RECORD.format('wi')}|{_RECORD.format('os')}(?:{_RECORD.format('oi')})*(?:{_RECORD.format('ws')})?"
+)
+
+
 def _table_items() -> Column:
     """Rows between header and footer; a row without an amount gathers the following rows until
-    one with an amount or a bullet, which closes it."""
+    one with an amount or a bullet, which closes it.
+
+    Each row becomes a code: w wide (it reaches the amount column) and closing, i wide, s narrow and
+    closing, o narrow. The islands of the code string are the items.
+    """
     lines, col = F.col("lines"), F.col("amount_col")
     begin = F.when(F.col("header_row").isNotNull(), F.col("header_row") + 1).otherwise(F.lit(0))
     end = F.coalesce("footer_row", F.size(lines))
     rows = F.slice(lines, begin + 1, F.greatest(F.lit(0), end - begin))
-    empty = F.array().cast(ITEM)
 
-    def item(description: Column, original: Column, number: Column, closing: Column) -> Column:
-        return F.array(
-            F.struct(
-                F.when(description == "", F.lit("Unknown charge")).otherwise(description).alias(
-                    "description"
-                ),
-                original.alias("original_text"),
-                number.cast("int").alias("line_number"),
-                closing.alias("closing_text"),
-            )
-        )
+    def reaches(row: Column) -> Column:
+        return F.coalesce(F.length(row) > col, F.lit(False))
 
-    def state(at: Column, desc: Column, first: Column, out: Column) -> Column:
-        return F.struct(
-            at.cast("int").alias("at"), desc.alias("desc"), first.alias("first"), out.alias("out")
-        )
+    def tail(row: Column) -> Column:
+        return strip(F.substr(row, col + 1, F.length(row)))
 
-    none = F.lit(None).cast("string")
-
-    def step(acc: Column, row: Column) -> Column:
-        wide = F.coalesce(F.length(row) > col, F.lit(False))
-        tail = strip(F.substr(row, col + 1, F.length(row)))
-        closes = (wide & (col > 0) & tail.rlike(NUMBER_AT)) | row.rlike(BULLETS)
-        opened = acc["desc"].isNotNull()
-        number = acc["at"] + 1
-        return (
-            F.when(
-                ~opened & wide,
-                state(
-                    number, none, none,
-                    F.concat(
-                        acc["out"],
-                        item(strip(F.substr(row, F.lit(1), col)), row, number, none),
-                    ),
-                ),
-            )
-            .when(~opened, state(number, row, row, acc["out"]))
-            .when(
-                closes,
-                state(
-                    number, none, none,
-                    F.concat(
-                        acc["out"],
-                        item(acc["desc"], acc["first"], number, F.when(wide, tail)),
-                    ),
-                ),
-            )
-            .otherwise(
-                state(number, F.concat_ws(" ", acc["desc"], row), acc["first"], acc["out"])
-            )
+    def code(row: Column, i: Column) -> Column:
+        closes = (reaches(row) & (col > 0) & tail(row).rlike(NUMBER_AT)) | row.rlike(BULLETS)
+        kind = F.when(reaches(row), F.when(closes, "w").otherwise("i")).otherwise(
+            F.when(closes, "s").otherwise("o")
+        )
+        return F.concat(kind, F.lpad(i.cast("string"), PLACE, "0"))
+
+    def item(table: Column, island: Column) -> Column:
+        first = F.substr(island, F.lit(2), F.lit(PLACE)).cast("int")
+        size = (F.length(island) / (PLACE + 1)).cast("int")
+        alone = F.left(island, F.lit(1)).isin("w", "i")
+        closed = ~alone & (size > 1) & F.substr(island, F.lit(-PLACE - 1), F.lit(1)).isin("w", "s")
+        head, last = F.get(table, first), F.get(table, first + size - 1)
+        gathered = F.array_join(F.slice(table, first + 1, size - closed.cast("int")), " ")
+        description = F.when(alone, strip(F.substr(head, F.lit(1), col))).otherwise(gathered)
+        return F.struct(
+            F.when(description == "", F.lit("Unknown charge")).otherwise(description).alias("description"),
+            head.alias("original_text"),
+            (first + size + F.when(alone | closed, 0).otherwise(1)).cast("int").alias("line_number"),
+            F.when(closed & reaches(last), tail(last)).alias("closing_text"),
         )
 
-    def finish(acc: Column) -> Column:
-        return F.when(
-            acc["desc"].isNotNull(),
-            F.concat(acc["out"], item(acc["desc"], acc["first"], acc["at"] + 1, none)),
-        ).otherwise(acc["out"])
-
-    return F.reduce(rows, state(F.lit(0), none, none, empty), step, finish)
+    return let(
+        rows,
+        lambda table: F.transform(
+            F.regexp_extract_all(F.array_join(F.transform(table, code), ""), F.lit(ISLAND), F.lit(0)),
+            lambda island: item(table, island),
+        ),
+    )
 
 
 def _plain_items() -> Column:
@@ -380,16 +365,14 @@ def parse_invoices(
     framed = framed.withColumn(
         "items", _priced(F.col("_raw"), F.col("detected_table"), use_closing_amount)
     ).withColumn("fallback_used", F.size("items") == 0)
-    framed = framed.withColumns(
-        {
-            "items": F.when(F.col("fallback_used"), _fallback_items()).otherwise(F.col("items")),
-            "stated_total": F.when(
-                ~F.col("fallback_used"), stated_total(F.coalesce(F.col(text), F.lit("")))
-            ),
-            **_metadata(F.coalesce(F.col(text), F.lit(""))),
-        }
+    framed = framed.withColumn(
+        "items", F.when(F.col("fallback_used"), _fallback_items()).otherwise(F.col("items"))
+    )
+    # What a caller does not ask for of the rest is never worked out.
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return computed_once(framed.drop("_raw", "_text"), PARSED).withColumns(
+        {"stated_total": F.when(~F.col("fallback_used"), stated_total(whole)), **_metadata(whole)}
     )
-    return computed_once(framed.drop("_raw", "_text"), PARSED)
 
 
 def invoice_items(parsed: DataFrame, keys: list[str]) -> DataFrame:

@@ -174,7 +174,11 @@ FROM {{orders}} WHERE o_orderpriority = '4-NOT SPECIFIED'"""
 _NL = "|| CHR(10) ||"
 VIEWS["v_invoices"] = f"""
 SELECT o_orderkey AS document_id, o_orderkey AS claim_id,
-  CASE o_orderpriority
+  CASE WHEN o_orderkey % 43 = 0 THEN 'Description                   Charge' {_NL} 'Total amount due $' || {_text("0.8")}
+  WHEN o_orderkey % 47 = 0 THEN 'scan failed'
+  WHEN o_orderkey % 53 = 0 THEN 'Description                   Amount' {_NL} 'Roof and gutter works         $' || CAST(10500 + o_orderkey AS STRING) || '.00' {_NL}
+    'x                             $12.00' {_NL} '- hauling' {_NL} 'Wall' {_NL} '1. paint' {_NL} 'Amount due                    $' || CAST(10512 + o_orderkey AS STRING) || '.00'
+  ELSE CASE o_orderpriority
   WHEN '1-URGENT' THEN 'INVOICE #: INV-' || CAST(o_orderkey AS STRING) {_NL}
     'Date: 01/15/2024   Payment due: 02/15/2024' {_NL}
     'Description                   Amount' {_NL}
@@ -199,7 +203,7 @@ SELECT o_orderkey AS document_id, o_orderkey AS claim_id,
     'Removal of large items' {_NL} 'left in the garage and shed' {_NL}
     'by the tenant                 $' || {_text("0.6")} {_NL}
     'Trash bags                    $' || {_text("0.1")} {_NL}
-    'Total                         $' || {_text("0.7")} END AS extracted_text
+    'Total                         $' || {_text("0.7")} END END AS extracted_text
 FROM {{orders}}"""
 
 VIEWS["v_decisions"] = " UNION ALL ".join(

@@ -157,3 +157,68 @@ def test_redaction(spark, mode):
             want += row["text"][at:s] + mark
             at = e
         assert row["redacted_text"] == want + row["text"][at:]
+
+
+# ---- islands of table rows -----------------------------------------------------------------
+
+ROWS = ["Deep clean", "x", "- bullet", "1. step", "Wall repair and paint        $75.50", "Long row without any number at all here",
+        "* wide bullet row of many words  $1.00", "Sales                          12.00", "9"]
+
+
+def walked(rows, col):
+    """The items of table rows, one row after another."""
+    out, opened = [], None
+    for at, row in enumerate(rows):
+        wide = col is not None and len(row) > col
+        closes = (wide and col > 0 and re.search(r"\$?\s*[\d,]+\.?\d*", row[col:].strip())) or re.match(r"(•|-|\*|1\.|2\.|3\.)", row)
+        if opened is None and wide:
+            out.append((row[:col].strip() or "Unknown charge", row, at + 1))
+        elif opened is None:
+            opened = [row]
+        elif closes:
+            out.append((" ".join(opened), opened[0], at + 1))
+            opened = None
+        else:
+            opened.append(row)
+    if opened:
+        out.append((" ".join(opened), opened[0], len(rows) + 1))
+    return out
+
+
+def test_islands_match_a_walk(spark):
+    import random
+
+    r = random.Random(6)
+    docs = []
+    for k in range(150):
+        rows = [r.choice(ROWS) for _ in range(r.randrange(1, 14))]
+        docs.append((k, "\n".join(["Description of item           Amount", *rows, "Total                          $270.75"])))
+    df = spark.createDataFrame(docs, "document_id int, extracted_text string")
+    checked = 0
+    for row in invoice.parse_invoices(df).collect():
+        if row["fallback_used"] or row["header_row"] != 0 or row["footer_row"] != len(row["lines"]) - 1:
+            continue
+        want = walked(row["lines"][1:-1], row["amount_col"])
+        assert [(i["description"], i["original_text"], i["line_number"]) for i in row["items"]] == want
+        checked += 1
+    assert checked > 100
+
+
+def test_long_island_and_long_table(spark):
+    """Tens of thousands of rows: one item over all of them, or one item each."""
+    n = 20_000
+    head, foot = "Description of item           Amount", "Total                          $270.75"
+    sample = "\n".join(["Some work as agreed upon      $1.00"] * 19)
+    docs = [(1, "\n".join([head, sample, *["narrow"] * n, foot])), (2, "\n".join([head, *["Some work as agreed upon      $1.00"] * n, foot]))]
+    df = spark.createDataFrame(docs, "document_id int, extracted_text string")
+    sizes = {row["document_id"]: row for row in invoice.parse_invoices(df).select("document_id", F.size("items").alias("n"), F.length(F.element_at("items", -1)["description"]).alias("last")).collect()}
+    assert (sizes[1]["n"], sizes[1]["last"]) == (20, 7 * n - 1) and sizes[2]["n"] == n
+
+
+def test_unreadable_invoices(spark):
+    texts = [(1, "Description                   Charge\nTotal amount due $77.10"), (2, "scan failed"), (3, None)]
+    df = spark.createDataFrame(texts, "document_id int, extracted_text string")
+    rows = {r["document_id"]: r for r in invoice.parse_quality(invoice.reconcile(invoice.parse_invoices(df))).collect()}
+    assert all(r["fallback_used"] and not r["reconciled"] and r["overall_confidence"] == 20 for r in rows.values())
+    assert [(i["description"], i["amount"]) for i in rows[1]["items"]] == [("Unknown charge 1", Decimal("77.1"))]
+    assert rows[1]["stated_total"] is None and rows[2]["items_parsed"] == rows[3]["items_parsed"] == 0
