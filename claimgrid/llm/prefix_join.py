@@ -3,7 +3,8 @@
 Shingles are put in one global order, rare first. Two sets that are similar enough must share a
 token among their first few, so candidates meet on prefix tokens. Documents with equal sets are
 one node; nodes with equal prefixes and sizes are one group, and groups, not documents, are
-joined and filtered. Members of the groups that are left are verified on their whole sets.
+joined and filtered. Members of the groups that are left are compared by histograms of their
+shingles, which bound what two sets can share, and those that pass by their whole sets.
 
 A cluster of near copies would give all its pairs. Only the links that join components are needed,
 so every token list is first compared with one pivot (its most copied group), verified links are
@@ -41,8 +42,8 @@ SHINGLE = 3
 #: Document frequencies are counted in this many hash buckets: a fixed 2 MB array.
 BUCKET_BITS, SLICE_BITS = 18, 12
 SALT = np.uint64(0xD6E8FEB86659FD93)
-#: A table of requests up to this many rows (about 100 bytes each) is broadcast, a larger one shuffled.
-BROADCAST_ROWS = 250_000
+#: A histogram counts about this many shingles a counter, in so many counters of one byte.
+PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 8, 64, 4096
 EMPTY = np.zeros(0, np.uint64)
 
 
@@ -116,7 +117,23 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndar
     return shingles[order[: n + (-percent * n // 100) + 1]]
 
 
-PROFILE = "doc_id {}, __key string, node binary, __gid long, n long, prefix array<long>"
+def histogram(shingles: np.ndarray) -> bytes:
+    """Shingles counted by their leading bits; a full counter stands for any number."""
+    bits = min(max(LEAST_COUNTERS, len(shingles) // PER_COUNTER), MOST_COUNTERS).bit_length() - 1
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def most_shared(first: bytes, second: bytes) -> float:
+    """No two sets with these histograms share more shingles: the sum of the lesser counts."""
+    a, b = (np.frombuffer(h, np.uint8) for h in (first, second))
+    if a.max(initial=0) == 255 or b.max(initial=0) == 255:
+        return np.inf
+    few = min(len(a), len(b))
+    return int(np.minimum(*(x.reshape(few, -1).sum(1, dtype=np.int64) for x in (a, b))).sum())
+
+
+PROFILE = "doc_id {}, __key string, node binary, __gid long, n long, prefix array<long>, hist binary"
 
 
 def profiles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -127,13 +144,14 @@ def profiles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, gids, sizes, prefixes = [], [], [], []
+            nodes, gids, sizes, prefixes, hists = [], [], [], [], []
             for s in shingle_sets(*utf8(batch.column("text")), size):
                 p = prefix_of(s, counts.value, percent) if len(s) else s
                 nodes.append(node_id(s))
                 gid = int(mix(np.append(p, np.uint64(len(s)))).sum(dtype=np.uint64) >> np.uint64(1))
                 gids.append(gid)
                 sizes.append(len(s))
+                hists.append(histogram(s))
                 prefixes.append((EMPTY if gid in seen else p).view(np.int64))
                 seen.add(gid)
             ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
@@ -146,8 +164,9 @@ def profiles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
                     pa.array(gids, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array(hists, pa.binary()),
                 ],
-                names=["doc_id", "__key", "node", "__gid", "n", "prefix"],
+                names=["doc_id", "__key", "node", "__gid", "n", "prefix", "hist"],
             )
 
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("__key"), "text")
@@ -168,9 +187,25 @@ def asked_texts(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFram
     keyed = docs.select(_id_text("doc_id").alias("__id"), text_key(F.col("text")).alias("__key"), "text")
     # Texts that nobody asks for stay where they are, as far as a filter of fixed size can tell.
     keyed = keyed.where(may_hold(docs, id_filter(wanted.select(number.alias("tid"))))(number))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = keyed.join(F.broadcast(wanted) if few else wanted, ["__id", "__key"])
-    return stored(found.select("node", "partners", "pivot", "text").dropDuplicates(["node"]))
+    # A node has one id and key, so rows that repeat both are dropped where they meet.
+    found = keyed.join(wanted, ["__id", "__key"]).dropDuplicates(["__id", "__key"])
+    return stored(found.select("node", "partners", "pivot", "text"))
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms let them share enough; no pair that is similar enough is lost."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("ha", "hb", "na", "nb"))
+            good = [most_shared(ha, hb) * (100 + percent) >= percent * (na + nb) for ha, hb, na, nb in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def side(x: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(x), F.col("hist").alias("h" + x), F.col("n").alias("n" + x))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb", "na", "nb")
+    return stored(met.mapInArrow(check, "a binary, b binary"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
@@ -188,7 +223,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int,
                 good[i] = 100 * both >= percent * (len(s) + len(other) - both)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    texts = asked_texts(docs, pairs, nodes)
+    texts = asked_texts(docs, plausible(pairs, nodes, percent), nodes)
     left = texts.select(F.explode("partners").alias("b"), F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.where("pivot").select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return stored(left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary"))
@@ -232,6 +267,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tupl
             F.min(F.struct(_id_text("doc_id").alias("__id"), "__key")).alias("__text"),
             F.first("__gid").alias("__gid"),
             F.first("n").alias("n"),
+            F.first("hist").alias("hist"),
         )
     )
     # Tokens that stand in one group's prefix only are dropped before anything is joined to them.
@@ -314,6 +350,7 @@ def one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
     )
     keep = stored(ranked.select(_id_text("__k.doc_id").alias("__id"), F.col("__k.__key").alias("__key")))
     words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    keyed = docs.where(words).withColumn("__id", _id_text("doc_id")).withColumn("__key", text_key(F.col("text")))
-    kept = keyed.join(keep, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(docs.columns)
+    row = F.struct(*docs.columns).alias("__row")  # whatever its columns are called
+    keyed = docs.where(words).select(_id_text("doc_id").alias("__id"), text_key(F.col("text")).alias("__key"), row)
+    kept = keyed.join(keep, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select("__row.*")
     return kept.union(docs.where(~words))

@@ -87,6 +87,26 @@ def test_members_of_one_group(spark):
         assert plain(prefix_join.jaccard_components(frame(spark, rows), percent, 1)) == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 40_000), st.integers(0, 40_000), st.floats(0, 1), st.integers(0, 2**32))
+def test_histograms_bound_the_overlap(n, m, share, seed):
+    r = np.random.Generator(np.random.PCG64(seed))
+    a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[: int(share * len(a))], r.integers(0, 2**64, m, dtype=np.uint64)]))
+    if seed % 5 == 0:  # all in one counter
+        a, b = a >> np.uint64(20), b >> np.uint64(20)
+    shared = len(np.intersect1d(a, b))
+    bound = prefix_join.most_shared(prefix_join.histogram(a), prefix_join.histogram(b))
+    assert shared <= bound
+
+
+def test_histograms_tell_strangers_apart():
+    r = np.random.Generator(np.random.PCG64(1))
+    for n in (300, 1000, 5000, 20_000):
+        a, b = (prefix_join.histogram(r.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2))
+        assert prefix_join.most_shared(a, b) * 190 < 90 * 2 * n
+
+
 def test_no_documents(spark):
     empty = frame(spark, [(1, "x", "s")]).where("false")
     assert prefix_join.jaccard_components(empty).count() == 0
