@@ -26,8 +26,8 @@ def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
 
 
 def record_key(doc_id: Column, crc: Column, size: Column) -> Column:
-    """Records with an id hash by it, those without by their content."""
-    return F.coalesce(doc_id.cast("string"), F.concat_ws("/", F.lit("null"), crc.cast("string"), size.cast("string")))
+    """Id and content: rows that share an id, or have none, still spread over the slots by their texts."""
+    return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("null")), crc.cast("string"), size.cast("string"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
