@@ -116,11 +116,15 @@ def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs``, all columns, with the removed lines taken out of the text."""
-    keyed = docs.withColumn("__host", host_key(F.col("source"))).withColumn("__text_key", text_key(F.col("text")))
+    keyed = docs.select(
+        host_key(F.col("source")).alias("__host"), text_key(F.col("text")).alias("__text_key"), F.struct(*docs.columns).alias("__row")
+    )
+    text = F.col("__row.text")
     normal = lambda line: F.xxhash64(F.trim(F.regexp_replace(F.lower(line), "[ \\t\\x0B\\f\\r]+", " ")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("removed", normal(line))), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains("removed", normal(line))), "\n")
     cut = keyed.join(removed.select("__host", "__text_key", "removed"), ["__host", "__text_key"], "left")
-    return cut.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
+    text = F.when(F.col("removed").isNull(), text).otherwise(kept)
+    return cut.select(*[text.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def rated(

@@ -224,7 +224,7 @@ def mixture(
 
     Same decisions as :func:`mix`; documents without words are not in the mix.
     """
-    rows = _keyed(docs, seed)
+    rows = _keyed(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row")), seed)
     slim = stored(rows.select("__src", "source", "__size", "__sub"))
     taken = _decided(rows, _quotas(slim, weights, max_repeats, seed)).where("__times > 0 AND __size > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")

@@ -4,6 +4,9 @@ import random
 
 from pyspark.sql import types as T
 
+CLASHING = ["score", "shard", "size", "n", "node", "token", "component", "target", "tid", "url", "first", "keys", "gone"]
+CLASHING += ["__size", "__id", "__key", "__src", "__copy", "__row", "__times", "__sub", "__order", "__host", "__text_key", "__may"]
+
 DOCS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -12,7 +15,7 @@ DOCS = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
         # Names that operators use themselves.
-        *(T.StructField(c, T.StringType()) for c in ("score", "shard", "size", "n", "node", "token", "component", "target", "tid", "url")),
+        *(T.StructField(c, T.StringType()) for c in CLASHING),
     ]
 )
 
@@ -57,7 +60,7 @@ def awkward_texts(seed=3):
 
 
 def frame(spark, rows):
-    data = [(i, t, "en", s, len(t or ""), *["1"] * 10) for i, t, s in rows]
+    data = [(i, t, "en", s, len(t or ""), *["1"] * len(CLASHING)) for i, t, s in rows]
     return spark.createDataFrame(data, DOCS).repartition(3)
 
 

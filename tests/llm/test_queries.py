@@ -60,12 +60,17 @@ def test_pipeline(spark):
 
 @needs_tables
 def test_pipeline_on_awkward_documents(spark, tmp_path):
-    from fixtures import awkward_texts, frame
+    from fixtures import CLASHING, awkward_texts, frame
 
     documents = frame(spark, awkward_texts())
     spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     documents.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == documents.columns
+        assert {v for row in docs.select(*CLASHING).distinct().collect() for v in row} == {"1"}
     documents.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
