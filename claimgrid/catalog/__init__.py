@@ -44,6 +44,7 @@ def load_all() -> dict[str, Query]:
         lifecycle,
         relational,
         service,
+        storage,
         streams,
     )
 

@@ -213,7 +213,10 @@ def benefit_scenarios(t):
 
 @query(
     "R9",
-    "SELECT claim_id, 3 AS scenarios, 0 AS violations FROM v_claims",
+    f"""WITH scen AS (SELECT c.* EXCLUDE (max_benefit), s.scenario FROM v_claims c, (VALUES (500), (1000), (2000)) s(scenario)),
+{_decision_ctes("c.scenario", "scen", extra=", c.scenario")},
+steps AS (SELECT claim_id, proposed_benefit_amount < lag(proposed_benefit_amount) OVER (PARTITION BY claim_id ORDER BY scenario) AS falls FROM decided)
+SELECT claim_id, CAST(count(*) AS INT) AS scenarios, CAST(count(*) FILTER (WHERE falls) AS INT) AS violations FROM steps GROUP BY claim_id""",
 )
 def benefit_monotonicity(t):
     return decide.monotonicity(decide.what_if(_inputs(t), SCENARIOS))

@@ -117,14 +117,18 @@ def amounts_per_document(t):
 
 @query(
     "C19",
-    """SELECT CASE WHEN amount = 0 THEN 'Amount is zero' WHEN abs(amount) > 500 THEN 'large' ELSE NULL END AS size, CAST(NULL AS VARCHAR) AS problem, count(*) AS items
-FROM v_items GROUP BY ALL""",
+    """WITH a AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(14,4)) WHEN l_linenumber % 3 = 1 THEN -CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(14,4))
+  ELSE CAST(CAST(l_discount AS DECIMAL(12,4)) * CAST(0.1 AS DECIMAL(2,1)) AS DECIMAL(14,4)) END AS amount FROM lineitem)
+SELECT CASE WHEN amount = 0 THEN 'Amount is zero' WHEN abs(amount) > 10000 THEN 'Amount exceeds maximum: $' || CAST(abs(amount) AS VARCHAR)
+  WHEN abs(amount) < 0.01 THEN 'Amount below minimum: $' || CAST(abs(amount) AS VARCHAR) END AS problem, count(*) AS items FROM a GROUP BY ALL""",
 )
 def amount_validation(t):
-    size = F.when(F.col("amount") == 0, "Amount is zero").when(F.abs("amount") > 500, "large")
-    return t.items.groupBy(size.alias("size"), amount_problem(F.col("amount")).alias("problem")).agg(
-        F.count(F.lit(1)).alias("items")
-    )
+    price = F.col("l_extendedprice").cast("decimal(12,2)").cast("decimal(14,4)")
+    small = (F.col("l_discount").cast("decimal(12,4)") * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(14,4)")
+    place = F.col("l_linenumber") % 3
+    amount = F.when(place == 0, price).when(place == 1, -price).otherwise(small)
+    problems = t.lineitem.select(amount.alias("amount")).select(amount_problem(F.col("amount")).alias("problem"))
+    return problems.groupBy("problem").agg(F.count(F.lit(1)).alias("items"))
 
 
 # ----- layout -----------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from claimgrid.functions import text as tx
 from claimgrid.schemas import SCHEMAS
@@ -173,22 +174,41 @@ def write_claims(claims: DataFrame, root: str, mode: str = "overwrite") -> None:
 
 
 def write_audit(audit: DataFrame, root: str, mode: str = "append") -> None:
-    """Audit rows by month."""
-    audit.withColumn("created_month", F.date_format("created_at", "yyyy-MM")).write.mode(
-        mode
+    """Audit rows by month; overwriting replaces only the months that are written."""
+    audit.withColumn("created_month", F.date_format("created_at", "yyyy-MM")).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic"
     ).partitionBy("created_month").parquet(f"{root}/decision_audit_log")
 
 
-def read_claims(spark: SparkSession, root: str, start: str, end: str) -> DataFrame:
+def _stored(spark: SparkSession, path: str, schema: StructType | None, partition: StructField) -> DataFrame:
+    """Files with the types they were written with; without a schema, with those of one file."""
+    reader = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, partition]))
+    return reader.parquet(path)
+
+
+def read_claims(
+    spark: SparkSession, root: str, start: str, end: str, schema: StructType | None = None
+) -> DataFrame:
     """Claims of a period; the year predicate prunes folders, the time predicate row groups."""
     first, last = int(start[:4]), int(end[:4])
-    return spark.read.parquet(f"{root}/claims").filter(
+    year = StructField("created_year", IntegerType())
+    return _stored(spark, f"{root}/claims", schema, year).filter(
         F.col("created_year").between(first, last)
         & (F.col("created_at") >= F.lit(start).cast("timestamp_ntz"))
         & (F.col("created_at") < F.lit(end).cast("timestamp_ntz"))
     )
 
 
+def read_audit(
+    spark: SparkSession, root: str, first: str, last: str, schema: StructType | None = None
+) -> DataFrame:
+    """Audit rows of the months ``first`` to ``last`` (yyyy-MM); other months' folders are not read."""
+    # Types of folder names are guessed: a month is text to be compared as text.
+    month = StructField("created_month", StringType())
+    rows = _stored(spark, f"{root}/decision_audit_log", schema, month)
+    return rows.filter(F.col("created_month").between(first, last))
+
+
 def write_evaluation(metrics: DataFrame, found: DataFrame, folder: str) -> None:
     """Metrics as JSON, mismatches and the ones needing review as CSV."""
     metrics.write.mode("overwrite").json(f"{folder}/metrics")

@@ -142,3 +142,21 @@ def test_soft_delete_cycle(spark):
     assert [r[0] for r in purged.collect()] == [2] and kept["claim_documents"].count() == 1
     back, gone = lifecycle.restore(deleted, keys)
     assert back["claims"].filter("deleted_at is null").count() == 2 and [r[0] for r in gone.collect()] == [9]
+
+
+def test_pruned_reads(spark, tmp_path):
+    """Only the folders of the period are scanned, and writing a month again replaces it alone."""
+    rows = [(k, datetime(2020 + k % 4, 1 + k % 12, 3)) for k in range(48)]
+    df = spark.createDataFrame(rows, "claim_id long, created_at timestamp_ntz")
+    tables.write_claims(df, str(tmp_path))
+    period = tables.read_claims(spark, str(tmp_path), "2021-01-01", "2021-12-31", df.schema)
+    plan = period._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(created_year" in plan and "PushedFilters: [IsNotNull(created_at)" in plan
+    assert period.count() == 12 and {r["created_year"] for r in period.collect()} == {2021}
+    tables.write_audit(df, str(tmp_path))
+    tables.write_audit(df.filter("created_at < '2020-02-01'").limit(1), str(tmp_path), "overwrite")
+    months = tables.read_audit(spark, str(tmp_path), "2020-01", "2020-05", df.schema)
+    assert "PartitionFilters: [isnotnull(created_month" in months._jdf.queryExecution().toString()
+    assert {r["created_month"] for r in months.collect()} == {"2020-01", "2020-05"}
+    assert months.filter("created_month = '2020-01'").count() == 1
+    assert tables.read_audit(spark, str(tmp_path), "2000-01", "2100-01", df.schema).count() == 48 - 4 + 1
