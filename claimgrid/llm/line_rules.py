@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in Spark expressions only.
 
 Lines are normalised and hashed; distinct documents are counted per host (the ``source`` column)
-and line. Lines in many documents of their host are removed, and documents that lose most of
-their words with them are rejected.
+and line. Lines in more documents than a limit that does not grow with the host are removed, and
+documents that lose most of their words with them are rejected.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from claimgrid.llm.common import stored, text_key, word_array
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: A line is removed if it stands in at least this many documents and this share of its host.
+#: A line is removed if it stands in this many documents of its host, however large the host. In a
+#: small host this share of its documents is enough, but never fewer than LEAST_LINE_DOCS.
 MIN_LINE_DOCS = 10
 MIN_LINE_SHARE = 0.1
+LEAST_LINE_DOCS = 5
 #: A document is rejected if it keeps less than this share of its words.
 MIN_KEPT_SHARE = 0.5
 
@@ -82,14 +84,16 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, min_share: float = MIN_LINE_SHARE) -> DataFrame:
-    """(__host, __line, n_docs): line hashes above both limits. Every row counts as one document."""
+    """(__host, __line, n_docs): line hashes in too many documents. Every row counts as one document."""
     lines = docs.select(
         host_key(F.col("source")).alias("__host"),
         F.explode(F.array_distinct(F.transform(line_list(F.col("text")), lambda line: F.xxhash64(line)))).alias("__line"),
     )
-    counts = lines.groupBy("__host", "__line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    counts = lines.groupBy("__host", "__line").agg(F.count("*").alias("n_docs"))
+    counts = counts.where(F.col("n_docs") >= min(min_docs, LEAST_LINE_DOCS))
     hosts = stored(docs.groupBy(host_key(F.col("source")).alias("__host")).agg(F.count("*").alias("__n")))
-    return stored(stored(counts).join(hosts, "__host").where(F.col("n_docs") >= min_share * F.col("__n")).drop("__n"))
+    often = (F.col("n_docs") >= min_docs) | (F.col("n_docs") / F.col("__n") >= min_share)
+    return stored(stored(counts).join(hosts, "__host").where(often).drop("__n"))
 
 
 def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ lines AS (SELECT rid, host, line, trim(regexp_replace(lower(line), '[ \\t\\x0B\\
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 frequent AS (SELECT l.host, norm FROM lines l JOIN hosts h ON l.host = h.host WHERE norm <> '' GROUP BY l.host, norm, h.n
-  HAVING count(DISTINCT rid) >= {line_rules.MIN_LINE_DOCS} AND count(DISTINCT rid) >= {line_rules.MIN_LINE_SHARE} * h.n),
+  HAVING count(DISTINCT rid) >= {line_rules.MIN_LINE_DOCS}
+    OR (count(DISTINCT rid) >= {line_rules.LEAST_LINE_DOCS} AND count(DISTINCT rid) / h.n >= CAST({line_rules.MIN_LINE_SHARE} AS DOUBLE))),
 gone AS (SELECT rid, sum(len(string_split(l.norm, ' '))) AS n FROM lines l JOIN frequent f ON l.host = f.host AND l.norm = f.norm GROUP BY rid),
 base AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,

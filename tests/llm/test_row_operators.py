@@ -39,7 +39,7 @@ def brute_rules(rows, min_docs, min_share, min_kept):
         gone = sum(
             len(normal(x).split(" "))
             for x in t.split("\n")
-            if normal(x) and seen[s, normal(x)] >= max(min_docs, min_share * hosts[s])
+            if normal(x) and (seen[s, normal(x)] >= min_docs or (seen[s, normal(x)] >= 5 and seen[s, normal(x)] / hosts[s] >= min_share))
         )
         failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
         kept = not failed and len(w) - gone >= min_kept * len(w)
@@ -52,8 +52,12 @@ def test_quality_rules(spark):
     rows = awkward_texts()
     rows += [(900 + n, f"{notice}\n{' '.join(f'u{n}x{k}' for k in range(15 if n % 2 else 40))} # * | <b>", "hot") for n in range(12)]
     rows += [(950, "\n".join([notice.lower()] * 3), "hot")]
-    got = plain(line_rules.rated(frame(spark, rows), min_docs=5))
-    assert got == brute_rules(rows, 5, 0.1, 0.5)
+    rows += [(1000 + n, f"shared by a few of a large host\nown {n}" if n < 9 else f"a line of ten\nown {n}" if n < 19 else f"own {n}", "large") for n in range(300)]
+    for min_docs in (5, 10):
+        got = plain(line_rules.rated(frame(spark, rows), min_docs=min_docs))
+        assert got == brute_rules(rows, min_docs, 0.1, 0.5)
+    lost = {x[0] for x in got if x[8] > 0 and isinstance(x[0], int) and x[0] >= 1000}
+    assert lost == set(range(1009, 1019))  # ten documents are enough in any host, nine are not in a large one
     removed = [x for x in got if x[8] > 0]
     assert len(removed) >= 13
     docs = frame(spark, rows)
