@@ -25,6 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ WINDOW, BLOCK = 13, 7
 BUCKET_BYTES = 24_000_000
 #: Hashes that one task gathers before it sends them.
 GATHERED = 1 << 21
+#: Texts that are taken apart at once.
+TEXTS_AT_ONCE = 256
 #: Answers in one Arrow batch.
 ROWS_AT_ONCE = 1 << 16
 PRINT_BITS = 30
@@ -119,6 +122,12 @@ def answer_rows(found: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["tid", "key"])
 
 
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the bounds of each row's; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
 class Gathered:
     """Arrays of a task's texts, filled until they are worth sending."""
 
@@ -129,7 +138,7 @@ class Gathered:
         self.texts = self.size = 0
 
     def add(self, tids: np.ndarray, firsts: np.ndarray, text: np.ndarray, *values: np.ndarray) -> None:
-        self.parts.append((text + self.texts, *values))
+        self.parts.append(((text + self.texts).astype(np.int32), *values))
         self.tids.append(tids)
         self.firsts.append(firsts)
         self.texts += len(tids)
@@ -233,7 +242,7 @@ def extend(bits: int, gathered: int = GATHERED):
         for batch in batches:
             tids, firsts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tid", "first"))
             data, offsets = utf8(batch.column("text"))
-            keys = batch.column("keys").to_pylist()
+            keys, upto = lists(batch.column("keys"))
             for a, b in blocks(offsets, min(1 << 19, 8 * gathered)):
                 part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 start, end, row = word_spans(part, bounds)
@@ -247,7 +256,7 @@ def extend(bits: int, gathered: int = GATHERED):
                     n = int(edge[i + 1] - edge[i])
                     if n >= WINDOW:
                         hits = np.zeros(n - BLOCK + 1, np.int64)
-                        hits[np.isin(found[cut[i] : cut[i + 1]], np.array(keys[a + i], np.int64))] = 1
+                        hits[np.isin(found[cut[i] : cut[i + 1]], keys[upto[a + i] : upto[a + i + 1]])] = 1
                         wanted.append(edge[i] + around(hits, n))
                 at = np.concatenate(wanted)
                 if len(at):
@@ -317,11 +326,11 @@ def repeated_windows(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, gathered
     )
 
 
-def removed_words(raw: bytes, gone: list[int]) -> np.ndarray:
+def removed_words(raw: bytes, gone: np.ndarray) -> np.ndarray:
     """Whether each word of a text stands in one of the windows."""
     start, end, row = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     place, hashes = runs(word_hashes(np.frombuffer(raw, np.uint8), start, end), row, WINDOW)
-    at = place[np.isin(hashes.view(np.int64), np.array(gone, np.int64))]
+    at = place[np.isin(hashes.view(np.int64), gone)]
     depth = np.zeros(len(start) + 1, np.int64)
     depth[at] += 1  # places are distinct, and so are places + WINDOW
     depth[at + WINDOW] -= 1
@@ -329,24 +338,30 @@ def removed_words(raw: bytes, gone: list[int]) -> np.ndarray:
 
 
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, removed, digests = [], [], []
-        raws = batch.column("text").cast(pa.binary()).to_pylist()
-        for raw, doc_id, first, gone in zip(raws, *(batch.column(c).to_pylist() for c in ("doc_id", "first", "gone")), strict=True):
-            kept = raw.split()  # splits bytes at the white space of the word pattern
-            words.append(len(kept))
-            if doc_id is None or len(kept) < WINDOW:
-                pass
-            elif first is not None and doc_id > first:
-                kept = []
-            elif gone:
-                kept = list(compress(kept, (~removed_words(raw, gone)).tolist()))
-            removed.append(words[-1] - len(kept))
-            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-        )
+    for whole in batches:
+        for a in range(0, whole.num_rows, TEXTS_AT_ONCE):  # few texts at a time as Python objects
+            yield finished(whole.slice(a, TEXTS_AT_ONCE))
+
+
+def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
+    words, removed, digests = [], [], []
+    gone, upto = lists(batch.column("gone"))
+    raws = batch.column("text").cast(pa.binary()).to_pylist()
+    for i, (raw, doc_id, first) in enumerate(zip(raws, batch.column("doc_id").to_pylist(), batch.column("first").to_pylist(), strict=True)):
+        kept = raw.split()  # splits bytes at the white space of the word pattern
+        words.append(len(kept))
+        if doc_id is None or len(kept) < WINDOW:
+            pass
+        elif first is not None and doc_id > first:
+            kept = []
+        elif upto[i + 1] > upto[i]:
+            kept = list(compress(kept, (~removed_words(raw, gone[upto[i] : upto[i + 1]])).tolist()))
+        removed.append(words[-1] - len(kept))
+        digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+        names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+    )
 
 
 def without_earlier(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, gathered: int = GATHERED) -> DataFrame:
