@@ -35,7 +35,7 @@ WINDOW, BLOCK = 13, 7
 #: Bytes of text whose words share a bucket, on average; the number of buckets grows with the corpus.
 BUCKET_BYTES = 24_000_000
 #: Hashes that one task gathers before it sends them.
-GATHERED = 1 << 21
+GATHERED = 1 << 19
 #: Texts that are taken apart at once.
 TEXTS_AT_ONCE = 256
 #: Answers in one Arrow batch.
