@@ -64,198 +64,7 @@ ADVISORY_TERMS: dict[str, list[str]] = {
     "water": ["water damage", "flood", "leak", "overflow", "sewer", "drain", "sump"],
 }
 
-# --- item ruleset ------------------------------------------------------------------------------
-RULESET_VERSION = "1.0"
-APPROVAL_BIAS = True
-
-CATEGORY_CONFIDENCE: dict[str, int] = {
-    "ELIGIBLE_CLEANING": 90,
-    "ELIGIBLE_DAMAGE": 85,
-    "ELIGIBLE_UNPAID_RENT": 100,
-    "ELIGIBLE_UTILITIES_UNPAID": 80,
-    "ELIGIBLE_PET_DAMAGE": 85,
-    "ELIGIBLE_SMOKING_DAMAGE": 90,
-    "ELIGIBLE_PAINTING_DAMAGE": 80,
-    "ELIGIBLE_APPLIANCE_DAMAGE": 85,
-    "ELIGIBLE_FLOORING_DAMAGE": 85,
-    "ELIGIBLE_PLUMBING_DAMAGE": 90,
-    "INELIGIBLE_NORMAL_WEAR": 95,
-    "INELIGIBLE_UPGRADES": 90,
-    "INELIGIBLE_ROUTINE_MAINTENANCE": 90,
-    "INELIGIBLE_PRE_EXISTING": 95,
-    "INELIGIBLE_UTILITIES_REGULAR": 85,
-    "INELIGIBLE_LANDSCAPING": 85,
-}
-
-CATEGORY_PATTERNS: dict[str, list[str]] = {
-    "ELIGIBLE_CLEANING": [
-        r"\b(clean|shampoo|sanitiz|maid|janitorial)\b",
-        r"\b(carpet clean|deep clean|move.?out clean)\b",
-        r"\b(professional clean|steam clean|extraction)\b",
-    ],
-    "ELIGIBLE_DAMAGE": [
-        r"\b(damage|broken|crack|hole|dent|scratch|chip|shatter)\b",
-        r"\b(repair|fix|replace)\b.{0,20}\b(damage|broken)\b",
-        r"\b(broken window|broken door|broken appliance)\b",
-        r"\b(hole in|holes in|puncture|tear)\b",
-    ],
-    "ELIGIBLE_UNPAID_RENT": [
-        r"\b(unpaid rent|rent.{0,15}(balanc|outstand|ow))\b",
-        r"\b(rent arrear|back rent|past due rent)\b",
-        r"\b(rent.{0,10}unpaid|outstanding rent)\b",
-    ],
-    "ELIGIBLE_UTILITIES_UNPAID": [
-        r"\b(electric|water|gas|sewer|utility).{0,20}\b(unpaid|outstand|balanc)\b",
-        r"\b(unpaid|outstand).{0,20}\b(electric|water|gas|sewer|utility)\b",
-    ],
-    "ELIGIBLE_PET_DAMAGE": [
-        r"\b(pet.{0,15}damage|damage.{0,15}pet)\b",
-        r"\b(urine|stain|odor).{0,15}\b(pet|animal|dog|cat)\b",
-        r"\b(pet.{0,10}clean|pet.{0,10}remov)\b",
-    ],
-    "ELIGIBLE_SMOKING_DAMAGE": [
-        r"\b(smok|nicotine|tar|odor).{0,15}\b(damage|clean|remov|treatment)\b",
-        r"\b(smoking.{0,10}damage|smoke.{0,10}stain)\b",
-    ],
-    "ELIGIBLE_PAINTING_DAMAGE": [
-        r"\b(paint|repaint).{0,20}\b(damage|hole|mark|stain)\b",
-        r"\b(repaint.{0,10}due|paint.{0,10}repair)\b",
-    ],
-    "ELIGIBLE_APPLIANCE_DAMAGE": [
-        r"\b(appliance|refrigerator|stove|oven|dishwasher|washer|dryer).{0,20}\b(broken|damage|repair|replace)\b",
-        r"\b(repair|replace).{0,20}\b(appliance|refrigerator|stove|oven|dishwasher)\b",
-    ],
-    "ELIGIBLE_FLOORING_DAMAGE": [
-        r"\b(floor|flooring|carpet|hardwood|tile|vinyl).{0,20}\b(damage|repair|replace|stain|burn)\b",
-        r"\b(repair|replace).{0,20}\b(floor|flooring|carpet|hardwood|tile)\b",
-    ],
-    "ELIGIBLE_PLUMBING_DAMAGE": [
-        r"\b(plumb|pipe|faucet|toilet|sink|drain|leak).{0,20}\b(broken|damage|repair|replace|clog)\b",
-        r"\b(repair|replace).{0,20}\b(pipe|faucet|toilet|sink|drain)\b",
-    ],
-    "INELIGIBLE_NORMAL_WEAR": [
-        r"\b(normal wear|wear and tear|aging|depreciation)\b",
-        r"\b(expected.{0,10}wear|ordinary use|reasonable wear)\b",
-        r"\b(normal.{0,10}wear|standard wear)\b",
-    ],
-    "INELIGIBLE_UPGRADES": [
-        r"\b(upgrad|renovat|improv|moderniz|remodel)\b",
-        r"\b(upgrade.{0,20}(kitchen|bathroom|appliance|fixture))\b",
-    ],
-    "INELIGIBLE_ROUTINE_MAINTENANCE": [
-        r"\b(routine|scheduled|preventive|preventative|annual|regular).{0,20}\b(maintenance|service|inspection|cleaning)\b",
-        r"\b(maintenance|service).{0,20}\b(routine|scheduled|preventive|regular)\b",
-    ],
-    "INELIGIBLE_PRE_EXISTING": [
-        r"\b(pre.?existing|pre.?existing|existing.{0,10}damage|prior damage)\b",
-        r"\b(damage.{0,20}before|damage.{0,20}prior|damage.{0,20}existing)\b",
-    ],
-    "INELIGIBLE_UTILITIES_REGULAR": [
-        r"\b(electric|water|gas|sewer|utility).{0,20}\b(bill|charge|service|usage)\b",
-        r"\b(monthly|regular|routine).{0,20}\b(electric|water|gas|utility)\b",
-    ],
-    "INELIGIBLE_LANDSCAPING": [
-        r"\b(landscap|lawn|yard|garden|mow|trim|hedge)\b",
-        r"\b(lawn.{0,20}maintenance|yard.{0,20}care)\b",
-    ],
-}
-
-CATEGORY_KEYWORDS: dict[str, list[str]] = {
-    "ELIGIBLE_CLEANING": ["clean", "cleaning", "shampoo", "sanitize", "maid", "spotless", "deep", "professional", "extraction", "steam"],
-    "ELIGIBLE_DAMAGE": ["damage", "broken", "crack", "hole", "repair", "replace", "fix", "dent", "scratch", "chip", "shatter", "puncture", "tear"],
-    "ELIGIBLE_UNPAID_RENT": ["unpaid", "rent", "balance", "outstanding", "arrears", "past", "due", "back"],
-    "ELIGIBLE_UTILITIES_UNPAID": ["unpaid", "utility", "utilities", "electric", "water", "gas", "sewer", "outstanding", "balance"],
-    "ELIGIBLE_PET_DAMAGE": ["pet", "animal", "urine", "stain", "odor", "damage", "scratch", "claw"],
-    "ELIGIBLE_SMOKING_DAMAGE": ["smoke", "smoking", "nicotine", "tar", "odor", "stain", "damage"],
-    "ELIGIBLE_PAINTING_DAMAGE": ["paint", "repaint", "damage", "hole", "mark", "stain", "repair"],
-    "ELIGIBLE_APPLIANCE_DAMAGE": ["appliance", "refrigerator", "stove", "oven", "dishwasher", "washer", "dryer", "broken", "damage", "repair", "replace"],
-    "ELIGIBLE_FLOORING_DAMAGE": ["floor", "flooring", "carpet", "hardwood", "tile", "vinyl", "damage", "repair", "replace", "stain", "burn", "hole"],
-    "ELIGIBLE_PLUMBING_DAMAGE": ["plumb", "pipe", "faucet", "toilet", "sink", "drain", "leak", "broken", "damage", "repair", "replace", "clog"],
-    "INELIGIBLE_NORMAL_WEAR": ["normal", "wear", "tear", "aging", "depreciation", "expected", "ordinary", "standard", "reasonable"],
-    "INELIGIBLE_UPGRADES": ["upgrade", "renovation", "improvement", "modernize", "remodel", "enhance", "betterment"],
-    "INELIGIBLE_ROUTINE_MAINTENANCE": ["routine", "scheduled", "preventive", "preventative", "annual", "regular", "maintenance", "service", "inspection"],
-    "INELIGIBLE_PRE_EXISTING": ["pre-existing", "preexisting", "existing", "prior", "before", "previous"],
-    "INELIGIBLE_UTILITIES_REGULAR": ["electric", "water", "gas", "sewer", "utility", "bill", "charge", "service", "monthly", "regular", "routine"],
-    "INELIGIBLE_LANDSCAPING": ["landscape", "landscaping", "lawn", "yard", "garden", "mow", "trim", "hedge", "maintenance"],
-}
-
-CATEGORY_NEGATIVE_KEYWORDS: dict[str, list[str]] = {
-    "ELIGIBLE_CLEANING": ["routine", "scheduled", "normal", "regular"],
-    "ELIGIBLE_DAMAGE": ["normal", "wear", "tear", "aging", "pre-existing"],
-    "ELIGIBLE_UTILITIES_UNPAID": ["regular", "monthly", "billing"],
-    "ELIGIBLE_PET_DAMAGE": ["normal", "wear"],
-    "ELIGIBLE_PAINTING_DAMAGE": ["normal", "wear", "refresh", "routine"],
-    "ELIGIBLE_APPLIANCE_DAMAGE": ["normal", "wear", "aging", "upgrade"],
-    "ELIGIBLE_FLOORING_DAMAGE": ["normal", "wear", "upgrade", "refinish"],
-    "ELIGIBLE_PLUMBING_DAMAGE": ["normal", "wear", "routine", "maintenance"],
-    "INELIGIBLE_UTILITIES_REGULAR": ["unpaid", "outstanding", "past", "due"],
-}
-
-CATEGORY_EXAMPLES: dict[str, list[str]] = {
-    "ELIGIBLE_CLEANING": ["Professional carpet cleaning", "Move-out deep cleaning service", "Steam cleaning of carpets", "Professional maid service"],
-    "ELIGIBLE_DAMAGE": ["Broken window pane replacement", "Repair holes in drywall", "Fix broken door handle", "Replace damaged countertop"],
-    "ELIGIBLE_UNPAID_RENT": ["Unpaid rent - October 2024", "Outstanding rent balance", "Rent arrears", "Past due rent"],
-    "ELIGIBLE_UTILITIES_UNPAID": ["Unpaid electric bill", "Outstanding water utility charges", "Past due gas bill"],
-    "ELIGIBLE_PET_DAMAGE": ["Pet damage to carpet", "Urine stain removal from pet", "Pet odor treatment"],
-    "ELIGIBLE_SMOKING_DAMAGE": ["Smoking damage to walls", "Nicotine stain removal", "Smoke odor treatment"],
-    "ELIGIBLE_PAINTING_DAMAGE": ["Repaint due to damage", "Paint repair for holes"],
-    "ELIGIBLE_APPLIANCE_DAMAGE": ["Broken refrigerator repair", "Replace damaged stove", "Appliance damage repair"],
-    "ELIGIBLE_FLOORING_DAMAGE": ["Carpet damage repair", "Replace damaged hardwood floor", "Tile repair for damage"],
-    "ELIGIBLE_PLUMBING_DAMAGE": ["Broken pipe repair", "Replace damaged faucet", "Toilet damage repair"],
-    "INELIGIBLE_NORMAL_WEAR": ["Normal wear and tear on walls", "Expected aging of appliances", "Standard wear on carpet"],
-    "INELIGIBLE_UPGRADES": ["Kitchen upgrade to granite counters", "Bathroom modernization", "Appliance upgrade"],
-    "INELIGIBLE_ROUTINE_MAINTENANCE": ["Routine maintenance service", "Scheduled annual inspection", "Preventive maintenance"],
-    "INELIGIBLE_PRE_EXISTING": ["Pre-existing damage", "Existing damage repair", "Prior damage to wall"],
-    "INELIGIBLE_UTILITIES_REGULAR": ["Monthly electric bill", "Regular utility service charge", "Water usage charge"],
-    "INELIGIBLE_LANDSCAPING": ["Lawn maintenance", "Landscaping service", "Yard care"],
-}
-
-CATEGORY_AMOUNT_BOOST: dict[str, tuple[float, float]] = {"ELIGIBLE_DAMAGE": (50, 10)}  # above, boost
-
-SPECIAL_RULES: list[dict] = [
-    {
-        "rule_id": "AMBIGUOUS_CLEANING_DAMAGE",
-        "trigger": {"contains_all": ["clean", "damage"]},
-        "action": {
-            "status": "ambiguous", "confidence": 50, "requires_review": True,
-            "reason": "Description contains both cleaning and damage keywords",
-        },
-    },
-    {
-        "rule_id": "HIGH_AMOUNT_UNKNOWN",
-        "trigger": {"amount_above": 500, "confidence_below": 60},
-        "action": {
-            "flag": "HIGH_VALUE_UNCERTAIN", "requires_review": True,
-            "reason": "High dollar amount with low classification confidence",
-        },
-    },
-    {
-        "rule_id": "UTILITIES_UNPAID",
-        "trigger": {
-            "patterns": [r"\b(electric|water|gas|sewer|utility)\b", r"\b(unpaid|outstand|balanc)\b"]
-        },
-        "action": {
-            "status": "eligible", "category": "ELIGIBLE_UTILITIES_UNPAID", "confidence": 80,
-        },
-    },
-    {
-        "rule_id": "CLEANING_ROUTINE",
-        "trigger": {"contains_all": ["clean", "routine"]},
-        "action": {
-            "status": "ineligible", "category": "INELIGIBLE_ROUTINE_MAINTENANCE", "confidence": 85,
-            "requires_review": False, "reason": "Routine cleaning is not eligible",
-        },
-    },
-    {
-        "rule_id": "DAMAGE_NORMAL_WEAR",
-        "trigger": {"contains_all": ["damage", "normal"]},
-        "action": {
-            "status": "INELIGIBLE_NORMAL_WEAR", "confidence": 90, "requires_review": False,
-            "reason": "Normal damage/wear is not eligible",
-        },
-    },
-]
-
+# --- thresholds of a ruleset; default_rules.yaml holds the ruleset itself -----------------------
 THRESHOLDS = {"low_confidence_review": 60, "high_value_review": 500, "manual_review_required": 40}
 
 # --- decision limits -----------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -58,25 +59,8 @@ def normalize_text(text: str) -> str:
 
 
 def default_ruleset() -> RuleSet:
-    categories = []
-    for name, confidence in fv.CATEGORY_CONFIDENCE.items():
-        above, boost = fv.CATEGORY_AMOUNT_BOOST.get(name, (None, 0.0))
-        categories.append(
-            Category(
-                name=name,
-                confidence=float(confidence),
-                patterns=tuple(fv.CATEGORY_PATTERNS.get(name, ())),
-                positive=tuple(fv.CATEGORY_KEYWORDS.get(name, ())),
-                negative=tuple(fv.CATEGORY_NEGATIVE_KEYWORDS.get(name, ())),
-                examples=tuple(fv.CATEGORY_EXAMPLES.get(name, ())),
-                boost_above=above,
-                boost=float(boost),
-            )
-        )
-    return RuleSet(
-        fv.RULESET_VERSION, tuple(categories), tuple(fv.SPECIAL_RULES), dict(fv.THRESHOLDS),
-        fv.APPROVAL_BIAS,
-    )
+    """The ruleset shipped with the package."""
+    return load_ruleset(str(Path(__file__).with_name("default_rules.yaml")))
 
 
 def load_ruleset(path: str) -> RuleSet:
