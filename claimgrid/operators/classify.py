@@ -37,6 +37,8 @@ HIT = (
     "struct<category:string,confidence:double,patterns:array<string>,keywords:array<string>,"
     "reasoning:string,review:boolean,flags:array<string>>"
 )
+#: Characters of the pieces that phrases are filed under.
+GRAM = 3
 
 
 # ----- phrase rules ---------------------------------------------------------------------------
@@ -581,12 +583,41 @@ def _status(category: Column) -> Column:
     )
 
 
-def rule_hits(items: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
-    """Which rule phrases occur in which description, as a join on containment.
+def grams(text: Column) -> Column:
+    """The distinct pieces of one to GRAM characters of a text."""
+    def of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+        pieces = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+        return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array())
+
+    return F.concat(*[of(size) for size in range(1, GRAM + 1)])
+
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
+    """Every row of ``texts`` beside every row of ``phrases`` whose phrase it contains.
 
-    The rule side is the rules file (tens of rows), so the broadcast is bounded by construction;
-    the item side is the distinct descriptions, never the items.
+    Each phrase is filed under one of its pieces of GRAM characters (or itself if shorter), the one
+    that the fewest texts hold, so an equal join finds the candidates and containment is checked on them
+    alone; neither side needs to be small. Pieces, not words, because a phrase may begin or end
+    inside a word. Null and empty phrases are in no text; repeated rows stay repeated.
     """
+    asked = texts.withColumn("_gram", F.explode(grams(F.col(text))))
+    # At most as many pieces as the alphabet allows, combined by every task first.
+    held = asked.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    size = F.least(F.length(phrase), F.lit(GRAM))
+    filed = (
+        phrases.select(phrase).distinct()
+        .withColumn("_gram", F.explode(F.filter(grams(F.col(phrase)), lambda g: F.length(g) == size)))
+        .join(held, "_gram")
+        .groupBy(phrase)
+        .agg(F.min_by("_gram", F.struct("_held", "_gram")).alias("_gram"))
+    )
+    known = phrases.join(filed, phrase)
+    return asked.join(known, "_gram").filter(F.contains(text, phrase)).drop("_gram")
+
+
+def rule_hits(items: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
+    """Which rule phrases occur in which distinct description."""
     texts = items.select(
         normalize_description(F.coalesce(F.col("description"), F.lit(""))).alias("normalized")
     ).distinct()
@@ -594,7 +625,7 @@ def rule_hits(items: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
         "category", "confidence", "category_order", "position",
         normalize_description(F.col("text")).alias("phrase"),
     )
-    return texts.join(F.broadcast(phrases), F.contains("normalized", "phrase"), "inner")
+    return phrase_matches(texts, phrases, "normalized", "phrase")
 
 
 def eligibility_totals(items: DataFrame, rules: RuleSet) -> DataFrame:
@@ -704,6 +735,6 @@ def relaxed_ruleset(rules: RuleSet) -> RuleSet:
 __all__ = [
     "ab_details", "ab_pairs", "ab_summary", "adjust_suggestions", "apply_rules",
     "classify_items", "eligibility_totals", "exact_layer", "flag_items", "fuzzy_layer",
-    "keyword_layer", "normalize_text", "pattern_layer", "relaxed_ruleset", "rule_hits",
+    "keyword_layer", "normalize_text", "pattern_layer", "phrase_matches", "relaxed_ruleset", "rule_hits",
     "should_include", "text_layers",
 ]

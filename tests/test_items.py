@@ -101,3 +101,21 @@ def test_ruleset_file(tmp_path, spark):
     bad.write_text("version: x\ncategories:\n  - name: lower\n    patterns: ['(']\n")
     with pytest.raises(ValueError, match="threshold_rules"):
         rs.load_ruleset(str(bad))
+
+
+def test_phrase_matches_by_filed_pieces(spark):
+    texts = ["rental of a van", "van", "", "past due rent", "a", "carpet cleaning", "clean car", None]
+    phrases = ["rent", "an", "a", "due rent", "", None, "carpet cleaning", "car", "nowhere", "car"]
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    right = spark.createDataFrame([(j, p) for j, p in enumerate(phrases)], "j int, p string")
+    out = classify.phrase_matches(left, right, "t", "p")
+    want = [(i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if t and p and p in t]
+    assert sorted((r["i"], r["j"]) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_shipped_ruleset_has_whole_records():
+    rules = rs.default_ruleset()
+    assert len(rules.categories) == 16 and len(rules.special_rules) == 5
+    assert all(c.patterns and c.positive and c.examples for c in rules.categories)
