@@ -58,5 +58,5 @@ def result_reuse(t):
     return reused.groupBy("file_hash").agg(
         F.count(F.lit(1)).alias("arrivals"),
         F.count_if("is_new").alias("processed"),
-        F.count_if("is_new").alias("anchors"),
+        F.count_distinct("anchor_ts").alias("anchors"),
     )

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.plans import ordered
+from claimgrid.plans.skewed import join_back
 from claimgrid.rules import fixed_values as fv
 from claimgrid.session import cut_lineage
 
@@ -116,30 +115,56 @@ def error_budget(metrics: DataFrame, hours: int = fv.ERROR_BUDGET_HOURS) -> Data
     )
 
 
+def chain_members(edges: DataFrame, key: str, at: str, after: str) -> tuple[DataFrame, int]:
+    """(key, at) of all rows that the first of a key reaches along ``after``, and the rounds it took.
+
+    Pointer doubling: a round adds what lies one jump from the rows reached so far and makes every
+    jump twice as long, so rounds number the logarithm of the longest chain. Jumps past the end of a
+    key drop out. Both sides of each join are plain exchanges, which AQE may split. ``edges`` is read
+    more than once and should be stored.
+    """
+    reached = cut_lineage(edges.groupBy(key).agg(F.min(at).alias(at)))
+    jumps = edges.filter(F.col(after).isNotNull()).select(key, at, after)
+    rounds = 0
+    while not jumps.isEmpty():
+        rounds += 1
+        added = reached.join(jumps, [key, at]).select(key, F.col(after).alias(at))
+        reached = cut_lineage(reached.unionByName(added))
+        onward = jumps.select(key, F.col(at).alias(after), F.col(after).alias("_onward"))
+        jumps = cut_lineage(
+            jumps.join(onward, [key, after]).select(key, at, F.col("_onward").alias(after))
+        )
+    return reached, rounds
+
+
 def reuse_windows(
     arrivals: DataFrame, key: str = "file_hash", days: float = fv.REUSE_TTL_DAYS
 ) -> DataFrame:
     """Add ``anchor_ts`` and ``is_new``: an arrival reuses a result up to ``days`` after the
     anchor that made it, and the first arrival later becomes the next anchor.
 
-    Each pass settles one window of every key with a map-side ``min``; keys drop out as soon as
-    nothing lies past their window, so the passes number (time range / TTL) + 1 whatever the rows.
+    Every time of a key points at the first one past its window; the anchors are what the key's
+    first time reaches. Of arrivals at one time the least ``arrival_id`` is the new one. Arrivals
+    without key or time are left out.
     """
     micros = int(days * 86_400_000_000)
-    rest = arrivals.withColumn("_t", _epoch("ts"))
-    settled: list[DataFrame] = []
-    while True:
-        first = rest.groupBy(key).agg(F.min(F.struct("_t", "ts", "arrival_id")).alias("_first"))
-        joined = rest.join(first, key)
-        inside = F.col("_t") <= F.col("_first._t") + micros
-        settled.append(
-            joined.filter(inside).withColumns(
-                {
-                    "anchor_ts": F.col("_first.ts"),
-                    "is_new": F.col("arrival_id") == F.col("_first.arrival_id"),
-                }
-            ).drop("_first", "_t")
-        )
-        rest = cut_lineage(joined.filter(~inside).drop("_first"))
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
+    timed = arrivals.withColumn("_t", _epoch("ts"))
+    times = (
+        timed.filter(F.col(key).isNotNull() & F.col("_t").isNotNull())
+        .groupBy(key, "_t")
+        .agg(F.min("arrival_id").alias("_first"))
+    )
+    times = cut_lineage(times)
+    edges = cut_lineage(ordered.next_beyond(times.select(key, "_t"), key, "_t", micros, "_next"))
+    anchors, _ = chain_members(edges, key, "_t", "_next")
+    marked = times.join(anchors.withColumn("_anchor", F.lit(True)), [key, "_t"], "left")
+    placed = ordered.last_marked(marked, key, "_t", "_anchor", micros // 64, "_at")
+    known = placed.select(
+        key, "_t", F.timestamp_micros("_at").cast(arrivals.schema["ts"].dataType).alias("anchor_ts"),
+        F.when(F.col("_anchor"), F.col("_first")).alias("_new"),
+    )
+    return (
+        join_back(timed, known, [key, "_t"])
+        .withColumn("is_new", F.coalesce(F.col("arrival_id") == F.col("_new"), F.lit(False)))
+        .drop("_t", "_new")
+    )

@@ -111,6 +111,41 @@ def shift(
     ).drop("_near", "_far")
 
 
+def next_beyond(times: DataFrame, key: str, at: str, distance: int, out: str, pieces: int = 64) -> DataFrame:
+    """Add ``out``: the least ``at`` of the key that lies more than ``distance`` after the row's own.
+
+    ``at`` is a long. A key is cut into chunks of a ``pieces``-th of the distance, so a burst of one
+    key spreads; the first value of each chunk, one row, carries across.
+    """
+    chunk = F.floor(F.col("_pos") / F.lit(max(1, distance // pieces)))
+    asked = times.withColumns({"_pos": F.col(at) + distance, "_asks": F.lit(1)})
+    both = asked.unionByName(times.withColumns({"_pos": F.col(at), "_asks": F.lit(0)})).withColumn("_chunk", chunk)
+    value = F.when(F.col("_asks") == 0, F.col("_pos"))
+    # Downwards, a question before a value at its own place: what came so far lies beyond it.
+    inside = Window.partitionBy(key, "_chunk").orderBy(F.desc("_pos"), F.desc("_asks"))
+    later = Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = both.groupBy(key, "_chunk").agg(F.min(value).alias("_least"))
+    carry = firsts.select(key, "_chunk", F.min("_least").over(later).alias("_far"))
+    near = F.min(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    answered = _join_carry(both.withColumn("_near", near).filter("_asks = 1"), carry, [key, "_chunk"])
+    return answered.withColumn(out, F.coalesce("_near", "_far")).select(*times.columns, out)
+
+
+def last_marked(times: DataFrame, key: str, at: str, marked: str, width: int, out: str) -> DataFrame:
+    """Add ``out``: the greatest ``at`` of the key with ``marked``, up to and including the row's own.
+
+    ``at`` is a long, distinct in a key; chunks are ``width`` wide.
+    """
+    rows = times.withColumn("_chunk", F.floor(F.col(at) / F.lit(max(1, width))))
+    value = F.when(F.col(marked), F.col(at))
+    inside = Window.partitionBy(key, "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = rows.groupBy(key, "_chunk").agg(F.max(value).alias("_most"))
+    carry = lasts.select(key, "_chunk", F.max("_most").over(before).alias("_far"))
+    joined = _join_carry(rows.withColumn("_near", F.max(value).over(inside)), carry, [key, "_chunk"])
+    return joined.withColumn(out, F.coalesce("_near", "_far")).select(*times.columns, out)
+
+
 def latest_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
@@ -132,4 +167,6 @@ def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-__all__ = ["Window", "first_per_key", "latest_per_key", "row_number", "running_sum", "shift"]
+__all__ = [
+    "Window", "first_per_key", "last_marked", "latest_per_key", "next_beyond", "row_number", "running_sum", "shift",
+]

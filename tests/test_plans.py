@@ -103,3 +103,32 @@ def test_reuse_windows(spark):
     out = service.reuse_windows(df, days=10 / 1440)
     assert out.count() == 400
     assert {r["arrival_id"] for r in out.filter("is_new").collect()} == fresh
+
+
+def test_reuse_windows_of_repeated_times_and_missing_values(spark):
+    base = datetime(2024, 1, 1)
+    rows = [(i, "a", base) for i in (5, 4, 6)] + [(7, "a", base + timedelta(days=8)), (8, None, base), (9, "a", None)]
+    df = spark.createDataFrame(rows, "arrival_id bigint, file_hash string, ts timestamp_ntz")
+    out = {r["arrival_id"]: (r["anchor_ts"], r["is_new"]) for r in service.reuse_windows(df, days=7).collect()}
+    assert out == {4: (base, True), 5: (base, False), 6: (base, False), 7: (base + timedelta(days=8), True)}
+    assert service.reuse_windows(df.limit(0), days=7).count() == 0
+
+
+def test_chain_rounds_grow_with_the_logarithm(spark):
+    from claimgrid.plans.ordered import next_beyond
+
+    rng = random.Random(8)
+    times = {k: sorted({rng.randint(0, n * 100) for _ in range(5 * n)}) for k, n in (("hot", 300), ("small", 3))}
+    df = spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts], "k string, t long")
+    edges = next_beyond(df, "k", "t", 99, "after").checkpoint()
+    want = {(k, t): min((u for u in ts if u > t + 99), default=None) for k, ts in times.items() for t in ts}
+    assert {(r["k"], r["t"]): r["after"] for r in edges.collect()} == want
+    chain = {(k, ts[0]) for k, ts in times.items()}
+    for k, ts in times.items():
+        at = ts[0]
+        while (at := want[k, at]) is not None:
+            chain.add((k, at))
+    reached, rounds = service.chain_members(edges, "k", "t", "after")
+    assert sorted((r["k"], r["t"]) for r in reached.collect()) == sorted(chain)
+    windows = sum(k == "hot" for k, _ in chain)
+    assert windows > 150 and rounds <= windows.bit_length() <= 9
