@@ -67,19 +67,19 @@ def variance_base(decisions: DataFrame, validation: DataFrame) -> DataFrame:
     )
 
 
-def exact_median(values: DataFrame, column: str, width: float = 1.0) -> DataFrame:
+def exact_median(values: DataFrame, column: str) -> DataFrame:
     """One-row exact median from value counts.
 
-    Equal values are combined on the map side, ranked inside buckets of ``width`` and shifted by
-    the sizes of the buckets below, so neither sort nor buffer sits in one task.
+    Equal values are combined on the map side, ranked inside ranges of near equal size and shifted
+    by the sizes of the ranges below: one task sees a row for each range, whose number is fixed.
     """
     counts = (
         values.filter(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", F.floor(F.col("_v") / width))
     )
-    ranked = ordered.running_sum(counts, [], ["_bucket"], ["_v"], {"_upto": "_n"})
+    chunked = ordered.cut_by_quantiles(counts, "_v")
+    ranked = ordered.running_sum(chunked, [], ["_chunk"], ["_v"], {"_upto": "_n"})
     total = counts.agg(F.sum("_n").alias("n")).select("n").scalar()
     low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
     below = F.col("_upto") - F.col("_n")

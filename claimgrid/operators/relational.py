@@ -561,14 +561,14 @@ def latest_validation(validation: DataFrame) -> DataFrame:
 
 def supersede_chain(decisions: DataFrame) -> DataFrame:
     """Only the last decision of a claim stays active; the others point to their successor."""
-    chunked = decisions.withColumn("_month", F.trunc(F.to_date("decided_at"), "month"))
+    chunked = ordered.cut_by_quantiles(decisions, "decided_at")
     linked = ordered.shift(
-        chunked, ["claim_id"], ["_month"], ["decided_at", "decision_id"],
+        chunked, ["claim_id"], ["_chunk"], ["decided_at", "decision_id"],
         {"_next": "decision_id"}, forward=True,
     )
     return linked.withColumns(
         {"superseded_by": F.col("_next"), "is_active": F.col("_next").isNull()}
-    ).drop("_next", "_month")
+    ).drop("_next", "_chunk")
 
 
 def append_decisions(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -579,11 +579,9 @@ def append_decisions(existing: DataFrame, new: DataFrame) -> DataFrame:
 def audit_events(versions: DataFrame, fields: list[str]) -> DataFrame:
     """Audit rows from decision row versions: created, superseded, overridden or reviewed."""
     row = F.struct(*fields)
-    chunked = versions.withColumns(
-        {"_row": row, "_month": F.trunc(F.to_date("changed_at"), "month")}
-    )
+    chunked = ordered.cut_by_quantiles(versions, "changed_at").withColumn("_row", row)
     paired = ordered.shift(
-        chunked, ["decision_id"], ["_month"], ["changed_at", "version_no"],
+        chunked, ["decision_id"], ["_chunk"], ["changed_at", "version_no"],
         {"_old": "_row"}, forward=False,
     )
     old = F.col("_old")
@@ -612,7 +610,8 @@ def audit_events(versions: DataFrame, fields: list[str]) -> DataFrame:
 def number_lines(items: DataFrame) -> DataFrame:
     """Position of every line inside its claim, in a total order."""
     order = ["line_number", "part_id", "supp_id", "ship_date", "price", "qty", "discount", "tax"]
-    return ordered.row_number(items, ["claim_id"], ["line_number"], order, "line_no")
+    chunked = ordered.cut_by_quantiles(items, "line_number")
+    return ordered.row_number(chunked, ["claim_id"], ["_chunk"], order, "line_no").drop("_chunk")
 
 
 # ----- sets -------------------------------------------------------------------------------------

@@ -6,15 +6,60 @@ number). The window runs inside ``(key, chunk)``; one small summary row per chun
 map-side combine, carries state from chunk to chunk and is joined back on ``(key, chunk)``. The big
 side is shuffled once, because the window and the join ask for the same partitioning.
 
-``chunk`` columns must be a non-decreasing function of the order columns.
+``chunk`` columns must be a non-decreasing function of the order columns. ``cut_by_quantiles`` makes
+one from the data: a burst of one key is cut as finely as its rows are many, and a key has at most
+PIECES + 2 summary rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+
+#: Chunks that the rows of a table are cut into, whatever their number.
+PIECES = 1024
+#: Rank error of the cuts, as a share of all rows, is one by this.
+ACCURACY = 4_096
+
+
+def _place(df: DataFrame, column: str) -> Column:
+    """A double that never falls as the column rises, in any session time zone."""
+    at, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, TimestampNTZType):
+        clock = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+        return (F.unix_date(F.to_date(at)).cast("long") * 86_400 + clock).cast("double")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(at).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(at).cast("double")
+    return at.cast("double")
+
+
+def cut_by_quantiles(df: DataFrame, column: str, out: str = "_chunk", pieces: int = PIECES) -> DataFrame:
+    """Add ``out``: which of about ``pieces`` ranges of ``column``, of near equal rows, holds the row.
+
+    The cuts are approximate quantiles over the whole table: a sketch of fixed size, merged by Spark,
+    of which the driver gets ``pieces`` numbers. A range that one value fills is not cut. Nulls come
+    first, as range -1.
+    """
+    place = _place(df, column)
+    shares = [i / pieces for i in range(1, pieces)]
+    found = df.agg(F.percentile_approx(place, shares, ACCURACY)).head()[0] or []
+    cuts = sorted({c for c in found if math.isfinite(c)})
+    if not cuts:
+        return df.withColumn(out, F.when(place.isNull(), -1).otherwise(0))
+    ranges = Bucketizer(
+        splits=[-math.inf, *cuts, math.inf], inputCol="_place", outputCol="_range", handleInvalid="keep"
+    )
+    cut = ranges.transform(df.withColumn("_place", place))
+    return cut.withColumn(
+        out, F.when(F.col("_place").isNull(), -1).otherwise(F.col("_range").cast("int"))
+    ).drop("_place", "_range")
 
 
 def _on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -168,5 +213,5 @@ def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
 
 
 __all__ = [
-    "Window", "first_per_key", "last_marked", "latest_per_key", "next_beyond", "row_number", "running_sum", "shift",
+    "Window", "cut_by_quantiles", "first_per_key", "last_marked", "latest_per_key", "next_beyond", "row_number", "running_sum", "shift",
 ]

@@ -84,7 +84,7 @@ def test_exact_median(spark):
         n = len(values)
         want = (ordered_values[(n - 1) // 2] + ordered_values[n // 2]) / 2
         df = spark.createDataFrame([(v,) for v in values], "x double")
-        assert exact_median(df, "x", 2.0).first()["median"] == want
+        assert exact_median(df, "x").first()["median"] == want
 
 
 def test_reuse_windows(spark):
@@ -132,3 +132,41 @@ def test_chain_rounds_grow_with_the_logarithm(spark):
     assert sorted((r["k"], r["t"]) for r in reached.collect()) == sorted(chain)
     windows = sum(k == "hot" for k, _ in chain)
     assert windows > 150 and rounds <= windows.bit_length() <= 9
+
+
+def test_quantile_chunks_spread_a_burst_and_keep_order(spark):
+    rng = random.Random(4)
+    base = datetime(2024, 3, 10)
+    rows = [(1, i, base + timedelta(seconds=rng.randint(0, 3000))) for i in range(4000)]
+    rows += [(rng.randint(2, 900), 4000 + i, base + timedelta(days=rng.randint(-300, 300))) for i in range(6000)]
+    rows += [(1, 10_000, None)]
+    df = spark.createDataFrame(rows, "claim_id long, decision_id long, decided_at timestamp_ntz")
+    for kind in ("timestamp_ntz", "timestamp"):
+        typed = df.withColumn("decided_at", F.col("decided_at").cast(kind))
+        cut = ordered.cut_by_quantiles(typed, "decided_at", pieces=100)
+        got = cut.collect()
+        known = sorted((r["decided_at"], r["_chunk"]) for r in got if r["decided_at"])
+        assert [c for _, c in known] == sorted(c for _, c in known)
+        assert {r["_chunk"] for r in got if r["decided_at"] is None} == {-1}
+        sizes = [r["count"] for r in cut.filter("claim_id = 1").groupBy("_chunk").count().collect()]
+        assert len(sizes) >= 35 and max(sizes) <= 200
+    assert ordered.cut_by_quantiles(df.limit(0), "decided_at").count() == 0
+    assert {r["_chunk"] for r in ordered.cut_by_quantiles(df.filter("decided_at is null"), "decided_at").collect()} == {-1}
+
+
+def test_supersede_chain_of_a_burst(spark):
+    from claimgrid.operators import relational
+
+    rng = random.Random(6)
+    rows = [(1 if i % 3 else i, i, datetime(2024, 1, 1) + timedelta(seconds=rng.randint(0, 50)), True) for i in range(300)]
+    df = spark.createDataFrame(rows, "claim_id long, decision_id long, decided_at timestamp_ntz, is_active boolean")
+    want, by_claim = {}, {}
+    for claim, i, at, _ in rows:
+        by_claim.setdefault(claim, []).append((at, i))
+    for listed in by_claim.values():
+        listed.sort()
+        for here, after in zip(listed, [*listed[1:], (None, None)], strict=True):
+            want[here[1]] = after[1]
+    out = relational.supersede_chain(df)
+    assert out.columns == [*df.columns, "superseded_by"]
+    assert {r["decision_id"]: r["superseded_by"] for r in out.collect()} == want
