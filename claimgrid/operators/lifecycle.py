@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.rules import fixed_values as fv
@@ -60,13 +60,6 @@ def purge(
     return {n: tables[n].join(purged, "claim_id", "left_anti") for n in names}, purged
 
 
-def retention_policy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        fv.RETENTION_POLICY,
-        "table_name string, retention_days int, archive_table string, purge_after_archive boolean",
-    )
-
-
 def retention_actions(
     df: DataFrame, table: str, time_column: str, as_of: str
 ) -> DataFrame:
@@ -131,5 +124,5 @@ def apply_status_events(queue: DataFrame, events: DataFrame) -> DataFrame:
 
 __all__ = [
     "apply_status_events", "purge", "restore", "retention_actions",
-    "retention_policy", "soft_delete", "submit_batch",
+    "soft_delete", "submit_batch",
 ]

@@ -8,6 +8,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from claimgrid.functions import text as tx
 from claimgrid.schemas import SCHEMAS
+from claimgrid.session import cut_lineage
 
 CLAIM_CSV = [
     "Tracking Number", "Claim Date", "Move-Out Date", "Lease Start Date", "Lease End Date",
@@ -213,6 +214,7 @@ def write_evaluation(metrics: DataFrame, found: DataFrame, folder: str) -> None:
     """Metrics as JSON, mismatches and the ones needing review as CSV."""
     metrics.write.mode("overwrite").json(f"{folder}/metrics")
     flat = found.withColumn("flags", F.array_join("flag_list", "; ")).drop("flag_list", "missing_data")
+    flat = cut_lineage(flat)  # written twice, worked out once
     writer = flat.write.mode("overwrite").option("header", True)
     writer.csv(f"{folder}/mismatches")
     flat.filter("needs_review").write.mode("overwrite").option("header", True).csv(
