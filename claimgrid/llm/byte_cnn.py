@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from claimgrid.llm.common import Adam, blocks, bucket_of_id, labelled_sample, prior_shift, sigmoid, utf8
 
-#: Bytes of a chunk and of the step to the next one; a filter spans TAPS strides of STRIDE bytes.
-CHUNK, STEP, STRIDE, TAPS = 512, 448, 4, 2
+#: Bytes of a chunk, of the step to the next one and of a filter, which stands on every byte.
+CHUNK, STEP, SPAN = 512, 448, 8
 EMBEDDING, FILTERS = 8, 32
 PAD = 256
 #: The training sample: documents of class 0 and 1, and bytes of a text in it at most.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = (1500, 3500), 32_768
 TRAIN_STEPS, BATCH, RATE, SEED = 1200, 24, 0.004, 5
 #: Chunks convolved at once.
-AT_ONCE = 512
+AT_ONCE = 64
 
 
 def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +42,11 @@ def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def initial(seed: int) -> dict[str, np.ndarray]:
     r = np.random.Generator(np.random.PCG64(seed))
-    width = STRIDE * EMBEDDING
     return {
         k: v.astype(np.float32)
         for k, v in {
             "embed": r.normal(0, 0.5, (257, EMBEDDING)),
-            "kernel": r.normal(0, 1 / np.sqrt(TAPS * width), (TAPS, width, FILTERS)),
+            "kernel": r.normal(0, 1 / np.sqrt(SPAN * EMBEDDING), (SPAN, EMBEDDING, FILTERS)),
             "bias": np.zeros(FILTERS),
             "out": r.normal(0, 0.1, 2 * FILTERS),
             "shift": np.zeros(1),
@@ -56,12 +55,15 @@ def initial(seed: int) -> dict[str, np.ndarray]:
 
 
 def convolved(w: dict[str, np.ndarray], chunks: np.ndarray) -> np.ndarray:
-    """Every filter at every place of every chunk, from its embedded blocks of STRIDE bytes."""
-    x = w["embed"][chunks].reshape(len(chunks), CHUNK // STRIDE, STRIDE * EMBEDDING)
-    last = x.shape[1] - TAPS + 1
-    out = x[:, :last] @ w["kernel"][0]
-    for tap in range(1, TAPS):
-        out += x[:, tap : tap + last] @ w["kernel"][tap]
+    """Every filter at every byte of every chunk where it fits, one alignment at a time."""
+    n, places = len(chunks), CHUNK - SPAN + 1
+    x = w["embed"][chunks].reshape(n, CHUNK * EMBEDDING)
+    kernel = w["kernel"].reshape(SPAN * EMBEDDING, FILTERS)
+    out = np.empty((n, places, FILTERS), x.dtype)
+    for shift in range(SPAN):
+        fit = (CHUNK - shift) // SPAN
+        span = np.ascontiguousarray(x[:, shift * EMBEDDING : (shift + fit * SPAN) * EMBEDDING])
+        out[:, shift::SPAN] = (span.reshape(n * fit, -1) @ kernel).reshape(n, fit, FILTERS)
     return out
 
 
@@ -124,8 +126,8 @@ def gradients(w: dict[str, np.ndarray], chunks: np.ndarray, row: np.ndarray, y:
     shares = np.add.reduceat(largest.astype(np.float32), np.searchsorted(row, np.arange(len(y))))
     gp += np.where(largest, gz[row, :FILTERS] / shares[row], 0)
     gp = np.where(p > 0, gp, 0).astype(np.float32)
-    # The bytes under each filter's strongest place: (chunk, filter, TAPS * STRIDE).
-    at = place[:, :, None] * STRIDE + np.arange(TAPS * STRIDE)
+    # The bytes under each filter's strongest place: (chunk, filter, SPAN).
+    at = place[:, :, None] + np.arange(SPAN)
     under = chunks[np.arange(len(chunks))[:, None, None], at]
     x = w["embed"][under].reshape(len(chunks), FILTERS, -1)
     both = np.einsum("nf,nfk->kf", gp, x, optimize=True)
