@@ -9,6 +9,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from claimgrid.functions import text as tx
 from claimgrid.schemas import SCHEMAS
 from claimgrid.session import cut_lineage
+from claimgrid.sources import quoted_csv
 
 CLAIM_CSV = [
     "Tracking Number", "Claim Date", "Move-Out Date", "Lease Start Date", "Lease End Date",
@@ -44,8 +45,8 @@ def read_documents(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def _read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header-named CSV as text; columns absent from the file read as null."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Header-named CSV as text, split anywhere; columns absent from the file read as null."""
+    raw = quoted_csv.read(spark, path)
     found = set(raw.columns)
     return raw.select(
         *[(F.col(f"`{c}`") if c in found else F.lit(None).cast("string")).alias(c) for c in columns]
