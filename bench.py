@@ -32,6 +32,7 @@ HEADLINE = [
     "items_fitted_to_cap",
     "invoice_line_items",
     "document_search_any",
+    "indexed_search_any",
     "claims_by_status",
     "month_by_status",
     "next_work_items",

@@ -1,4 +1,4 @@
-"""Stored forms: partitioned claims and audit rows read back pruned, CSV files loaded with rejects."""
+"""Stored forms: partitioned claims and audit rows read back pruned, CSV files loaded with rejects, text indexes."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimgrid.catalog import query
+from claimgrid.catalog.documents import search_ctes
 from claimgrid.catalog.relational import _UNKNOWN, AUDIT_FIELDS, AUDIT_SQL, decision_versions
 from claimgrid.functions.text import as_double
 from claimgrid.operators import relational as rel
 from claimgrid.session import checkpoint_dir
 from claimgrid.sources import tables
+from claimgrid.sources.text_index import TextIndex
 
 
 def _scratch(t) -> str:
@@ -137,3 +139,57 @@ def validations_loaded_from_csv(t):
 def validation_csv_rejects(t):
     _, rejects = _validations(t)
     return rejects.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    "C30 T4 X4",
+    f"""WITH {search_ctes("documents", "doc_id", "text", ["the", "and", "for"], "or")}
+SELECT doc_id, lang, rank FROM ranked ORDER BY rank DESC, doc_id LIMIT 25""",
+)
+def indexed_search_any(t):
+    """All texts filed once; the search reads the postings of its terms, and names of the 25 found."""
+    docs = t.raw("documents")
+    index = TextIndex(t.spark, _scratch(t), "doc_id", docs.schema["doc_id"].dataType)
+    index.upsert(docs, "text", 0)
+    best = index.search(["the", "and", "for"], "or", 25)
+    return docs.select("doc_id", "lang").join(F.broadcast(best), "doc_id").select("doc_id", "lang", "rank")
+
+
+#: Claim documents as they stand after a second batch: badly scanned ones withdrawn, invoices with a new last line.
+_EDITED = """edited AS (SELECT * REPLACE (CASE WHEN document_type = 'invoice' THEN coalesce(extracted_text, '') || chr(10) || 'Lease agreement attached' ELSE coalesce(extracted_text, '') END AS extracted_text)
+  FROM v_documents WHERE coalesce(ocr_confidence, 100) >= 45)"""
+
+
+def _edited_index(t):
+    docs = t.documents
+    index = TextIndex(t.spark, _scratch(t), "document_id", docs.schema["document_id"].dataType)
+    index.upsert(docs, "extracted_text", 0)
+    text = F.concat_ws("\n", F.coalesce("extracted_text", F.lit("")), F.lit("Lease agreement attached"))
+    index.upsert(docs.filter("document_type = 'invoice'").withColumn("extracted_text", text), "extracted_text", 1)
+    index.remove(docs.filter("ocr_confidence < 45"), 2)
+    return index
+
+
+@query(
+    "C30 J14 T4 X4",
+    f"""WITH {_EDITED}, {search_ctes("edited", "document_id", "extracted_text", ["lease", "agreement"], "and")}
+SELECT r.document_id, r.claim_id, c.claim_tracking_number, r.rank FROM ranked r JOIN v_claims c USING (claim_id)
+ORDER BY r.rank DESC, r.document_id LIMIT 50""",
+)
+def indexed_claim_search(t):
+    """Search with claims through an index that had texts replaced and documents withdrawn."""
+    best = F.broadcast(_edited_index(t).search(["lease", "agreement"], "and", 50))
+    found = t.documents.select("document_id", "claim_id").join(best, "document_id")
+    return found.join(t.claims.select("claim_id", "claim_tracking_number"), "claim_id").select(
+        "document_id", "claim_id", "claim_tracking_number", "rank"
+    )
+
+
+@query(
+    "C30 X4",
+    f"""WITH {_EDITED}, words AS (SELECT document_id, unnest(list_filter(string_split_regex(lower(extracted_text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM edited)
+SELECT term, count(DISTINCT document_id) AS documents, count(*) AS hits FROM words GROUP BY term""",
+)
+def indexed_term_counts(t):
+    """Documents and hits of every term of the edited index."""
+    return _edited_index(t).document_counts()

@@ -22,23 +22,35 @@ def hash_bucket(*keys: str, buckets: int = BUCKETS) -> Column:
 
 
 class BucketedStore:
-    """Rows of ``schema`` under ``path``; ``bucket`` is an integer column of bounded range over them."""
+    """Rows of ``schema`` under ``path``; ``bucket`` is an integer column of bounded range over them.
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, bucket: Column):
-        self.spark, self.path, self.bucket = spark, path.rstrip("/"), bucket
+    With ``order``, files are sorted by these columns, so a reader skips row groups, and AQE splits
+    the buckets that are too large for one task and joins small ones.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema: StructType, bucket: Column, order: Sequence[str] = ()
+    ):
+        self.spark, self.path, self.bucket, self.order = spark, path.rstrip("/"), bucket, list(order)
         self.schema = StructType(list(schema.fields))
         self.stored = StructType(
             [*schema.fields, StructField("bucket", IntegerType()), StructField("epoch", LongType())]
         )
 
     def write(self, rows: DataFrame, epoch: int) -> None:
-        """Put a batch's rows into their buckets; one task a bucket and batch, rows that hash alike aside."""
+        """Put a batch's rows into their buckets.
+
+        Without an order, one task a bucket and batch, rows that hash alike aside.
+        """
         placed = rows.select(*self.schema.names).withColumns(
             {"bucket": self.bucket, "epoch": F.lit(epoch).cast("long")}
         )
+        if self.order:
+            dealt = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "epoch", *self.order)
+        else:
+            dealt = placed.repartition("bucket")
         (
-            placed.repartition("bucket")
-            .write.partitionBy("bucket", "epoch")
+            dealt.write.partitionBy("bucket", "epoch")
             .mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .parquet(self.path)
