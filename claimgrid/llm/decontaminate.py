@@ -3,7 +3,8 @@
 Seeds are the runs of ``k`` tokens of the test items. Documents that share seeds with an item are
 tiled against it: the longest common runs of unmarked tokens, found by running Karp-Rabin with a
 falling search length, are marked again and again, so reordered passages are still found. A
-document is contaminated when the tiles of some item cover enough of the item's tokens.
+document is contaminated when the tiles of some item cover enough of the item's tokens. An item of
+fewer tokens than a seed is matched by its whole run, in documents that are little more than it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgrid.llm.common import LOWER, blocks, prefix_hash, span_hash, utf8, word_hashes, word_spans
+from claimgrid.llm.common import LOWER, blocks, prefix_hash, span_hash, stored, utf8, word_hashes, word_spans
 
 SEED_TOKENS = 6
 MIN_COVERAGE = 0.5
@@ -87,8 +88,25 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
         size = max(least, size // 2)
 
 
+def _found(tokens: np.ndarray, row: np.ndarray, length: int, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token position, place in ``runs``) of the runs of ``length`` tokens in the sorted ``runs``."""
+    h = run_hashes(tokens, length)
+    none = np.zeros(0, np.int64)
+    if not len(h) or not len(runs):
+        return none, none
+    whole = row[: len(h)] == row[length - 1 :]
+    first = np.searchsorted(runs, h)
+    hit = np.flatnonzero(whole & (runs[np.minimum(first, len(runs) - 1)] == h))
+    first = first[hit]
+    n = np.searchsorted(runs, h[hit], "right") - first
+    return np.repeat(hit, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Items:
-    """A block of test items as token hashes, with their sorted seeds."""
+    """A block of test items as token hashes, with their sorted seeds.
+
+    ``short`` holds the whole runs of items of fewer than ``k`` tokens, by length.
+    """
 
     def __init__(self, texts: list[str | None], k: int):
         data, offsets = utf8(pa.array([t or "" for t in texts], pa.string()))
@@ -97,7 +115,10 @@ class Items:
         self.k = k
         self.tokens = [tokens[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         seeds, owner, place = [], [], []
+        runs: dict[int, list[tuple[int, int]]] = {}
         for n, t in enumerate(self.tokens):
+            if 0 < len(t) < k:
+                runs.setdefault(len(t), []).append((int(run_hashes(t, len(t))[0]), n))
             h = run_hashes(t, k)
             seeds.append(h)
             owner.append(np.full(len(h), n))
@@ -108,21 +129,21 @@ class Items:
         self.seed = seed[order]
         self.owner = np.concatenate([empty, *owner]).astype(np.int64)[order]
         self.place = np.concatenate([empty, *place]).astype(np.int64)[order]
+        self.short = {
+            length: (np.array([h for h, _ in sorted(found)], np.uint64), np.array([n for _, n in sorted(found)]))
+            for length, found in runs.items()
+        }
 
     def shared(self, tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token position, item, position in item) of every seed that the tokens share."""
-        k = self.k
-        h = run_hashes(tokens, k)
-        none = np.zeros(0, np.int64)
-        if not len(h) or not len(self.seed):
-            return none, none, none
-        whole = row[: len(h)] == row[k - 1 :]
-        first = np.searchsorted(self.seed, h)
-        hit = np.flatnonzero(whole & (self.seed[np.minimum(first, len(self.seed) - 1)] == h))
-        first = first[hit]
-        n = np.searchsorted(self.seed, h[hit], "right") - first
-        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(hit, n), self.owner[at], self.place[at]
+        """(token position, item, position in item) of every seed and short item that the tokens hold."""
+        hit, at = _found(tokens, row, self.k, self.seed)
+        parts = [(hit, self.owner[at], self.place[at])]
+        for length, (runs, owner) in self.short.items():
+            hit, at = _found(tokens, row, length, runs)
+            parts.append((hit, owner[at], np.zeros(len(hit), np.int64)))
+        pos, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(pos, kind="stable")
+        return pos[order], item[order], place[order]
 
     def matches(self, tokens: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], coverage: float):
         """(item, covered tokens, tiles) for the items that one document covers far enough."""
@@ -131,6 +152,10 @@ class Items:
         for n in np.unique(item):
             own = item == n
             size = len(self.tokens[n])
+            if size < self.k:  # its whole run was found; in a long text that is no evidence
+                if size >= coverage * len(tokens):
+                    out.append({"item": int(n), "covered": size, "tiles": 1})
+                continue
             least = coverage * size
             possible = np.zeros(size, bool)  # tiles are made of shared seeds: an upper bound
             near = np.zeros(len(tokens), bool)
@@ -174,20 +199,29 @@ def _matcher(items, coverage: float):
     return F.arrow_udf(match, MATCHES)
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
-    """The test items in hash blocks of a bounded size, the size being measured first."""
+def block_count(benchmark: DataFrame, block_bytes: int) -> int:
+    """Hash blocks that keep each near half of ``block_bytes`` of text, the size being measured."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    return max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, n: int | None = None) -> Iterator[list]:
+    """The test items in hash blocks of a bounded size, one gathered after the other."""
+    n = n or block_count(benchmark, block_bytes)
     for b in range(n):
         part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         rows = part.select("item_id", "text").where("text is not null").distinct().collect()
         yield sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def _matched(docs: DataFrame, rows: list, k: int, coverage: float):
-    spark = docs.sparkSession
-    items = spark.sparkContext.broadcast(Items([r[1] for r in rows], k))
-    return _matcher(items, coverage)
+def _block_by_block(docs: DataFrame, benchmark: DataFrame, k: int) -> Iterator[tuple[list, object, bool]]:
+    """(rows, broadcast items, whether more follow); a block is released when the next one is asked for."""
+    n = block_count(benchmark, BLOCK_BYTES)
+    for b, rows in enumerate(item_blocks(benchmark, BLOCK_BYTES, n)):
+        items = docs.sparkSession.sparkContext.broadcast(Items([r[1] for r in rows], k))
+        yield rows, items, b + 1 < n
+        if b + 1 < n:
+            items.destroy()
 
 
 def contaminated_pairs(
@@ -197,20 +231,21 @@ def contaminated_pairs(
     item with coverage at or above the limit.
 
     Tokens are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null and empty
-    texts match nothing; items of fewer than ``k`` tokens are no evidence and match nothing.
-    Repeated rows give repeated pairs, repeated items one. Documents are never shuffled: items
-    come in blocks whose size is measured before they are broadcast.
+    texts, and items without a token, match nothing. An item of fewer than ``k`` tokens matches the
+    documents that hold its whole run and of whose own tokens it is at least ``coverage``. Repeated
+    rows give repeated pairs, repeated items one. Documents are never shuffled. Items come in blocks
+    whose size is measured before they are broadcast; a block's pairs are written, and the block
+    released, before the next one is gathered.
     """
     out = None
-    for rows in item_blocks(benchmark, BLOCK_BYTES):
-        found = docs.select("doc_id", F.explode(_matched(docs, rows, k, coverage)("text")).alias("m"))
-        ids = [r[0] for r in rows]
-        sizes = [len(t) for t in Items([r[1] for r in rows], k).tokens]
+    for rows, items, more in _block_by_block(docs, benchmark, k):
+        found = docs.select("doc_id", F.explode(_matcher(items, coverage)("text")).alias("m"))
         names = docs.sparkSession.createDataFrame(
-            [(n, i, s) for n, (i, s) in enumerate(zip(ids, sizes, strict=True))],
+            [(n, r[0], len(t)) for n, (r, t) in enumerate(zip(rows, items.value.tokens, strict=True))],
             f"item int, item_id {dict(benchmark.dtypes)['item_id']}, item_tokens int",
         )
         part = found.select("doc_id", "m.*").join(F.broadcast(names), "item")
+        part = stored(part) if more else part
         out = part if out is None else out.union(part)
     return out.select(
         "doc_id",
@@ -225,7 +260,8 @@ def contaminated_pairs(
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, k: int = SEED_TOKENS, coverage: float = MIN_COVERAGE
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that no test item contaminates."""
-    for rows in item_blocks(benchmark, BLOCK_BYTES):
-        docs = docs.where(F.size(_matched(docs, rows, k, coverage)("text")) == 0)
+    """The rows of ``docs``, all columns, that no test item contaminates; blocks as above."""
+    for _, items, more in _block_by_block(docs, benchmark, k):
+        docs = docs.where(F.size(_matcher(items, coverage)("text")) == 0)
+        docs = stored(docs) if more else docs
     return docs

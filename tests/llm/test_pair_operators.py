@@ -216,6 +216,26 @@ def test_item_blocks_give_the_same(spark, monkeypatch):
     assert [x.doc_id for x in decontaminate.decontaminated(docs, items).collect()] == [99]
 
 
+def test_items_shorter_than_a_seed(spark, monkeypatch):
+    """They match documents that are little more than they are, and no long text that holds them."""
+    r = random.Random(4)
+    long = sentence(r, 40, 3000)
+    items = [(1, "yes"), (2, "Two words!"), (3, "one two three four five"), (4, "..."), (5, long), (6, "two words")]
+    docs = [
+        (1, "YES", "s"), (2, "yes, indeed", "s"), (3, "oh yes indeed", "s"), (4, "say two words now", "s"),
+        (5, "one two three four five " + sentence(r, 60), "s"), (6, "ONE two, three four five six", "s"),
+        (7, "one two three four", "s"), (8, "words two", "s"), (9, "", "s"), (10, None, "s"), (11, long + " yes two words", "s"),
+    ]
+    want = [(1, 1, 1), (2, 1, 1), (4, 2, 2), (4, 6, 2), (6, 3, 5), (11, 5, 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got = decontaminate.contaminated_pairs(frame(spark, docs), bench).collect()
+        assert sorted((x.doc_id, x.item_id, x.covered_tokens) for x in got) == want
+        kept = decontaminate.decontaminated(frame(spark, docs), bench)
+        assert sorted(x.doc_id for x in kept.collect()) == [3, 5, 7, 8, 9, 10]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=25), st.lists(st.integers(1, 4), min_size=3, max_size=15))
 def test_tiles_are_disjoint_and_maximal(doc, item):
