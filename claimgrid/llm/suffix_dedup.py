@@ -32,6 +32,8 @@ MOST_SEGMENTS = 256
 SLICE = 8
 #: Window starts sorted together, in whole groups.
 STARTS_AT_ONCE = 1 << 14
+#: Neighbours in the sorted order compared together.
+PAIRS_AT_ONCE = 4096
 #: Segments or slices in one Arrow batch, about.
 ROWS_AT_ONCE = 4096
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -194,6 +196,22 @@ def suffix_order(text: bytes, ends: np.ndarray, wanted: np.ndarray, depth: int)
     return np.concatenate(out) if out else direct
 
 
+def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that each suffix in ``order`` shares with the next one, counted up to ``length``.
+
+    Every suffix has at least ``length`` bytes. The bytes themselves are compared.
+    """
+    out = np.zeros(max(len(order) - 1, 0), np.int64)
+    if not len(out):
+        return out
+    heads = np.lib.stride_tricks.sliding_window_view(text, length)
+    for at in range(0, len(out), PAIRS_AT_ONCE):
+        upper, lower = order[:-1][at : at + PAIRS_AT_ONCE], order[1:][at : at + PAIRS_AT_ONCE]
+        differ = heads[upper] != heads[lower]
+        out[at : at + PAIRS_AT_ONCE] = np.where(differ.any(1), differ.argmax(1), length)
+    return out
+
+
 def repeated_starts(bodies: list[bytes], windows: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, which of its window starts begin a string that another start begins too."""
     text = b"".join(bodies)
@@ -205,10 +223,7 @@ def repeated_starts(bodies: list[bytes], windows: list[int], length: int = LENGT
         wanted[b : b + w] = True
     order = suffix_order(text, np.repeat(end, size), wanted, length)
     order = order[wanted[order]]
-    # Common prefixes of neighbours: at least ``length`` bytes are shared if these hashes agree.
-    sums = prefix_hash(BYTE_VALUE[np.frombuffer(text, np.uint8)])
-    prefix = span_hash(sums, order, order + length)
-    same = prefix[1:] == prefix[:-1]
+    same = common_prefixes(np.frombuffer(text, np.uint8), order, length) >= length
     marked = np.zeros(len(text), bool)
     marked[order[1:][same]] = True
     marked[order[:-1][same]] = True

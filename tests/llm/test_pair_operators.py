@@ -154,6 +154,37 @@ def test_suffix_order(strings, data):
     assert suffixes == sorted(suffixes)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=40), st.integers(1, 9), st.randoms())
+def test_common_prefixes(text, length, r):
+    order = list(range(max(0, len(text) - length + 1)))
+    r.shuffle(order)
+    got = suffix_dedup.common_prefixes(np.frombuffer(text.encode(), np.uint8), np.array(order, np.int64), length)
+    want = []
+    for a, b in zip(order, order[1:]):
+        n = 0
+        while n < length and text[a + n] == text[b + n]:
+            n += 1
+        want.append(n)
+    assert got.tolist() == want
+
+
+def test_planted_passages_of_400_bytes(spark):
+    """Runs of 400 bytes or more go from every copy; shorter ones stay, unplanted documents lose nothing."""
+    r = random.Random(12)
+    passages = [sentence(r, n, 9000) for n in (50, 55, 60, 70, 80, 90)]
+    passages = [p for p in passages if len(p.encode()) >= 400] + [p[:399] for p in passages if len(p.encode()) >= 400]
+    assert len(passages) >= 4
+    rows, planted = [], {}
+    for i in range(90):
+        put = passages[i // 2 % len(passages)] if i % 2 else ""
+        # The bytes on both sides differ from copy to copy, so only the passage repeats.
+        rows.append((i, f"{sentence(r, 40, 9000)} <{i}{chr(48 + i // 2)}{put}{chr(48 + i // 2)}{i}> {sentence(r, 40, 9000)}", "s"))
+        planted[i] = len(put.encode()) if len(put.encode()) >= 400 else 0
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert got == {i: (n, int(n > 0)) for i, n in planted.items()}
+
+
 # ---- decontamination -----------------------------------------------------------------------
 
 
