@@ -170,3 +170,15 @@ def test_supersede_chain_of_a_burst(spark):
     out = relational.supersede_chain(df)
     assert out.columns == [*df.columns, "superseded_by"]
     assert {r["decision_id"]: r["superseded_by"] for r in out.collect()} == want
+
+
+def test_sla_metrics_checks_every_target(spark):
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(seconds=i), "quick", 100) for i in range(20)]
+    rows += [(100 + i, base, "slow", ms) for i, ms in enumerate([4000, 4000, 61000])]
+    df = spark.createDataFrame(rows, "metric_id bigint, ts timestamp_ntz, document_type string, processing_time_ms bigint")
+    out = {r["document_type"]: r for r in service.sla_metrics(df, window=10).collect()}
+    assert {k: r["total_count"] for k, r in out.items()} == {"quick": 10, "slow": 3, "ALL": 10}
+    assert out["quick"]["compliant"] and not out["quick"]["alert"]
+    slow = out["slow"]
+    assert [slow[c] for c in ("avg_ok", "p95_ok", "p99_ok", "max_ok", "compliant", "alert")] == [False] * 5 + [True]
