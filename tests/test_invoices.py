@@ -222,3 +222,11 @@ def test_unreadable_invoices(spark):
     assert all(r["fallback_used"] and not r["reconciled"] and r["overall_confidence"] == 20 for r in rows.values())
     assert [(i["description"], i["amount"]) for i in rows[1]["items"]] == [("Unknown charge 1", Decimal("77.1"))]
     assert rows[1]["stated_total"] is None and rows[2]["items_parsed"] == rows[3]["items_parsed"] == 0
+
+
+def test_header_without_amounts_is_one_item(spark):
+    """No amount column: every row lacks an amount, so they merge up to a bullet, as in the reference."""
+    text = "Description and amount\nsome work was done\nin two rooms\n- and the hall"
+    docs = spark.createDataFrame([(1, text)], "document_id int, extracted_text string")
+    items = invoice.invoice_items(invoice.parse_invoices(docs), ["document_id"]).collect()
+    assert [(i["line_number"], i["description"]) for i in items] == [(3, "some work was done in two rooms")]
