@@ -108,10 +108,13 @@ class Words:
         self.row = np.repeat(np.arange(self.n_rows), n)
         begin = np.cumsum(n_words) - n_words
         at = begin[self.row] + STEP * (np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n))
-        at = at[:, None] + np.arange(WINDOW)
-        inside = at < (begin + n_words)[self.row][:, None]
-        padded = np.append(of + 1, 0)
-        self.windows = np.where(inside, padded[np.where(inside, at, 0)], 0)
+        stop = (begin + n_words)[self.row]
+        padded = np.append(of + 1, 0).astype(np.int32)
+        self.windows = np.zeros((len(at), WINDOW), np.int32)
+        for a in range(0, len(at), PART // WINDOW):
+            some = at[a : a + PART // WINDOW, None] + np.arange(WINDOW)
+            inside = some < stop[a : a + PART // WINDOW, None]
+            self.windows[a : a + PART // WINDOW][inside] = padded[some[inside]]
 
 def log_odds(seen: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     """Log-odds of label 1 in each bucket against the sample's, shrunk towards 0 by the prior."""
@@ -244,10 +247,12 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, windows: np.ndarray, y: n
     return out
 
 
-def window_logits(w: dict[str, np.ndarray], given: np.ndarray, windows: np.ndarray, at_once: int = 4096) -> np.ndarray:
+def window_logits(w: dict[str, np.ndarray], given: np.ndarray, windows: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    """Logits of the windows, some at a time; only the words of those are multiplied."""
     out = np.empty(len(windows), np.float32)
     for at in range(0, len(out), at_once):
-        out[at : at + at_once] = forward(w, given, windows[at : at + at_once])[0]
+        used, own = np.unique(np.append(0, windows[at : at + at_once]), return_inverse=True)
+        out[at : at + at_once] = forward(w, given[used], own[1:].reshape(-1, WINDOW))[0]
     return out
 
 
@@ -288,10 +293,12 @@ def train(sample: list[tuple[str, int]], seed: int = SEED, rounds: int = ROUNDS)
     words = Words(*utf8(pa.array([t for t, _ in sample], pa.string())))
     # Each fold has inputs of its own: the words of fold k are k times their number further on.
     counts, share = fold_counts(words, y, fold), float(y.mean())
-    given = [inputs(statistics(counts, share, k), words) for k in range(FOLDS)]
-    x = np.concatenate([given[0][:1], *(g[1:] for g in given)])
+    n_words = len(words.word_bucket)
+    x = np.zeros((FOLDS * n_words + 1, INPUT), np.float32)
+    for k in range(FOLDS):
+        x[1 + k * n_words : 1 + (k + 1) * n_words] = inputs(statistics(counts, share, k), words)[1:]
     row = words.row
-    windows = np.where(words.windows > 0, words.windows + len(words.word_bucket) * fold[row][:, None], 0)
+    windows = np.where(words.windows > 0, words.windows + (n_words * fold[row][:, None]).astype(np.int32), 0)
     logits = (x[:, 0] + x[:, 2])[windows].max(1)
     clean = np.flatnonzero(y[row] == 0)
     adam = Adam(w, RATE)

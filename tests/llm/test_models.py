@@ -160,3 +160,19 @@ def test_scores_keep_the_class_shares_of_all_labels(spark, monkeypatch, module):
     score = byte_cnn.quality_scores if module is byte_cnn else toxic_gru.toxicity_scores
     got = {round(x.score, 3) for x in score(docs, labels).collect()}
     assert len(got) == 1 and 0.04 < got.pop() < 0.2
+
+
+def test_toxic_gru_multiplies_only_the_words_of_the_windows_at_hand(monkeypatch):
+    r = np.random.default_rng(2)
+    w, x = toxic_gru.initial(1), r.normal(size=(5000, toxic_gru.INPUT)).astype(np.float32)
+    windows = r.integers(0, 5000, (40, toxic_gru.WINDOW)).astype(np.int32)
+    whole, given = toxic_gru.forward(w, x, windows)[0], []
+
+    def watched(w, x, windows, keep=False):
+        given.append((len(x), windows.size))
+        return forward(w, x, windows, keep)
+
+    forward = toxic_gru.forward
+    monkeypatch.setattr(toxic_gru, "forward", watched)
+    assert np.allclose(toxic_gru.window_logits(w, x, windows, 8), whole, atol=1e-5)
+    assert len(given) == 5 and all(words <= places + 1 for words, places in given)
