@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import awkward_texts, frame, plain, sentence
 from hypothesis import given, settings
@@ -283,3 +284,19 @@ def test_tiles_are_disjoint_and_maximal(doc, item):
         for j in range(len(item) - 2):
             if doc[i : i + 3] == item[j : j + 3]:
                 assert {i, i + 1, i + 2} & used_a or {j, j + 1, j + 2} & used_b
+
+
+def test_groups_sorted_together_are_bounded_in_bytes(monkeypatch):
+    held, rng = [], np.random.default_rng(5)
+    rows = [(g, 50 * g + i, 1, rng.integers(97, 99, 400, np.uint8).tobytes()) for g in range(60) for i in range(50)]
+    kinds = {"anchor": pa.int64(), "segment": pa.int64(), "windows": pa.int32(), "body": pa.binary()}
+    arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+
+    def watched(bodies, windows, length):
+        held.append(sum(map(len, bodies)))
+        return [np.zeros(n, bool) for n in windows]
+
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", watched)
+    list(suffix_dedup._sort_groups(400)(iter([pa.RecordBatch.from_arrays(arrays, names=list(kinds))])))
+    assert sum(held) == 400 * len(rows)
+    assert max(held) < (1 << 18) + 2 * 50 * 400  # a bound and the groups that cross it
