@@ -230,3 +230,22 @@ def test_header_without_amounts_is_one_item(spark):
     docs = spark.createDataFrame([(1, text)], "document_id int, extracted_text string")
     items = invoice.invoice_items(invoice.parse_invoices(docs), ["document_id"]).collect()
     assert [(i["line_number"], i["description"]) for i in items] == [(3, "some work was done in two rooms")]
+
+
+def test_what_is_not_asked_for_is_not_worked_out(spark):
+    docs = spark.createDataFrame([(1, "Item charge\nwork $5.00"), (2, "scan failed")], "document_id int, extracted_text string")
+    parsed = invoice.parse_invoices(docs)
+    assert [r[0] for r in parsed.select("fallback_used").orderBy("document_id").collect()] == [False, True]
+    few = parsed.select("document_id", "fallback_used")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ambiguity_score" not in few and "standard_dollar" not in few
+
+
+def test_spread_view_deals_out_the_table_not_the_view(spark):
+    from claimgrid.sources.views import WAVES, Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    dealt = t.spread("invoices")
+    assert dealt.rdd.getNumPartitions() == WAVES * spark.sparkContext.defaultParallelism
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.index("extracted_text") < plan.index("Repartition")
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, t.invoices.collect()))
