@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.plans import ordered
-from claimgrid.session import cut_lineage
+from claimgrid.session import cut_lineage, written_once
 
 GROUP = ["claim_id", "confidence", "cents"]
 
@@ -152,6 +152,7 @@ def greedy_fit(
         fitted = fitted.unionByName(
             _phases(groups.join(large, "claim_id", "left_semi"), partitions)
         )
+    fitted = written_once(fitted)
     placed = priced.join(fitted, GROUP, "left")
     split = (F.col("kept") > 0) & (F.col("kept") < F.col("n"))
     # only groups that are taken in part need a rank among equals

@@ -154,3 +154,21 @@ def test_overrides(spark):
         row = decide.recalculate(decisions, items, requests).first()
         assert (row["new_benefit"], row["new_status"], row["changed_items"]) == (benefit, "approve", 1)
     assert items.filter(F.col("changed")).count() == 1
+
+
+def test_items_are_ruled_once_for_the_fit(spark):
+    """The fit reads its items several times; what they are made from is worked out once."""
+    ruled = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            ruled.add(batch.num_rows)
+            yield batch
+
+    kind = "claim_id long, amount decimal(12,2), confidence double, should_be_included boolean, line_number int"
+    rows = [(c, Decimal(10 + i), 0.5, i != 3, i) for c in range(5) for i in range(6)]
+    items = spark.createDataFrame(rows, kind).mapInArrow(count, kind)
+    claims = spark.createDataFrame([(c, Decimal(30), Decimal(40)) for c in range(5)], "claim_id long, claim_amount decimal(12,2), max_benefit decimal(12,2)")
+    fitted = decide.fit_to_cap(items, claims, ["line_number"]).filter("kept").groupBy("claim_id").agg(F.sum("amount").cast("int"))
+    assert sorted(map(tuple, fitted.collect())) == [(c, 29) for c in range(5)]
+    assert ruled.value == len(rows)
