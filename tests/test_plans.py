@@ -182,3 +182,20 @@ def test_sla_metrics_checks_every_target(spark):
     assert out["quick"]["compliant"] and not out["quick"]["alert"]
     slow = out["slow"]
     assert [slow[c] for c in ("avg_ok", "p95_ok", "p99_ok", "max_ok", "compliant", "alert")] == [False] * 5 + [True]
+
+
+def test_dashboard_tasks_follow_the_rows(spark, monkeypatch):
+    """A task takes a bounded number of rows, however few bytes they shrink to; the counts stay right."""
+    from claimgrid.operators import relational as rel
+    from claimgrid.plans import barrier
+
+    monkeypatch.setattr(barrier, "ROWS", 100)
+    n = 3000
+    claims = spark.range(n).selectExpr("id AS claim_id", "'open' AS status", "CAST(2 AS DECIMAL(12,2)) AS claim_amount", "TIMESTAMP_NTZ '2024-01-05 00:00:00' AS created_at")
+    decisions = spark.range(n).selectExpr("id AS claim_id", "id % 2 = 0 AS is_active", "CAST(3 AS DECIMAL(12,2)) AS proposed_benefit_amount", "50D AS confidence_score")
+    docs = spark.range(2 * n).selectExpr("id % 1000 AS claim_id", "nullif(id, 7) AS document_id")
+    assert barrier.tasks_for(claims, docs) == 90
+    board = rel.daily_dashboard(claims, decisions, docs, "2024-01-06", 10)
+    plan = board._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [claim_id" in plan and ", 105" in plan
+    assert [tuple(r)[1:] for r in board.collect()] == [("open", n, n // 2, 2 * n - 1, 2.0 * n, 3.0, 50.0)]
