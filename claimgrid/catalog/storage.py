@@ -161,7 +161,7 @@ _EDITED = """edited AS (SELECT * REPLACE (CASE WHEN document_type = 'invoice' TH
 
 
 def _edited_index(t):
-    docs = t.documents
+    docs = t.spread("documents")
     index = TextIndex(t.spark, _scratch(t), "document_id", docs.schema["document_id"].dataType)
     index.upsert(docs, "extracted_text", 0)
     text = F.concat_ws("\n", F.coalesce("extracted_text", F.lit("")), F.lit("Lease agreement attached"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, LongType, StringType, StructField, StructType
 
 from claimgrid.functions.documents import tokens
+from claimgrid.plans.barrier import computed_once
 from claimgrid.streaming.store import BucketedStore, hash_bucket
 
 #: Folders a store is cut into; inside them files are sorted, so row groups are skipped too.
@@ -42,10 +43,20 @@ class TextIndex:
         self.ended = BucketedStore(spark, f"{path}/ended", StructType([own]), hash_bucket(key, buckets=buckets), [key])
 
     def _count(self, docs: DataFrame, text: str) -> DataFrame:
-        split = docs.select(self.key, tokens(F.col(text)).alias("_all"))
-        each = split.select(self.key, F.size("_all").cast("long").alias("tokens"), F.explode("_all").alias("term"))
-        # A document's tokens stand in one task, so what is shuffled is one row a term and document.
-        return each.groupBy("term", self.key, "tokens").agg(F.count(F.lit(1)).alias("hits"))
+        # A document's tokens stand in one row: sorted there, each run of equal ones is a posting, and
+        # nothing is shuffled before the postings go to their buckets.
+        split = computed_once(docs.select(self.key, F.array_sort(tokens(F.col(text))).alias("_all")), ["_all"])
+        size, term = F.size("_all"), lambda i: F.get("_all", i)
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1))
+        begins = F.filter(places, lambda i: (i == 0) | (term(i) != term(i - 1)))
+        runs = computed_once(split.withColumn("_begins", begins), ["_begins"])
+        entry = lambda i, k: F.struct(
+            term(i).alias("term"), (F.coalesce(F.get("_begins", k + 1), size) - i).cast("long").alias("hits")
+        )
+        found = computed_once(
+            runs.select(self.key, size.cast("long").alias("tokens"), F.transform("_begins", entry).alias("_runs")), ["_runs"]
+        )
+        return found.select(self.key, "tokens", F.inline("_runs"))
 
     def _end(self, keys: DataFrame, epoch: int) -> None:
         """Keys whose earlier postings, where there are any, no longer hold."""

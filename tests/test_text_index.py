@@ -94,3 +94,13 @@ def test_a_hot_term_is_written_by_more_than_one_task(spark, tmp_path):
         assert index.live(["the"]).count() == 20_000
     finally:
         spark.conf.set(name, before)
+
+
+def test_postings_are_counted_where_their_text_stands(spark, tmp_path):
+    """The tokens of a text are not shuffled before they are counted."""
+    index = TextIndex(spark, str(tmp_path), "id", buckets=4)
+    counted = index._count(frame(spark, {1: "fee Fee, rent fee", 2: None, 3: " .,", 4: "b a b"}), "body")
+    assert sorted((x["term"], x["id"], x["hits"], x["tokens"]) for x in counted.collect()) == [
+        ("a", 4, 1, 3), ("b", 4, 2, 3), ("fee", 1, 3, 4), ("rent", 1, 1, 4),
+    ]
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
