@@ -242,14 +242,17 @@ def run_adjudication(
     decisions = BucketedStore(spark, f"{store}/decisions", sample.schema, by_claim)
 
     def save(batch: DataFrame, epoch: int) -> None:
-        touched = arrived.touched(batch)
         arrived.write(batch, epoch)
+        touched = arrived.written(epoch)  # the batch itself is worked out once, to be stored
         known = arrived.read(touched, epoch)
         news = known.filter(F.col("epoch") == epoch).select("claim_id").distinct()
         of_news = lambda df: df.join(news, "claim_id", "left_semi")
+        # The claims choose what is decided. In the first batch all stored items are news, so choosing
+        # among the other tables too would only sort them once more.
+        chosen = of_news if epoch else lambda df: df
         decided = decide.evaluate_claims(
-            of_news(claims), of_news(known.drop("epoch")), of_news(docs),
-            of_news(analysis) if analysis is not None else None,
+            of_news(claims), chosen(known.drop("epoch")), chosen(docs),
+            chosen(analysis) if analysis is not None else None,
         )
         decisions.write(decided, epoch)
 

@@ -60,6 +60,13 @@ class BucketedStore:
         """The buckets that rows belong to: at most as many numbers as there are buckets."""
         return sorted(r[0] for r in rows.select(self.bucket).distinct().collect())
 
+    def written(self, epoch: int) -> list[int]:
+        """The buckets that hold rows of an epoch, told by the names of their folders."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket=*/epoch={epoch}")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(int(at.getPath().getParent().getName().split("=")[1]) for at in found or [])
+
     def read(self, buckets: Iterable[int] | None = None, epoch: int | None = None) -> DataFrame:
         """Rows of some buckets up to an epoch, with ``epoch``; other buckets are not even listed."""
         names = [self.path] if buckets is None else [f"{self.path}/bucket={b}" for b in buckets]

@@ -147,3 +147,17 @@ def test_adjudication_by_arrival(spark, tmp_path):
     batch = decide.evaluate_claims(tables.claims, items, tables.documents).join(items.select("claim_id").distinct(), "claim_id", "left_semi")
     flat = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert flat(run.result) == flat(batch)
+
+
+def test_first_batch_is_worked_out_once(spark, tmp_path, monkeypatch):
+    """A batch is stored before anything is asked of it, and its buckets are told from the store."""
+    asked = []
+    monkeypatch.setattr(BucketedStore, "touched", lambda self, rows: asked.append(self.path))
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    items = tables.items.select("claim_id", "description", "amount", "charge_date").filter("claim_id < 200")
+    items.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(items.schema).parquet(f"{tmp_path}/in")
+    run = jobs.run_adjudication(stream, tables.claims, tables.documents, f"{tmp_path}/out", f"{tmp_path}/cp", buckets=4)
+    store = BucketedStore(spark, f"{tmp_path}/out/items", items.schema, hash_bucket("claim_id", buckets=4))
+    assert not asked and store.written(0) == [0, 1, 2, 3] and store.written(1) == []
+    assert run.result.count() == items.select("claim_id").distinct().count()
