@@ -3,7 +3,9 @@
 URLs that a rule decides train two smoothed variable-order Markov models, one of accepted and one
 of rejected URLs. A URL no rule fits is judged by the difference of its log-likelihoods per
 character against a threshold calibrated on rule-labelled URLs kept out of training. All counts
-come from one table of distinct character runs, so the models are joined, never broadcast.
+come from one table of distinct character runs, so the models are joined, never broadcast: Spark
+tells sizes from files, which are far below those of exploded or short strings in memory, and would
+broadcast them, so every join asks for a merge.
 """
 
 from __future__ import annotations
@@ -80,11 +82,11 @@ def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
                 for x in (F.sum(c).alias(f"__n_{c}"), F.sum((F.col(c) > 0).cast("long")).alias(f"__kinds_{c}"))
             )
         )
-        rows = table.withColumn("__context", context).join(totals, "__context")
+        rows = table.withColumn("__context", context).join(totals.hint("merge"), "__context")
         if scored is None:
             rows = rows.withColumns({f"__low_{c}": F.lit(1.0 / ALPHABET) for c in ("accepted", "rejected")})
         else:
-            rows = rows.withColumn("__suffix", F.expr("substring(gram, 2)")).join(scored, "__suffix")
+            rows = rows.withColumn("__suffix", F.expr("substring(gram, 2)")).join(scored.hint("merge"), "__suffix")
         p = {
             c: F.when(F.col(f"__n_{c}") == 0, F.col(f"__low_{c}")).otherwise(
                 (F.col(c) + F.col(f"__kinds_{c}") * F.col(f"__low_{c}")) / (F.col(f"__n_{c}") + F.col(f"__kinds_{c}"))
@@ -98,7 +100,7 @@ def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
 def site_scores(sites: DataFrame, scores: DataFrame, order: int = ORDER) -> DataFrame:
     """(site, score): mean log ratio per character, the end mark included, of distinct sites."""
     each = sites.select("site", F.explode(grams(F.col("site"), order)).alias("gram"))
-    return stored(each.join(scores, "gram").groupBy("site").agg((F.sum("llr") / F.count("*")).alias("score")))
+    return stored(each.join(scores.hint("merge"), "gram").groupBy("site").agg((F.sum("llr") / F.count("*")).alias("score")))
 
 
 def threshold(labelled: DataFrame) -> float:
@@ -142,9 +144,9 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     counts = stored(counts.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")))
     asked = stored(rows.where("__said IS NULL OR __held").select("site").distinct())
     scores = site_scores(asked, gram_scores(counts, order), order)
-    known = rows.where("__held").join(scores, "site").select("score", (F.col("__said") == "allow").alias("accepted"))
+    known = rows.where("__held").join(scores.hint("merge"), "site").select("score", (F.col("__said") == "allow").alias("accepted"))
     limit = threshold(known)
-    return rows.join(scores, "site", "left").select(
+    return rows.join(scores.hint("merge"), "site", "left").select(
         "page_id",
         "host",
         "path",

@@ -253,6 +253,26 @@ def test_urls(spark):
     assert url_model.judged(pages.where("false")).count() == 0
 
 
+def test_url_joins_broadcast_nothing(spark, monkeypatch):
+    """Exploded rows are many times their table's files, by which Spark would broadcast them."""
+    plans = []
+
+    def seen(step):
+        def run(df):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return step(df)
+
+        return run
+
+    monkeypatch.setattr(url_model, "stored", seen(url_model.stored))
+    monkeypatch.setattr(url_model, "threshold", seen(url_model.threshold))
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    seen(lambda df: df)(url_model.judged(pages))
+    assert sum("SortMergeJoin" in p for p in plans) == url_model.ORDER + 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 # ---- extraction ----------------------------------------------------------------------------
 
 PAGES = {
